@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .mixing import mix_sources
+from .secrets import scan_secrets
 from .tokens import count_tokens
+from .topk import top_k
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +34,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op5_mixing": op5_mixing,
+    "op7_exact_topk": op7_exact_topk,
     "op9_token_counts": op9_token_counts,
 }

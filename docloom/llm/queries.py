@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 from .mixing import mix_sources
 from .secrets import scan_secrets
+from .simhash import near_duplicates
 from .tokens import count_tokens
 from .topk import top_k
 
@@ -17,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_mixing": op5_mixing,
     "op7_exact_topk": op7_exact_topk,
     "op9_token_counts": op9_token_counts,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .decontamination import find_leaks
 from .mixing import mix_sources
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -36,6 +37,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 ORACLE_SQL: dict[str, str] = {}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -44,4 +49,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op7_exact_topk": op7_exact_topk,
     "op9_token_counts": op9_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -65,7 +65,10 @@ def _cuts(text: Column, pattern: str, group: int) -> Column:
 def candidates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source"
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows (row, id, owner) and their candidate spans (row, kind, start, end, hash, dummy)."""
+    """The rows (row, id, owner, key) and their candidate spans (row, kind, start, end, hash, dummy).
+
+    ``key`` names the text of a row that may hold candidates.
+    """
     rows = pick(docs, id=id_col, text=text_col, owner=owner_col).withColumn("text", F.coalesce("text", F.lit("")))
     found = F.array(
         *[
@@ -78,6 +81,7 @@ def candidates(
             F.monotonically_increasing_id().alias("row"),
             "id",
             "owner",
+            F.when(F.col("text").rlike(ANY), F.md5(F.col("text").cast("binary"))).alias("key"),
             F.when(F.col("text").rlike(ANY), F.filter(found, lambda k: F.size(k["cuts"]) > 0)).alias("found"),
         ),
         "secrets",
@@ -93,7 +97,7 @@ def candidates(
         .filter((F.col("kind") != len(PATTERNS) - 1) | F.col("cut.value.mixed"))
         .select("row", "kind", "start", "end", F.col("cut.value.hash").alias("hash"), F.col("cut.value.dummy").alias("dummy"))
     )
-    return scanned.select("row", "id", "owner"), spans
+    return scanned.select("row", "id", "owner", "key"), spans
 
 
 def ownership(spans: DataFrame, rows: DataFrame, repo: str = "id", owner: str = "owner") -> DataFrame:
@@ -176,3 +180,53 @@ def scan_secrets(
         F.size(F.filter("all", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("all", lambda s: ~s["live"])).cast("long").alias("n_copied"),
     )
+
+
+def redact_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source"
+) -> DataFrame:
+    """The input rows with their secrets masked in ``text_col``; null texts stay null.
+
+    Every base span and every owner-specific span of the wider kinds is replaced,
+    by ``[SECRET]`` if its value looks live and ``[EXAMPLE]`` if it is a copied
+    example or placeholder. Overlapping spans are replaced together, under the
+    mark of the first. Only texts that may hold a candidate go through a join.
+    """
+    rows, spans = candidates(docs, id_col, text_col, owner_col)
+    spans = cut(spans, "spans")
+    live = (F.col("n_owners") < COPIED_OWNERS) & ~F.col("dummy")
+    known = spans.join(ownership(spans, rows), "hash").withColumn("live", live)
+    known = known.filter((F.col("kind") < BASE_KINDS) | F.col("live")).join(rows.select("row", "key"), "row")
+    found = known.groupBy("key").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("start"), -F.col("end"), F.col("live")).alias("at"))).alias("found")
+    )
+    found = found.select(
+        F.col("key").alias("_key"),
+        F.transform(
+            "found", lambda s: F.struct(s["start"].alias("start"), (-s["col2"]).alias("end"), s["live"].alias("live"))
+        ).alias("_found"),
+    )
+    text = F.col(f"`{text_col}`")
+    flagged = text.isNotNull() & text.rlike(ANY)
+    joined = docs.filter(flagged).withColumn("_key", F.md5(text.cast("binary"))).join(found, "_key", "left")
+    at = lambda n: n.cast("int")
+    masked = F.aggregate(
+        "_found",
+        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")),
+        lambda acc, s: F.struct(
+            F.when(
+                s["start"] >= acc["pos"],
+                F.concat(
+                    acc["out"],
+                    text.substr(at(acc["pos"] + 1), at(s["start"] - acc["pos"])),
+                    F.when(s["live"], F.lit("[SECRET]")).otherwise(F.lit("[EXAMPLE]")),
+                ),
+            )
+            .otherwise(acc["out"])
+            .alias("out"),
+            F.greatest(acc["pos"], s["end"]).alias("pos"),
+        ),
+        lambda acc: F.concat(acc["out"], text.substr(at(acc["pos"] + 1), F.length(text))),
+    )
+    done = joined.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(masked)).select(*docs.columns)
+    return docs.filter(~F.coalesce(flagged, F.lit(False))).unionByName(done)

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from docloom.llm.secrets import scan_secrets
+from docloom.llm.secrets import redact_secrets, scan_secrets
 
 from .helpers import AWKWARD, doc_frame
 
@@ -56,3 +56,17 @@ def test_ownership_separates_copies_from_live_values(spark):
     assert [by[0].n_live, by[0].n_copied, by[0].spans] == [0, 1, f"assign:0:{len(copied)}"]
     assert [by[9].n_live, by[9].n_copied] == [1, 0] and [by[11].n_live, by[11].n_copied] == [0, 1]
     assert scan_secrets(doc_frame(spark, [])).count() == 0
+
+
+def test_redaction(spark):
+    copied = "token=Zq8RkW3mYt7LpX2cVb9N"
+    rows = [(i, f"a {copied} z", f"s{i}") for i in range(3)]
+    rows += [(10 + i, t, "s1") for i, t in enumerate(TEXTS)] + [(None, None), (30, ""), (31, "clean text"), (31, "other clean text")]
+    got = {(r.doc_id, r.text) for r in redact_secrets(doc_frame(spark, rows)).collect()}
+    by = dict(got)
+    assert len(got) == len(rows) and by[0] == "a [EXAMPLE] z" and by[None] is None
+    assert by[10] == '[SECRET]" end' and by[11] == "é😀 [SECRET] and PASSWD='abc' then [SECRET]"
+    assert by[15] == "[SECRET] plain"
+    assert not any(base(by[10 + i]) for i in range(len(TEXTS)))
+    assert {t for i, t in got if i == 31} == {"clean text", "other clean text"}
+    assert redact_secrets(doc_frame(spark, rows)).columns == doc_frame(spark, rows).columns

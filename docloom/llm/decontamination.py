@@ -8,9 +8,9 @@ shingles slides over each text.
    or more lack at most m/5 of the item's shingles, so floor(m/5) + 1 distinct
    shingles of the item are enough for every such window to hold one of them.
    Windows without an anchor are left out; nothing within the similarity is lost.
-2. SimHash. The 64 bit counts of all windows around the anchors come from
-   running sums: 32 columns hold two 32-bit lanes each, and a window's counts
-   are the difference of two rows.
+2. SimHash. Every window around an anchor gets a 64-bit fingerprint. What the
+   windows of a text are made of is gathered once for the text, so the windows
+   themselves are never shuffled.
 3. Multi-index Hamming blocks. Fingerprints are cut into 8 bytes. Two within
    ``RADIUS`` = 23 bits agree in some byte up to 2 bits, so items are stored
    under the 37 values around each byte and windows are looked up by their 8
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick
@@ -39,7 +39,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
-#: Anchors are broadcast up to this many rows (24 bytes each); beyond it they are joined by shuffle.
+#: Tables made of the benchmark are broadcast up to this many rows; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
 LANES = 32
@@ -64,33 +64,49 @@ def _shingles(words: Column, first: Column, last: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda i: shingle_at(words, i))
 
 
-def _bits(lane: list[Column], size: Column) -> Column:
-    """Fingerprint from the lane columns: bits set in more than half of ``size`` hashes."""
+def print_of(hashes: Column) -> Column:
+    """SimHash of an array of shingle hashes: the bits set in more than half of them.
+
+    Two 32-bit counters share a long, so 32 folds count all 64 bits.
+    """
     out = F.lit(0).cast("long")
-    for b in range(64):
-        count = F.shiftrightunsigned(lane[b % LANES], 32) if b >= LANES else lane[b].bitwiseAND(F.lit((1 << 32) - 1))
-        out = out.bitwiseOR(F.when(2 * count > size, F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    size = F.size(hashes)
+    for j in range(LANES):
+        lane = F.aggregate(
+            hashes,
+            F.lit(0).cast("long"),
+            lambda total, h: total + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANE_MASK)),  # noqa: B023
+        )
+        for b, count in ((j, lane.bitwiseAND(F.lit((1 << 32) - 1))), (j + LANES, F.shiftrightunsigned(lane, 32))):
+            bit = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+            out = out.bitwiseOR(F.when(2 * count > size, bit).otherwise(F.lit(0).cast("long")))
     return out
 
 
-def _lanes(h: Column) -> list[Column]:
-    return [F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANE_MASK)) for j in range(LANES)]
+def shared_weight(window: Column, item: Column) -> Column:
+    """Sum over shingles of the smaller number of occurrences, of two arrays of hashes."""
+    once = (F.size(F.array_distinct(window)) == F.size(window)) & (F.size(F.array_distinct(item)) == F.size(item))
+    times = lambda hashes, h: F.size(F.filter(hashes, lambda x: x == h))
+    counted = F.aggregate(
+        F.array_distinct(item), F.lit(0), lambda total, h: total + F.least(times(window, h), times(item, h))
+    )
+    return F.when(once, F.size(F.array_intersect(window, item))).otherwise(counted)
 
 
-def item_tables(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(shingles with counts, anchors, fingerprints) of the benchmark's items; each row has a key of its own."""
+def item_table(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """key, item, m, shingles, fp of the benchmark's items that have words; each row has a key of its own."""
     items = pick(benchmark, item=id_col, text=text_col).select(
         F.monotonically_increasing_id().alias("key"), "item", words_of(F.col("text")).alias("words")
     )
-    items = items.select("key", "item", "words", shingle_count(F.col("words")).alias("m")).filter("m > 0")
-    each = items.select("key", "item", "m", F.explode(_shingles(F.col("words"), F.lit(0), F.col("m") - 1)).alias("h"))
-    counts = each.groupBy("key", "item", "m", "h").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts, "items")
-    order = Window.partitionBy("key").orderBy("h")
-    anchors = counts.withColumn("place", F.row_number().over(order)).filter("place <= floor(m / 5) + 1").select("h", "m").distinct()
-    sums = counts.groupBy("key", "item", "m").agg(*[F.sum(F.col("n") * lane).alias(f"l{j}") for j, lane in enumerate(_lanes(F.col("h")))])
-    prints = sums.select("key", "item", "m", _bits([F.col(f"l{j}") for j in range(LANES)], F.col("m")).alias("fp"))
-    return counts, anchors, prints
+    items = items.withColumn("m", shingle_count(F.col("words"))).filter("m > 0")
+    items = items.select("key", "item", "m", _shingles(F.col("words"), F.lit(0), F.col("m") - 1).alias("shingles"))
+    return cut(items.withColumn("fp", print_of(F.col("shingles"))), "items")
+
+
+def anchors_of(items: DataFrame) -> DataFrame:
+    """(h, m): the shingles of each item that a similar window cannot lack altogether."""
+    least = F.slice(F.array_sort(F.array_distinct("shingles")), F.lit(1), F.floor(F.col("m") / 5).cast("int") + 1)
+    return items.select("m", F.explode(least).alias("h")).distinct()
 
 
 def _byte(fp: Column, block: int) -> Column:
@@ -109,17 +125,28 @@ def _near_values(fp: Column) -> Column:
     return F.flatten(F.array(*[around(block) for block in range(BLOCKS)]))
 
 
-def candidate_pairs(windows: DataFrame, prints: DataFrame, window_key: list[str]) -> DataFrame:
-    """Windows (window_key, m, fp) and items (key, item, m, fp) -> window_key, m, key, item of every pair within the radius."""
-    stored = prints.select("key", "item", "m", F.col("fp").alias("item_fp"), F.explode(_near_values(F.col("fp"))).alias("at")).select(
-        "key", "item", "m", "item_fp", "at.block", "at.value"
+def small(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows are few; otherwise the join goes by shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def candidate_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """Windows (m, fp, ...) and items (key, item, m, shingles, fp) -> one row for each pair within the radius."""
+    stored = small(
+        items.select("key", "m", F.col("fp").alias("item_fp"), F.explode(_near_values(F.col("fp"))).alias("at")).select(
+            "key", "m", "item_fp", "at.block", "at.value"
+        )
     )
     asked = windows.select(
-        *window_key, "m", "fp", F.posexplode(F.array(*[_byte(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "value")
+        *windows.columns, F.posexplode(F.array(*[_byte(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "value")
     )
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    met = asked.join(stored, ["m", "block", "value"]).filter(near)
-    return met.select(*window_key, "m", "key", "item").distinct()
+    other = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    # a pair can meet in several blocks; it counts in the first of them
+    earlier = F.lit(False)
+    for k in range(BLOCKS - 1):
+        earlier = earlier | ((F.col("block") > k) & (F.bit_count(_byte(other, k)) <= RADIUS // BLOCKS))
+    met = asked.join(stored, ["m", "block", "value"]).filter((F.bit_count(other) <= RADIUS) & ~earlier)
+    return met.drop("block", "value", "item_fp", "fp").join(small(items.select("key", "item", "shingles")), "key")
 
 
 def find_leaks(
@@ -137,10 +164,8 @@ def find_leaks(
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the anchors guarantee similarities from {SIMILARITY}")
-    counts, anchors, prints = item_tables(benchmark, item_col, item_text_col)
-    anchors = cut(anchors, "anchors")
-    if anchors.count() <= BROADCAST_ROWS:
-        anchors = F.broadcast(anchors)
+    items = item_table(benchmark, item_col, item_text_col)
+    anchors = small(cut(anchors_of(items), "anchors"))
     rows = pick(docs, id=id_col, text=text_col).select(
         F.monotonically_increasing_id().alias("row"), "id", words_of(F.col("text")).alias("words")
     )
@@ -153,51 +178,36 @@ def find_leaks(
         hits.select("row", "id", "n", "m", "place", first.alias("first"), _shingles(F.col("words"), first, last).alias("around")),
         "hits",
     )
+    # the shingles around a text's anchors, once each, in order: what its windows are made of
     near = (
         hits.select("row", F.posexplode("around").alias("off", "h"), "first")
-        .select("row", (F.col("first") + F.col("off")).alias("place"), "h")
-        .groupBy("row", "place")
+        .groupBy("row", (F.col("first") + F.col("off")).alias("place"))
         .agg(F.first("h").alias("h"))
-    )
-    near = cut(near, "near")
-    upto = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    summed = near.select(
-        "row", "place", "h", *[F.sum(lane).over(upto).alias(f"l{j}") for j, lane in enumerate(_lanes(F.col("h")))]
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("near"))
+        .select("row", F.col("near.place").alias("places"), F.col("near.h").alias("hashes"))
     )
     size = F.least("m", "n")
     windows = (
-        hits.select("row", "m", size.alias("size"), "first", F.least(F.col("place"), F.col("n") - size).alias("most"))
-        .select("row", "m", "size", F.explode(F.sequence("first", "most")).alias("start"))
+        hits.select("row", "id", "m", size.alias("size"), "first", F.least(F.col("place"), F.col("n") - size).alias("most"))
+        .select("row", "id", "m", "size", F.explode(F.sequence("first", "most")).alias("start"))
         .distinct()
-        .withColumn("place", F.col("start") + F.col("size") - 1)
-    )
-    ends = windows.join(summed.drop("h"), ["row", "place"]).drop("place")
-    begins = summed.select(
-        "row",
-        F.col("place").alias("start"),
-        *[(F.col(f"l{j}") - lane).alias(f"b{j}") for j, lane in enumerate(_lanes(F.col("h")))],
-    )
-    both = ends.join(begins, ["row", "start"])
-    fps = both.select(
-        "row", "start", "size", "m", _bits([F.col(f"l{j}") - F.col(f"b{j}") for j in range(LANES)], F.col("size")).alias("fp")
+        .join(near, "row")
     )
-    pairs = candidate_pairs(fps, prints, ["row", "start", "size"])
-    inside = (
-        pairs.withColumn("place", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)))
-        .join(near, ["row", "place"])
-        .groupBy("row", "start", "size", "key", "item", "m", "h")
-        .agg(F.count(F.lit(1)).alias("w"))
+    windows = windows.select(
+        "row", "id", "m", "start", F.slice("hashes", F.array_position("places", F.col("start")).cast("int"), F.col("size")).alias("window")
     )
-    shared = (
-        inside.join(counts.select("key", "h", "n"), ["key", "h"])
-        .groupBy("row", "start", "size", "key", "item", "m")
-        .agg(F.sum(F.least("w", "n")).alias("both"))
+    windows = windows.withColumn("fp", print_of(F.col("window")))
+    both = shared_weight(F.col("window"), F.col("shingles"))
+    found = (
+        candidate_pairs(windows, items)
+        .withColumn("size", F.size("window"))
+        .withColumn("both", both)
         .withColumn("similarity", F.col("both") / (F.col("size") + F.col("m") - F.col("both")))
         .filter(F.col("similarity") >= similarity)
     )
-    named = shared.join(hits.select("row", "id").distinct(), "row")
     best = F.max_by(F.struct("similarity", "start", "size"), F.struct("similarity", -F.col("start"))).alias("best")
-    return named.groupBy("id", "item").agg(best).select(
+    return found.groupBy("id", "item").agg(best).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),
         F.round("best.similarity", 6).alias("similarity"),

@@ -2,7 +2,8 @@ import random
 import re
 from collections import Counter
 
-from docloom.llm.decontamination import candidate_pairs, find_leaks
+from docloom.llm.decontamination import candidate_pairs, find_leaks, print_of, shared_weight
+from pyspark.sql import functions as F
 
 from .helpers import AWKWARD, doc_frame
 
@@ -72,7 +73,20 @@ def test_blocks_reach_the_radius(spark):
                 v ^= 1 << b
             windows.append((len(windows), 7, signed(v)))
     got = candidate_pairs(
-        spark.createDataFrame(windows, "row long, m int, fp long"), spark.createDataFrame([(i, *r) for i, r in enumerate(items)], "key long, item long, m int, fp long"), ["row"]
-    )
+        spark.createDataFrame(windows, "row long, m int, fp long"),
+        spark.createDataFrame([(i, *r, [i]) for i, r in enumerate(items)], "key long, item long, m int, fp long, shingles array<long>"),
+    ).collect()
     near = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 23
-    assert {(r.row, r.item) for r in got.collect()} == {(w, i) for w, _, a in windows for i, _, b in items if near(a, b)}
+    want = sorted((w, i) for w, _, a in windows for i, _, b in items if near(a, b))
+    assert sorted((r.row, r.item) for r in got) == want
+
+
+def test_prints_and_weights(spark):
+    rng = random.Random(10)
+    rows = [([rng.randint(-(2**63), 2**63 - 1) for _ in range(rng.choice([1, 2, 7, 40]))],) for _ in range(20)]
+    got = [r.fp for r in spark.createDataFrame(rows, "h array<long>").select(print_of(F.col("h")).alias("fp")).collect()]
+    ones = lambda hs, b: sum(h >> b & 1 for h in hs)
+    assert [fp & (2**64 - 1) for fp in got] == [sum(1 << b for b in range(64) if 2 * ones(hs, b) > len(hs)) for (hs,) in rows]
+    pairs = [([1, 2, 3], [2, 3, 4]), ([1, 1, 1, 2], [1, 1, 2, 2]), ([5], [6])]
+    frame = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(shared_weight(F.col("a"), F.col("b")).alias("n"))
+    assert [r.n for r in frame.collect()] == [2, 3, 0]

@@ -1,10 +1,407 @@
-"""Registered queries of the engine's own operators and their DuckDB SQL."""
+"""Registered queries of the engine's own operators; their DuckDB SQL is in ``oracles``."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from ..config import SECTIONS, EngineConfig
+from ..functions import text as tx
+from ..operators import chunking, cleaning, evaluate, inspection, mining, patterns, profile, search, semantic, validate
+from ..operators.embedding import HashingEmbedder
+from ..operators.sections import explode_sections
+from ..sources import io
+from .oracles import ORACLE_SQL
+
+CONFIG = EngineConfig()
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def digest(col: str = "text"):
+    return F.md5(F.col(col).cast("binary"))
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions made of the documents' letters, one of eight templates by doc_id: the documents hold no headers."""
+    letters = F.trim(F.regexp_replace("text", "[^a-z]+", " "))
+    rows = documents(spark, sf_dir).select("doc_id", letters.alias("b")).filter(F.length("b") >= 600)
+    p1, p2, p3, p4 = (F.trim(F.substring("b", 1 + 150 * i, 140)) for i in range(4))
+    join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    templates = [
+        join("OYAL: ", p1, ". KANUN: ", p2, ". KARAR: ", p3, ". GEREKÇE: ", p4, "."),
+        join("OLAYLAR: ", p1, ". DEĞERLENDİRME: ", p2, ". HÜKÜM: ", p3, "."),
+        join("DAVA VE KARAR: ", p1, ". SONUÇ ", p2, "."),
+        join("zz ", p1, ". ", p2, "."),
+        join("zz ", p1, ". Gereği görüşülüp düşünüldü; ", p2, ". ", p3, " reddine karar verilmiştir."),
+        join("zz ", p1, ". ", p2, ". ", p3, " reddine karar verilmiştir."),
+        join("KARAR: ", F.repeat(join(p1, ". "), F.lit(40))),
+        join("zz ", F.trim(F.left(p1, F.lit(60))), " onanmasına karar verildi."),
+    ]
+    text = F.get(F.array(*templates), F.pmod("doc_id", F.lit(8)).cast("int"))
+    return rows.select("doc_id", text.alias("text"))
+
+
+# -- ingest and cleaning -------------------------------------------------------------------------
+
+
+@query
+def ingest_alias_head(spark, sf_dir):
+    raw = documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"), F.col("source").alias("kaynak"))
+    mapped = io.map_columns(raw, F.col("doc_id"))
+    return io.head(mapped, 100).select("doc_ord", "id", "source", "esasNo", F.length("text").alias("n"))
+
+
+@query
+def clean_text(spark, sf_dir):
+    return cleaning.clean(documents(spark, sf_dir)).select("doc_id", F.length("text").alias("n"), digest().alias("digest"))
+
+
+@query
+def clean_filter_dedup(spark, sf_dir):
+    return cleaning.clean_filter_dedup(documents(spark, sf_dir), CONFIG).select("doc_id", "source", F.length("text").alias("n"))
+
+
+@query
+def clean_report(spark, sf_dir):
+    return cleaning.clean_report(documents(spark, sf_dir), CONFIG)
+
+
+@query
+def clean_profile(spark, sf_dir):
+    return profile.length_stats(cleaning.clean_filter_dedup(documents(spark, sf_dir), CONFIG), "lang")
+
+
+@query
+def pattern_apply(spark, sf_dir):
+    found = patterns.pattern_file([{"pattern": "the <NUM>"}], [], {})
+    regexes = [*patterns.select_patterns(found, mined=True), r"(?iU)token\s+=\s+"]
+    return cleaning.clean(documents(spark, sf_dir), regexes).select("doc_id", digest().alias("digest"))
+
+
+# -- profile -------------------------------------------------------------------------------------
+
+
+@query
+def profile_length(spark, sf_dir):
+    return profile.length_stats(documents(spark, sf_dir))
+
+
+@query
+def profile_hist(spark, sf_dir):
+    return profile.length_histogram(documents(spark, sf_dir))
+
+
+@query
+def profile_source(spark, sf_dir):
+    return profile.value_shares(documents(spark, sf_dir), "source")
+
+
+@query
+def profile_nulls(spark, sf_dir):
+    return profile.null_counts(documents(spark, sf_dir))
+
+
+@query
+def profile_dups(spark, sf_dir):
+    return profile.duplicate_count(documents(spark, sf_dir))
+
+
+@query
+def profile_encoding(spark, sf_dir):
+    return profile.encoding_count(documents(spark, sf_dir))
+
+
+@query
+def profile_sample(spark, sf_dir):
+    return profile.sample(documents(spark, sf_dir), 50).select("doc_id")
+
+
+# -- text functions ------------------------------------------------------------------------------
+
+
+@query
+def text_snippet(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.snippet(F.col("text"), 120).alias("snippet"))
+
+
+@query
+def token_set(spark, sf_dir):
+    sets = documents(spark, sf_dir).select("doc_id", tx.words(F.col("text")).alias("w"), tx.first_tokens(F.col("text")).alias("t"))
+    return sets.select("doc_id", F.size("w").alias("n_words"), F.array_join(F.array_sort("t"), " ").alias("tokens"))
+
+
+@query
+def word_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", tx.word_count(F.col("text")).alias("n"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    return each.select("doc_id", "pos", digest("sentence").alias("digest"))
+
+
+@query
+def template_normalize(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 400).alias("t"))
+    extra = F.concat(F.lit("12/03/2019 gün 2018/1234 sayılı m.141 ve Madde 5 ile 77 "), F.col("t"))
+    return rows.select("doc_id", tx.normalize_template(extra).alias("pattern"))
+
+
+# -- mining and inspection -----------------------------------------------------------------------
+
+
+@query
+def mine_boilerplate(spark, sf_dir):
+    return mining.mine_patterns(documents(spark, sf_dir), min_docs=3, top=30)
+
+
+@query
+def review_counts(spark, sf_dir):
+    marks = documents(spark, sf_dir).select(F.col("lang").alias("category"), (F.col("doc_id") % 3 == 0).alias("is_boilerplate"))
+    return mining.review_counts(marks)
+
+
+@query
+def header_candidates(spark, sf_dir):
+    return inspection.header_candidates(decisions(spark, sf_dir))
+
+
+@query
+def cue_coverage(spark, sf_dir):
+    return inspection.cue_coverage(decisions(spark, sf_dir))
+
+
+@query
+def section_coverage(spark, sf_dir):
+    return inspection.section_coverage(decisions(spark, sf_dir))
+
+
+@query
+def general_docs(spark, sf_dir):
+    return inspection.general_only(decisions(spark, sf_dir)).select("doc_id")
+
+
+@query
+def stratified_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return mining.stratified_sample(rows, 60, None, "label", tuple(range(10)), "vec_id")
+
+
+# -- sections and chunks -------------------------------------------------------------------------
+
+
+@query
+def sections(spark, sf_dir):
+    return explode_sections(decisions(spark, sf_dir))
+
+
+@query
+def section_dist(spark, sf_dir):
+    return chunking.share_of(chunking.chunk_decisions(decisions(spark, sf_dir), CONFIG), "section")
+
+
+@query
+def chunk_pack(spark, sf_dir):
+    pieces = chunking.pack(tx.clean_text(F.col("text")), 300, 30)
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece_ord", "piece"))
+    return each.select("doc_id", "piece_ord", F.length("piece").alias("n"), digest("piece").alias("digest"))
+
+
+@query
+def chunk_policy(spark, sf_dir):
+    return chunking.chunk_decisions(decisions(spark, sf_dir), CONFIG)
+
+
+@query
+def chunk_dedup_ids(spark, sf_dir):
+    return chunking.chunk_table(decisions(spark, sf_dir), CONFIG)
+
+
+@query
+def chunk_metrics(spark, sf_dir):
+    docs = decisions(spark, sf_dir)
+    return chunking.chunk_stats(chunking.chunk_table(docs, CONFIG), docs.count())
+
+
+# -- validation ----------------------------------------------------------------------------------
+
+
+def bent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a chunk table with faults of every kind, by doc_id."""
+    d, t = F.col("doc_id"), F.col("text")
+    return documents(spark, sf_dir).select(
+        F.when(d % 50 == 1, d - 1).otherwise(d).alias("chunk_id"),
+        F.when(d % 70 == 0, F.lit(" ")).otherwise(t).alias("text"),
+        F.get(F.array(*map(F.lit, [*SECTIONS, "BAŞKA"])), (d % 6).cast("int")).alias("section"),
+        d.cast("string").alias("original_doc_id"),
+        (F.length(t) + F.when(d % 90 == 0, 1).otherwise(0)).cast("int").alias("length"),
+        (d % 4 == 0).alias("is_atomic"),
+    )
+
+
+@query
+def chunk_invariants(spark, sf_dir):
+    return validate.check_invariants(bent_chunks(spark, sf_dir), CONFIG)
+
+
+@query
+def general_rate(spark, sf_dir):
+    return validate.general_rate(chunking.chunk_decisions(decisions(spark, sf_dir), CONFIG).withColumnRenamed("doc", "original_doc_id"))
+
+
+@query
+def word_coverage(spark, sf_dir):
+    return validate.word_coverage(decisions(spark, sf_dir), CONFIG)
+
+
+@query
+def coverage_summary(spark, sf_dir):
+    return validate.coverage_summary(decisions(spark, sf_dir), CONFIG)
+
+
+@query
+def chunk_overlap(spark, sf_dir):
+    return validate.chunk_overlap(chunking.chunk_decisions(decisions(spark, sf_dir), CONFIG), CONFIG)
+
+
+# -- vectors and search --------------------------------------------------------------------------
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as chunks: sections and documents by label, texts by id."""
+    v = table(spark, sf_dir, "embeddings")
+    name = F.get(F.array(*map(F.lit, SECTIONS)), (F.col("label") % 5).cast("int"))
+    rows = v.select(F.col("vec_id").alias("chunk_id"), "embedding", name.alias("section"), F.col("label").cast("string").alias("original_doc_id"))
+    texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
+    return rows.join(texts, "chunk_id")
+
+
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = vector_queries(spark, sf_dir).withColumn(
+        "value", F.when(F.col("query_id") % 100 == 0, F.lit(" of the | THE, und , ")).otherwise(F.lit("no words"))
+    )
+    return io.parse_queries(asked)
+
+
+@query
+def knn_l2(spark, sf_dir):
+    near = search.knn(vector_queries(spark, sf_dir), table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id"), 10)
+    return near.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def search_plain(spark, sf_dir):
+    found = search.search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), CONFIG, None, False)
+    return found.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query
+def search_rerank(spark, sf_dir):
+    found = search.search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), CONFIG, 7, True)
+    return found.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
+@query
+def knn_diversify(spark, sf_dir):
+    hits = search.search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), CONFIG, 60, False)
+    return search.diversify(hits, 5)
+
+
+@query
+def intra_coherence(spark, sf_dir):
+    return semantic.mean_pairwise_cosine(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query
+def coherence_summary(spark, sf_dir):
+    return semantic.coherence_summary(table(spark, sf_dir, "embeddings"), "label")
+
+
+@query
+def within_section(spark, sf_dir):
+    return semantic.within_section(corpus(spark, sf_dir))
+
+
+@query
+def separability(spark, sf_dir):
+    return semantic.separability(corpus(spark, sf_dir))
+
+
+@query
+def redundancy(spark, sf_dir):
+    every = corpus(spark, sf_dir)
+    return semantic.redundancy(every.filter(F.col("chunk_id") % 10 == 0), every, 0.5)
+
+
+@query
+def index_stats(spark, sf_dir):
+    return io.metadata(table(spark, sf_dir, "embeddings"), CONFIG.st_model_name, True, "2025-01-01")
+
+
+@query
+def hashing_vectors(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 300).alias("text"))
+    return HashingEmbedder(32).embed(rows).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+# -- benchmark -----------------------------------------------------------------------------------
+
+
+@query
+def bench_parse(spark, sf_dir):
+    lines = table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        F.when(F.col("item_id") % 7 == 0, F.lit("# note"))
+        .when(F.col("item_id") % 7 == 1, F.lit("  "))
+        .when(F.col("item_id") % 7 == 2, F.concat(F.lit(" "), F.substring("text", 1, 20)))
+        .otherwise(F.concat(F.substring("text", 1, 20), F.lit(" | Alpha, ,BETA | c,"), F.substring("text", 1, 5)))
+        .alias("value"),
+    )
+    return io.parse_queries(lines).withColumn("keywords", F.array_join("keywords", ";"))
+
+
+def labelled(spark: SparkSession, sf_dir: str, weigh: bool) -> tuple[DataFrame, DataFrame]:
+    asked = keyword_queries(spark, sf_dir)
+    hits = search.search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), CONFIG, None, weigh)
+    return evaluate.label_hits(hits, asked, CONFIG), asked
+
+
+@query
+def bench_relevance(spark, sf_dir):
+    hits, _ = labelled(spark, sf_dir, True)
+    return hits.select("query_id", "rank", "chunk_id", "relevant")
+
+
+@query
+def bench_precision(spark, sf_dir):
+    hits, asked = labelled(spark, sf_dir, True)
+    return evaluate.precision(hits, asked)
+
+
+@query
+def bench_report(spark, sf_dir):
+    (hits, asked), (plain, _) = labelled(spark, sf_dir, True), labelled(spark, sf_dir, False)
+    return evaluate.report(hits, plain, asked).drop("latency_ms_mean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import ATOMIC, EngineConfig
 from ..functions.lineage import dense_ids, first_by
-from ..functions.text import fold, sentences, strip, text_of
+from ..functions.text import bind, fold, sentences, strip, text_of
 from .sections import explode_sections
 
 
@@ -19,29 +19,35 @@ def pack(col: Column, size: int, overlap: int) -> Column:
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
-    text, step = strip(text_of(col)), size - overlap
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    step = size - overlap
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("out"), F.lit("").alias("cur"))
+
+    def flush(acc: Column, nxt: Column) -> Column:
+        done = F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
+        cuts = F.greatest(F.lit(0), F.ceil((F.length(nxt) - size) / step)).cast("int")
+
+        def cut(n: Column) -> Column:
+            pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(nxt, i * step + 1, F.lit(size)))
+            out = F.when(n > 0, F.concat(done, pieces)).otherwise(done)
+            return F.struct(out.alias("out"), F.substring(nxt, n * step + 1, F.length(nxt)).alias("cur"))
+
+        return bind(cuts, cut)
 
     def add(acc: Column, s: Column) -> Column:
         cur = acc["cur"]
         fits = F.length(cur) + F.length(s) + 1 <= size
-        flushed = F.when(cur != "", F.concat(acc["out"], F.array(cur))).otherwise(acc["out"])
         tail = F.right(cur, F.lit(overlap)) if overlap else F.lit("")
-        nxt = F.trim(F.concat(tail, F.lit(" "), s))
-        cuts = F.greatest(F.lit(0), F.ceil((F.length(nxt) - size) / step)).cast("int")
-        pieces = F.when(
-            cuts > 0, F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.substring(nxt, i * step + 1, F.lit(size)))
-        ).otherwise(F.array().cast("array<string>"))
-        rest = F.substring(nxt, cuts * step + 1, F.length(nxt))
-        return F.when(fits, F.struct(acc["out"].alias("out"), F.trim(F.concat(cur, F.lit(" "), s)).alias("cur"))).otherwise(
-            F.struct(F.concat(flushed, pieces).alias("out"), rest.alias("cur"))
-        )
+        joined = F.struct(acc["out"].alias("out"), F.trim(F.concat(cur, F.lit(" "), s)).alias("cur"))
+        return F.when(fits, joined).otherwise(bind(F.trim(F.concat(tail, F.lit(" "), s)), lambda nxt: flush(acc, nxt)))
 
     end = lambda acc: F.when(acc["cur"] != "", F.concat(acc["out"], F.array(acc["cur"]))).otherwise(acc["out"])
-    packed = F.aggregate(sentences(text), start, add, end)
-    return (
-        F.when(text == "", F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(packed)
-    )
+
+    def packed(text: Column) -> Column:
+        whole = F.when(text == "", none).when(F.length(text) <= size, F.array(text))
+        return whole.otherwise(F.aggregate(sentences(text), start, add, end))
+
+    return bind(strip(text_of(col)), packed)
 
 
 def chunk_decisions(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,8 +61,8 @@ def chunk_decisions(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id
     rows = rows.withColumn("is_atomic", atomic).withColumn(
         "pieces", F.when(atomic, F.array("text")).otherwise(pack(F.col("text"), config.chunk_size, config.chunk_overlap))
     )
-    each = rows.select("doc", "sec_ord", "section", "is_atomic", F.posexplode("pieces").alias("piece_ord", "piece"))
-    each = each.withColumn("text", strip(F.col("piece")))
+    each = rows.select("doc", "sec_ord", "section", "is_atomic", F.posexplode_outer("pieces").alias("piece_ord", "piece"))
+    each = each.filter("piece IS NOT NULL").withColumn("text", strip(F.col("piece")))
     kept = each.filter(F.col("is_atomic") | (F.length("text") >= config.min_chunk_chars))
     return kept.select("doc", "sec_ord", "piece_ord", "section", "text", "is_atomic")
 

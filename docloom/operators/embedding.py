@@ -30,7 +30,7 @@ class HashingEmbedder:
         self.dimension, self.normalize = dimension, normalize
 
     def vector(self, text: Column) -> Column:
-        hashes = F.transform(split_words(F.lower(text)), F.xxhash64)
+        hashes = F.transform(split_words(F.lower(text)), lambda w: F.xxhash64(w))
         zero = F.array_repeat(F.lit(0.0), self.dimension)
         slot = lambda h: F.pmod(h, F.lit(self.dimension)).cast("int")
         sign = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)

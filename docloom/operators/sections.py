@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FACTS, GENERAL, LAW, REASONS, RULING
-from ..functions.text import strip, text_of
+from ..functions.text import bind, strip, text_of
 from ..schemas import SECTION_LIST
 
 #: Header variants of each section.
@@ -52,10 +52,13 @@ def _section(name: Column | str, text: Column) -> Column:
 
 def header_of(fragment: Column) -> Column:
     """Section whose longest header variant begins the fragment and is no part of a longer word; else null."""
-    head = F.upper(F.left(fragment, F.lit(HEAD_CHARS)))
     table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(s).alias("s")) for v, s in VARIANTS])
-    fits = lambda x: F.startswith(head, x["v"]) & ~F.substring(head, F.length(x["v"]) + 1, F.lit(1)).rlike(r"^\p{L}")
-    return F.get(F.filter(table, fits), 0)["s"]
+
+    def best(head: Column) -> Column:
+        after = lambda x: F.substring(head, F.length(x["v"]) + 1, F.lit(1))
+        return F.get(F.filter(table, lambda x: F.startswith(head, x["v"]) & ~after(x).rlike(r"^\p{L}")), 0)["s"]
+
+    return bind(F.upper(F.left(fragment, F.lit(HEAD_CHARS))), best)
 
 
 def header_sections(text: Column) -> Column:
@@ -66,10 +69,11 @@ def header_sections(text: Column) -> Column:
     """
     fragments = F.filter(F.transform(F.split(text, MARKER), strip), lambda x: x != "")
     named = F.transform(fragments, lambda f: F.struct(header_of(f).alias("name"), f.alias("text")))
-    empty = F.lit(None).cast(SECTION_LIST)
 
     def add(found: Column, f: Column) -> Column:
-        name = F.coalesce(f["name"], F.when(F.size(found) == 0, FACTS).otherwise(GENERAL))
+        return bind(F.coalesce(f["name"], F.when(F.size(found) == 0, FACTS).otherwise(GENERAL)), lambda n: place(found, f, n))
+
+    def place(found: Column, f: Column, name: Column) -> Column:
         joined = F.transform(
             found, lambda s: F.when(s["section"] == name, _section(name, F.concat(s["text"], F.lit(" "), f["text"]))).otherwise(s)
         )
@@ -77,8 +81,8 @@ def header_sections(text: Column) -> Column:
         return F.when(known, joined).otherwise(F.concat(found, F.array(_section(name, f["text"]))))
 
     start = F.array().cast(SECTION_LIST)
-    found = F.aggregate(named, start, add)
-    return F.when(F.exists(named, lambda f: f["name"].isNotNull()), found).otherwise(F.coalesce(empty, start))
+    matched = lambda names: F.exists(names, lambda f: f["name"].isNotNull())
+    return bind(named, lambda names: F.when(matched(names), F.aggregate(names, start, add)).otherwise(start))
 
 
 def ruling_start(text: Column) -> Column:
@@ -100,27 +104,32 @@ def ruling_start(text: Column) -> Column:
         lambda acc: acc["starts"],
     )
     half = F.floor(F.length(text) / 2)
-    place = F.coalesce(F.get(F.filter(starts, lambda x: x >= half), 0), F.get(starts, F.size(starts) - 1))
-    before = F.left(text, place)
-    back = F.instr(F.reverse(before), ".")
-    return F.when(place.isNull(), None).when(back == 0, 0).otherwise(place - back + 1)
+    first = lambda found: F.coalesce(F.get(F.filter(found, lambda x: x >= half), 0), F.get(found, F.size(found) - 1))
+
+    def after_period(place: Column) -> Column:
+        back = lambda r: F.when(place.isNull(), None).when(r == 0, 0).otherwise(place - r + 1)
+        return bind(F.instr(F.reverse(F.left(text, place)), "."), back)
+
+    return bind(bind(starts, first), after_period)
 
 
 def cue_sections(text: Column, ruling: Column) -> Column:
     """Sections of a text without headers, by the transition phrase or the ruling's place (``ruling_start``)."""
-    place = F.regexp_instr(text, F.lit(TRANSITION))
-    phrase = F.regexp_substr(text, F.lit(TRANSITION))
-    facts = strip(F.left(text, place - 1))
-    rest = strip(F.substring(text, place + F.length(phrase), F.length(text)))
     whole = F.array(_section(GENERAL, strip(text)))
-    parted = F.filter(F.array(_section(FACTS, facts), _section(REASONS, rest)), lambda s: s["text"] != "")
-    tail = F.array(
-        _section(FACTS, strip(F.left(text, ruling))),
-        _section(RULING, strip(F.substring(text, ruling + 1, F.length(text)))),
-    )
-    return (
-        F.when(place > 0, F.when(F.size(parted) > 0, parted).otherwise(whole)).when(ruling > 0, tail).otherwise(whole)
+
+    def around(at: Column) -> Column:
+        facts, rest = strip(F.left(text, at["place"] - 1)), F.substring(text, at["place"] + F.length(at["phrase"]), F.length(text))
+        parted = F.filter(F.array(_section(FACTS, facts), _section(REASONS, strip(rest))), lambda s: s["text"] != "")
+        return bind(parted, lambda p: F.when(F.size(p) > 0, p).otherwise(whole))
+
+    def by_ruling(start: Column) -> Column:
+        front, tail = strip(F.left(text, start)), strip(F.substring(text, start + 1, F.length(text)))
+        return F.when(start > 0, F.array(_section(FACTS, front), _section(RULING, tail))).otherwise(whole)
+
+    found = F.struct(
+        F.regexp_instr(text, F.lit(TRANSITION)).alias("place"), F.regexp_substr(text, F.lit(TRANSITION)).alias("phrase")
     )
+    return bind(found, lambda at: F.when(at["place"] > 0, around(at)).otherwise(bind(ruling, by_ruling)))
 
 
 def extract_sections(docs: DataFrame, text_col: str = "text", out: str = "sections") -> DataFrame:
@@ -159,4 +168,6 @@ def extract_sections(docs: DataFrame, text_col: str = "text", out: str = "sectio
 def explode_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, sec_ord, section, text: one row per section."""
     found = extract_sections(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")))
-    return found.select("doc", F.posexplode("sections").alias("sec_ord", "s")).select("doc", "sec_ord", "s.section", "s.text")
+    # the outer form: the optimizer would repeat the whole expression in a filter below the inner one
+    each = found.select("doc", F.posexplode_outer("sections").alias("sec_ord", "s")).filter("s IS NOT NULL")
+    return each.select("doc", "sec_ord", "s.section", "s.text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SECTIONS, EngineConfig
 from ..functions import text as tx
+from ..functions.lineage import cut
 from ..operators import chunking, cleaning, evaluate, inspection, mining, patterns, profile, search, semantic, validate
 from ..operators.embedding import HashingEmbedder
 from ..operators.sections import explode_sections
@@ -56,7 +57,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         join("zz ", F.trim(F.left(p1, F.lit(60))), " onanmasına karar verildi."),
     ]
     text = F.get(F.array(*templates), F.pmod("doc_id", F.lit(8)).cast("int"))
-    return rows.select("doc_id", text.alias("text"))
+    # written once: the sectioning expressions name their text often, and it should be a column, not this expression
+    return cut(rows.select("doc_id", text.alias("text")), "decisions")
 
 
 # -- ingest and cleaning -------------------------------------------------------------------------
@@ -222,7 +224,7 @@ def section_dist(spark, sf_dir):
 @query
 def chunk_pack(spark, sf_dir):
     pieces = chunking.pack(tx.clean_text(F.col("text")), 300, 30)
-    each = documents(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece_ord", "piece"))
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode_outer(pieces).alias("piece_ord", "piece")).filter("piece IS NOT NULL")
     return each.select("doc_id", "piece_ord", F.length("piece").alias("n"), digest("piece").alias("digest"))
 
 

@@ -208,8 +208,8 @@ ORACLE_SQL: dict[str, str] = {
         UNION ALL SELECT chunk_id, 'atomic too long' FROM c WHERE is_atomic AND length > 4000
         UNION ALL SELECT chunk_id, 'split too long' FROM c WHERE NOT is_atomic AND length > 1000
         UNION ALL SELECT chunk_id, 'duplicate chunk_id' FROM (SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id) AS r FROM c) WHERE r > 1""",
-    "general_rate": f"""WITH {CHUNKS} SELECT count(*) AS n_docs, count(*) FILTER (WHERE only) AS n_general, round(100.0 * count(*) FILTER (WHERE only) / count(*), 6) AS pct
-        FROM (SELECT doc, bool_and(section = 'GENEL') AS only FROM chunks GROUP BY doc)""",
+    "general_rate": f"""WITH {CHUNKS} SELECT count(*) AS n_docs, count(*) FILTER (WHERE g) AS n_general, round(100.0 * count(*) FILTER (WHERE g) / count(*), 6) AS pct
+        FROM (SELECT doc, bool_and(section = 'GENEL') AS g FROM chunks GROUP BY doc)""",
     "word_coverage": f"""WITH {CHUNKS}, own AS (SELECT doc, list_distinct(flatten(list({WORDS.format(e="text")}))) AS w FROM chunks GROUP BY doc),
         o AS (SELECT doc_id AS doc, {WORDS.format(e="text")} AS t FROM decisions)
         SELECT doc, len(t) AS n_words, len(list_intersect(t, coalesce(w, []))) AS n_covered, round(len(list_intersect(t, coalesce(w, []))) / len(t), 6) AS coverage

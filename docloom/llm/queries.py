@@ -61,7 +61,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text) END AS other,
+        (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
+q AS (SELECT *, (CASE WHEN other <= 0.05 THEN 1.0 WHEN other <= 0.15 THEN 0.75 WHEN other <= 0.30 THEN 0.5 ELSE 0.25 END)::DOUBLE AS quality FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM q GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][place % 3 + 1]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+l AS (SELECT *, (SELECT sum(source_size)::DOUBLE FROM w) AS total, cap / weight AS level FROM w),
+g AS (SELECT a.*, (SELECT sum(least(b.cap, a.level * b.weight)) FROM l b) < total AS capped FROM l a),
+t AS (SELECT *, CASE WHEN capped THEN cap ELSE least(cap, weight * ((total - coalesce((SELECT sum(cap) FROM g WHERE capped), 0))
+        / (SELECT sum(weight) FROM g WHERE NOT capped))) END AS target FROM g),
+e AS (SELECT q.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,
+        sum(q.size) OVER (PARTITION BY q.source ORDER BY -ln(u) / quality, doc_id, q.size ROWS UNBOUNDED PRECEDING) AS upto
+    FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target, quality, epochs,
+    (size * (epochs + CASE WHEN 2.0 * upto - size <= 2.0 * (target - epochs * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM e""",
+    "op7_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id)::INT AS rank,
+    c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5""",
+}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,

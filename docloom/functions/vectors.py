@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from .text import bind
 
 
 def doubles(v: Column) -> Column:
@@ -26,7 +27,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, least: float = 1e-8) -> Column:
     """The vector at length one; lengths below ``least`` count as it."""
-    return F.transform(v, lambda x: x / F.greatest(norm(v), F.lit(least)))
+    return bind(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def cosine_of_l2(d: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import split_words, with_prefix
+from ..functions.text import bind, split_words, with_prefix
 from ..functions.vectors import unit
 
 
@@ -30,14 +30,15 @@ class HashingEmbedder:
         self.dimension, self.normalize = dimension, normalize
 
     def vector(self, text: Column) -> Column:
-        hashes = F.transform(split_words(F.lower(text)), lambda w: F.xxhash64(w))
-        zero = F.array_repeat(F.lit(0.0), self.dimension)
-        slot = lambda h: F.pmod(h, F.lit(self.dimension)).cast("int")
-        sign = lambda h: F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
-        counts = F.aggregate(
-            hashes, zero, lambda acc, h: F.transform(acc, lambda x, i: F.when(i == slot(h), x + sign(h)).otherwise(x))
-        )
-        return unit(counts) if self.normalize else counts
+        def place(w: Column) -> Column:
+            h = F.xxhash64(w)
+            sign = F.when(F.shiftright(h, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
+            return F.struct(F.pmod(h, F.lit(self.dimension)).cast("int").alias("slot"), sign.alias("sign"))
+
+        places = F.transform(split_words(F.lower(text)), place)
+        add = lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p["slot"], x + p["sign"]).otherwise(x))
+        counts = F.aggregate(places, F.array_repeat(F.lit(0.0), self.dimension), add)
+        return bind(counts, unit) if self.normalize else counts
 
     def embed(self, df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
         return df.withColumn(out, self.vector(F.col(text_col)))

@@ -130,7 +130,7 @@ def searched(k: int, weigh: bool, name: str = "found", candidates: int = 30) ->
     return f"""{name}_near AS (SELECT n.query_id, n.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, n.chunk_id) AS r,
     round(greatest(0, least(1, 1 - distance / 2)), 4) AS similarity_score, text, section, original_doc_id
     FROM near n JOIN corpus USING (chunk_id) QUALIFY r <= {max(candidates, k)}),
-{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, r) AS rank, chunk_id, text, section,
+{name} AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, r))::INT AS rank, chunk_id, text, section,
     original_doc_id, similarity_score, section_weight, final_score FROM (SELECT *, {weight} AS section_weight,
     round(similarity_score * {weight}, 4) AS final_score FROM {name}_near) QUALIFY rank <= {k})"""
 
@@ -217,7 +217,7 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_overlap": f"""WITH {CHUNKS}, p AS (SELECT doc, section, text, lead(text) OVER (PARTITION BY doc, sec_ord ORDER BY piece_ord) AS nxt FROM chunks WHERE NOT is_atomic)
         SELECT doc, section, count(*) AS n_pairs, count(*) FILTER (WHERE len(list_filter(range(greatest(0, length(left(nxt, 200)) - 14)),
             lambda i: contains(right(text, 200), substr(left(nxt, 200), (i + 1)::INT, 15)))) > 0) AS n_overlap FROM p WHERE nxt IS NOT NULL GROUP BY doc, section""",
-    "knn_l2": f"""WITH {VECTORS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank, chunk_id,
+    "knn_l2": f"""WITH {VECTORS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id,
         round(distance, 6) AS distance FROM near QUALIFY rank <= 10""",
     "search_plain": f"WITH {VECTORS}, {CORPUS}, {searched(5, False)} {HITS}",
     "search_rerank": f"WITH {VECTORS}, {CORPUS}, {searched(7, True)} {HITS}",

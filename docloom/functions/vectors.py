@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from .text import bind
 
 
 def doubles(v: Column) -> Column:
@@ -27,7 +26,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column, least: float = 1e-8) -> Column:
     """The vector at length one; lengths below ``least`` count as it."""
-    return bind(F.greatest(norm(v), F.lit(least)), lambda n: F.transform(v, lambda x: x / n))
+    lengths = F.array_repeat(F.greatest(norm(v), F.lit(least)), F.size(v))
+    return F.zip_with(v, lengths, lambda x, n: x / n)
 
 
 def cosine_of_l2(d: Column) -> Column:

@@ -38,7 +38,7 @@ class HashingEmbedder:
         places = F.transform(split_words(F.lower(text)), place)
         add = lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p["slot"], x + p["sign"]).otherwise(x))
         counts = F.aggregate(places, F.array_repeat(F.lit(0.0), self.dimension), add)
-        return bind(counts, unit) if self.normalize else counts
+        return bind(counts, lambda c: unit(c)) if self.normalize else counts
 
     def embed(self, df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
         return df.withColumn(out, self.vector(F.col(text_col)))

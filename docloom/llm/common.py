@@ -76,3 +76,11 @@ def words_count(text: Column) -> Column:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split between learning and held-out rows."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
+
+
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """Marked for broadcast if it has ``most_rows`` rows at most; otherwise Spark joins it by shuffle.
+
+    The frame is counted, so it should be a table that ``cut`` returned.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

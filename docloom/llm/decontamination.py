@@ -33,7 +33,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, pick, small
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -125,17 +125,13 @@ def _near_values(fp: Column) -> Column:
     return F.flatten(F.array(*[around(block) for block in range(BLOCKS)]))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows are few; otherwise the join goes by shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def candidate_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     """Windows (m, fp, ...) and items (key, item, m, shingles, fp) -> one row for each pair within the radius."""
     stored = small(
         items.select("key", "m", F.col("fp").alias("item_fp"), F.explode(_near_values(F.col("fp"))).alias("at")).select(
             "key", "m", "item_fp", "at.block", "at.value"
-        )
+        ),
+        BROADCAST_ROWS,
     )
     asked = windows.select(
         *windows.columns, F.posexplode(F.array(*[_byte(F.col("fp"), k) for k in range(BLOCKS)])).alias("block", "value")
@@ -146,7 +142,7 @@ def candidate_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     for k in range(BLOCKS - 1):
         earlier = earlier | ((F.col("block") > k) & (F.bit_count(_byte(other, k)) <= RADIUS // BLOCKS))
     met = asked.join(stored, ["m", "block", "value"]).filter((F.bit_count(other) <= RADIUS) & ~earlier)
-    return met.drop("block", "value", "item_fp", "fp").join(small(items.select("key", "item", "shingles")), "key")
+    return met.drop("block", "value", "item_fp", "fp").join(small(items.select("key", "item", "shingles"), BROADCAST_ROWS), "key")
 
 
 def find_leaks(
@@ -165,7 +161,7 @@ def find_leaks(
     if similarity < SIMILARITY:
         raise ValueError(f"the anchors guarantee similarities from {SIMILARITY}")
     items = item_table(benchmark, item_col, item_text_col)
-    anchors = small(cut(anchors_of(items), "anchors"))
+    anchors = small(cut(anchors_of(items), "anchors"), BROADCAST_ROWS)
     rows = pick(docs, id=id_col, text=text_col).select(
         F.monotonically_increasing_id().alias("row"), "id", words_of(F.col("text")).alias("words")
     )

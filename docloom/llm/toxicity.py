@@ -285,3 +285,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Data
     """Fit and score: id, held_out, score, predicted, evidence."""
     scored = score_toxicity(docs, fit_toxicity(docs, labels, id_col), id_col)
     return scored.select(id_col, held_out(F.col(id_col), FOLDS, HELD).alias("held_out"), "score", "predicted", "evidence")
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows, with all their columns, whose prediction is not toxic.
+
+    A row is scored and kept or left out where it is read, so no text is shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col))
+    place = {c: i for i, c in enumerate(docs.columns)}
+    ids, texts = place[id_col], place[text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(ids).to_pylist(), batch.column(texts), strict=True)
+            yield batch.filter(pa.array([shared.value.score(t.as_py(), i)[0] < 0.5 for i, t in pairs], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

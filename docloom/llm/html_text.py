@@ -10,7 +10,8 @@ presentation adds a little. A branch's importance is that of the contents below
 it. The second pass drops low-importance branches from each page, beside those
 whose element or class names a menu, header, footer, sidebar, notice, advert,
 form or comment, and joins the blocks that remain. Where a page marks its
-article, only what lies inside can be main text.
+article, what lies inside is main text and nothing else; importance does not
+judge it, as near copies of an article repeat most of its blocks.
 
 The first pass sends hashes only; repeats within a page are merged before the
 shuffle and the counts are partial sums, so a host with a third of all pages is
@@ -205,7 +206,7 @@ def host_of(url: Column) -> Column:
 def main_blocks(found: list[Block], low: frozenset[int]) -> list[str]:
     """Texts of the blocks that stay."""
     marked = any(b.article and not b.aside for b in found)
-    return [b.text for b in found if not b.aside and (b.article or not marked) and low.isdisjoint(b.path)]
+    return [b.text for b in found if not b.aside and (b.article if marked else low.isdisjoint(b.path))]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:

@@ -70,3 +70,12 @@ def test_awkward_rows(spark):
     got = main_text(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in got) == [("1", 0), ("2", 0), ("2", 999_999), ("None", 1)]
     assert main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_near_copies_of_an_article_stay(spark):
+    parts = [[f"part {k}" if k != i else f"part {k} of variant {i}" for k in range(10)] for i in range(10)]
+    page = "<body><div>menu of the site</div><article><h1>Title</h1>{}</article></body>"
+    html = [page.format("".join(f"<p>{p}</p>" for p in each)) for each in parts]
+    rows = [(i, "http://h.example/a", h, "x", 1, "y") for i, h in enumerate(html)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "\n".join(["Title", *each]) for i, each in enumerate(parts)}

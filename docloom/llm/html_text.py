@@ -60,10 +60,14 @@ CLOSES = {
     "tr": ("tr td th", ("table",)),
     "td": ("td th", ("tr", "table")),
     "th": ("td th", ("tr", "table")),
-    "option": ("option", ("select",)),
+    "option": ("option", ("select", "datalist")),
+    "select": ("select", ()),
+    "button": ("button", ()),
+    "article": ("label button select option", ()),
+    "main": ("label button select option", ()),
 }
 #: Elements and class or id words that are never main text.
-ASIDE_TAGS = frozenset("head nav footer header aside form button select dialog menu label option".split())
+ASIDE_TAGS = frozenset("head nav footer header aside form button select datalist dialog menu label option".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice notices alert popup modal overlay "
@@ -71,6 +75,9 @@ ASIDE_WORDS = frozenset(
     "replies disqus widget toolbar copyright disclaimer pagination pager skip".split()
 )
 ARTICLE_TAGS = frozenset(["article", "main"])
+#: Their names never mark an aside, nor do names that start so on any element.
+WHOLE_TAGS = ARTICLE_TAGS | {"html", "body"}
+MODIFIERS = frozenset("has no with without".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]++|<)", re.S
@@ -86,6 +93,15 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def aside_name(names: str) -> bool:
+    """Whether a class, id or role names an aside; ``has-sidebar`` and the like only tell of one elsewhere."""
+    for name in names.lower().split():
+        words = NAME_WORD.findall(name)
+        if words and words[0] not in MODIFIERS and not ASIDE_WORDS.isdisjoint(words):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     """A run of text between block borders."""
@@ -146,7 +162,7 @@ def blocks_of(page: str | None) -> list[Block]:
         if page[at - 1] != ">":
             break
         if m[1]:
-            if tag in BLOCK:
+            if tag in BLOCK or tag in ASIDE_TAGS:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
                         flush()
@@ -172,25 +188,20 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag in CLOSES:
             names, scope = CLOSES[tag]
             close(tuple(names.split()), scope)
+        if tag in BLOCK:
+            close(("head",), ())
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        if tag in ("button", "select", "label", "option", "head"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if end is None and tag != "head":
-                break
-            if tag != "head":
-                at = end.end()
-                continue
         names = " ".join(v.strip("\"'") for _, v in NAMES.findall(m[3])) if m[3] else ""
         parent = stack[-1]
         if tag == "body":
             parent = root
             del stack[1:]
-        words = {w.lower() for w in NAME_WORD.findall(names)}
+        marks = tag not in WHOLE_TAGS and aside_name(names)
         node = Node(
             tag,
             digest(f"{parent.key}/{tag}.{names.lower()}"),
-            parent.aside or tag in ASIDE_TAGS or bool(words & ASIDE_WORDS),
+            parent.aside or tag in ASIDE_TAGS or marks,
             parent.article or tag in ARTICLE_TAGS,
         )
         node.path = (*parent.path, node.key)

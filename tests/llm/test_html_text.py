@@ -79,3 +79,24 @@ def test_near_copies_of_an_article_stay(spark):
     rows = [(i, "http://h.example/a", h, "x", 1, "y") for i, h in enumerate(html)]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: "\n".join(["Title", *each]) for i, each in enumerate(parts)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<datalist><option value=a><option value=b></datalist><p>text</p>", "text"),
+        ("<header><label>search<input></header><article><p>body</article><form><label>c</label></form>", "body"),
+        ("<div><label>unclosed</div><p>text</p>", "text"),
+        ("<label>unclosed<article><p>body</article>", "body"),
+        ("<p>a<select><option>x<option>y</select><button>go</button>b</p>", "a\nb"),
+        ("<button>unclosed<button>two</button><p>text", "text"),
+        ("<body class='has-sidebar'><p>text</p></body>", "text"),
+        ("<html class='no-menu'><body id=page-header><main class='search'><p>text</main>", "text"),
+        ("<article class='post has-comments'><p>body</p></article>", "body"),
+        ("<div class='with-sidebar'><p>text</p><div class='sidebar'>s</div></div>", "text"),
+        ("<head><title>t</title></head><p>text", "text"),
+        ("<head><meta name=a><p>text", "text"),
+    ],
+)
+def test_ordinary_markup_loses_nothing(page, text):
+    assert plain(page) == text

@@ -365,8 +365,7 @@ def index_stats(spark, sf_dir):
 
 @query
 def hashing_vectors(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 300).alias("text"))
-    return HashingEmbedder(32).embed(rows).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return HashingEmbedder(32).embed(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 # -- benchmark -----------------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 The vocabulary file of a byte-pair model is read once per worker. A text becomes
 a doubly linked list of symbols; a heap holds the adjacent pairs that form a
-piece; the pair of lowest rank (leftmost on ties) is merged until none is left.
+piece; the pair of lowest rank is merged until none is left. Ranks go by the
+pieces' scores, best first, not by their places in the file; pairs of one score
+are merged from the left.
 Every merge removes one symbol, so the count is *initial symbols minus merges*
 and no identifier is ever produced. A symbol outside the vocabulary falls back
 to its UTF-8 bytes and therefore starts as that many symbols, none of which merge.
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -70,20 +73,22 @@ class PieceCounter:
     NORMAL, USER, UNUSED = 1, 4, 5
 
     def __init__(self, model: bytes):
-        pieces: list[tuple[str, int]] = []
+        pieces: list[tuple[str, int, float]] = []
         identity, prefix = True, True
         for number, _, value in _fields(model):
             if number == 1:
                 fields = {n: v for n, _, v in _fields(value)}
-                pieces.append((fields[1].decode(), fields.get(3, self.NORMAL)))
+                score = struct.unpack("<f", fields[2])[0] if 2 in fields else 0.0
+                pieces.append((fields[1].decode(), fields.get(3, self.NORMAL), score))
             elif number == 3:
                 fields = {n: v for n, _, v in _fields(value)}
                 identity = fields.get(1) == b"identity" and not fields.get(4, 1)
                 prefix = bool(fields.get(3, 1))
-        if not identity or any(kind in (self.USER, self.UNUSED) for _, kind in pieces):
+        if not identity or any(kind in (self.USER, self.UNUSED) for _, kind, _ in pieces):
             raise NotImplementedError("only models without normalisation, user-defined or unused pieces are supported")
-        # Pieces stand in the order of their scores, best first, so the place is the rank.
-        self.rank = {piece: at for at, (piece, kind) in enumerate(pieces) if kind == self.NORMAL}
+        normal = {piece: score for piece, kind, score in pieces if kind == self.NORMAL}
+        ranks = {score: at for at, score in enumerate(sorted(set(normal.values()), reverse=True))}
+        self.rank = {piece: ranks[score] for piece, score in normal.items()}
         self.prefix = SPACE if prefix else ""
         self.segments = self._cuts()
         self.memo: dict[str, int] = {}

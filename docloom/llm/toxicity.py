@@ -1,23 +1,29 @@
 """Operator 3: toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled documents is the example set. Words
-and word prefixes that go significantly with the label (G test) make up the
-vocabulary, beside one term for all other words; document frequencies are then
-counted over the whole corpus.
-Examples and documents become unit TF-IDF vectors over it. The examples are kept
-in a block-max inverted index: for every term its weights by example, and for
-every block of examples the largest weight. A query sums the block maxima into
-upper bounds, visits blocks from the highest bound down, scores their examples
-exactly and stops when no bound reaches the k-th best similarity, so the k
-nearest are exact. Similarity-weighted votes, shrunk towards the share of the
-label and passed through a logistic curve fitted on leave-one-out votes, give the
-score; the nearest examples are its evidence.
-
-Defined results: null and empty texts, and texts without a term of the
-vocabulary, have a zero vector and no neighbours: their score is the toxic share
-of the examples that have none either. Ties go to the smaller id. Without any
-usable label every score is 0. Rows that repeat an id are scored one by one; an
-example that is itself scored does not vote for its own id.
+A bounded sample of labelled documents is the example set, and every word of
+theirs is a term. Document frequencies are counted over the whole corpus. A
+term's weight is (1 + log tf) * idf * rf ** 2, where rf = log2(2 + a / max(1, c))
+is the relevance frequency of supervised term weighting over the a toxic and c
+other examples that hold the term: without it function words and rare words
+outweigh the few telling ones. No term is selected or left out.
+
+The unit vectors of the examples are kept in a block-max inverted index: for
+every term its postings (example, weight) in blocks of examples, and the largest
+weight of each block. A query sums the block maxima into an upper bound of each
+block, scores the blocks of the highest bounds exactly, and then those whose
+bound reaches the k-th best similarity so far, so the k nearest are exact.
+Similarity-weighted votes, shrunk towards the share of the label and passed
+through a logistic curve fitted on leave-one-out votes, give the score; the
+nearest examples are its evidence.
+
+A score depends on the text alone: equal texts have equal scores whatever their
+ids. A text that is an example itself has itself among its neighbours.
+
+Defined results: words no example holds match nothing and are left out of a
+query's norm; null and empty texts, and texts without a known word, have no
+neighbours: their score is the toxic share of the examples that have none either.
+Ties go to the smaller id. Without any usable label every score is 0. Rows that
+repeat an id are scored one by one.
 """
 
 from __future__ import annotations
@@ -32,129 +38,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
-from .labelled import held_out, labelled_sample
-
-#: Bounds of what is learned from: labelled rows, terms.
-MOST_EXAMPLES = 8000
-MOST_TERMS = 512
-#: A term needs this G statistic (chi-square with one degree of freedom) and so many examples.
-LEAST_G = 30.0
-LEAST_EXAMPLES = 6
-#: Besides words, their first characters are terms, which gathers inflected forms.
-PREFIX = 6
-#: The words outside the vocabulary together are one more term, at this share of its weight: it carries density.
-REST, REST_WEIGHT = "~", 0.7
+from .common import discard, pick
+from .labelled import MOST_CHARS, held_out, labelled_sample
+
+#: Labelled rows that are learned from at most; their texts are bounded by ``labelled.MOST_CHARS``.
+MOST_EXAMPLES = 4000
 NEIGHBOURS = 15
-BLOCK = 64
+#: Examples in a block, and blocks that are scored before the first comparison with the bounds.
+BLOCK, FIRST_BLOCKS = 32, 4
 #: Weight of the label's share beside the neighbours' similarities.
 PRIOR_WEIGHT = 0.5
+#: The power of the relevance frequency in a term's weight.
+RELEVANCE = 2
 FOLDS, HELD = 5, 0
 TERM = re.compile(r"[^\W\d_]+")
+#: Texts up to so many characters whose results a worker remembers, and how many of them.
+MEMO_CHARS, MEMO_ENTRIES = 2000, 10_000
 
 
-def counts_of(text: str | None) -> Counter:
-    """Occurrences of each word and of each longer word's prefix (marked ``^``)."""
-    words = Counter(TERM.findall((text or "").lower()))
-    counts = Counter(words)
-    for w, n in words.items():
-        if len(w) > PREFIX:
-            counts[w[:PREFIX] + "^"] += n
-    return counts
-
-
-def known_counts(text: str | None, known: frozenset[str]) -> dict[str, int]:
-    """Occurrences of vocabulary terms; if there are any, the words beside them count as the term ``REST``."""
-    found: dict[str, int] = {}
-    rest = 0
-    for w, n in Counter(TERM.findall((text or "").lower())).items():
-        prefix = w[:PREFIX] + "^" if len(w) > PREFIX else ""
-        hits = [t for t in (w, prefix) if t in known]
-        for t in hits:
-            found[t] = found.get(t, 0) + n
-        rest += 0 if hits else n
-    if found:
-        found[REST] = max(1, rest)
-    return found
-
-
-def informative_terms(examples: DataFrame) -> DataFrame:
-    """(label, terms) rows -> term, g: terms that go with the label, by their G statistic, at most ``MOST_TERMS``."""
-    whole = examples.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count(F.lit(1)).alias("all")).first()
-    seen = examples.select((F.col("label") > 0).cast("double").alias("x"), F.explode("terms").alias("term")).groupBy("term").agg(
-        F.sum("x").alias("x"), F.count(F.lit(1)).cast("double").alias("n")
-    )
-    table = seen.filter(F.col("n") >= LEAST_EXAMPLES)
-    x, n, toxic, rows = F.col("x"), F.col("n"), F.lit(float(whole["toxic"])), F.lit(float(whole["all"]))
-    part = lambda found, expected: F.when(found > 0, found * F.log(F.try_divide(found, expected))).otherwise(0.0)
-    g = 2 * (
-        part(x, n * toxic / rows)
-        + part(n - x, n * (rows - toxic) / rows)
-        + part(toxic - x, (rows - n) * toxic / rows)
-        + part(rows - n - toxic + x, (rows - n) * (rows - toxic) / rows)
-    )
-    table = table.filter((n < rows) & (x * (rows - toxic) > (n - x) * toxic)).withColumn("g", F.round(g, 9))
-    return table.filter(F.col("g") >= LEAST_G).select("term", "g").orderBy(F.desc("g"), "term").limit(MOST_TERMS)
+def words_of(text: str | None) -> list[str]:
+    return TERM.findall((text or "").lower())
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples by term, with the largest weight of each block of examples."""
-
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int):
-        self.size = len(vectors)
-        blocks = -(-self.size // BLOCK)
-        self.weights = np.zeros((n_terms, blocks * BLOCK), np.float64)
-        for row, vector in enumerate(vectors):
-            for t, w in vector.items():
-                self.weights[t, row] = w
-        self.tops = self.weights.reshape(n_terms, blocks, BLOCK).max(axis=2)
-
-    def nearest(self, vector: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of highest positive cosine: (similarity, row), ties to the smaller row."""
-        terms = np.fromiter(vector, np.int64, len(vector))
-        query = np.fromiter(vector.values(), np.float64, len(vector))
-        bounds = query @ self.tops[terms]
-        best: list[tuple[float, int]] = []
-        for block in np.lexsort((np.arange(len(bounds)), -bounds)):
-            if bounds[block] <= 0 or (len(best) >= k and bounds[block] + 1e-12 < best[k - 1][0]):
-                break
-            at = block * BLOCK
-            scores = np.round(query @ self.weights[terms, at : at + BLOCK], 12)
-            best += [(float(scores[i]), int(at + i)) for i in np.flatnonzero(scores > 0) if at + i != without]
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+    """Sparse posting lists of unit vectors by term, with the largest weight of each block of rows.
+
+    ``stored`` is the order in which the rows are dealt into blocks: like beside
+    like makes bounds tight. It changes no result.
+    """
+
+    def __init__(self, terms: np.ndarray, rows: np.ndarray, weights: np.ndarray, n_terms: int, stored: np.ndarray):
+        self.stored, self.place = stored, np.argsort(stored)
+        rows = self.place[rows]
+        order = np.lexsort((rows, terms))
+        terms, self.rows, self.weights = terms[order], rows[order].astype(np.int32), weights[order]
+        self.n_blocks = -(-len(stored) // BLOCK)
+        block = self.rows // BLOCK
+        new = np.ones(len(terms), bool)
+        new[1:] = (terms[1:] != terms[:-1]) | (block[1:] != block[:-1])
+        # an entry is the part of a term's postings that lies in one block
+        self.starts = np.flatnonzero(new)
+        self.sizes = np.diff(np.append(self.starts, len(terms)))
+        self.blocks = block[self.starts]
+        self.tops = np.maximum.reduceat(self.weights, self.starts) if len(terms) else np.zeros(0)
+        self.first = np.searchsorted(terms[self.starts], np.arange(n_terms + 1))
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k rows of highest positive inner product: (similarity, row), ties to the smaller row."""
+        starts = self.first[terms]
+        counts = self.first[terms + 1] - starts
+        entries, of = _ranges(starts, counts), np.repeat(weights, counts)
+        blocks = self.blocks[entries]
+        bounds = np.bincount(blocks, of * self.tops[entries], self.n_blocks)
+        scores = np.zeros(self.n_blocks * BLOCK)
+
+        def score(chosen: np.ndarray) -> np.ndarray:
+            """Exact scores of the chosen blocks; those of other blocks stay as they are."""
+            at = np.flatnonzero(chosen[blocks])
+            sizes = self.sizes[entries[at]]
+            places = _ranges(self.starts[entries[at]], sizes)
+            found = np.bincount(self.rows[places], np.repeat(of[at], sizes) * self.weights[places], len(scores))
+            return scores + np.round(found, 12)
+
+        best = np.zeros(self.n_blocks, bool)
+        best[np.argsort(-bounds, kind="stable")[:FIRST_BLOCKS]] = True
+        scores = score(best & (bounds > 0))
+        own = self.place[without] if without >= 0 else len(scores)
+        scores[own : own + 1] = 0.0
+        kth = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        scores = score(~best & (bounds > 0) & (bounds + 1e-9 >= kth))
+        scores[own : own + 1] = 0.0
+        hits = np.flatnonzero(scores >= max(kth, 1e-12))
+        rows = self.stored[hits]
+        order = np.lexsort((rows, -scores[hits]))[:k]
+        return list(zip(scores[hits][order].tolist(), rows[order].tolist(), strict=True))
 
 
 class ToxicityModel:
-    """What scoring needs: vocabulary, IDF, indexed examples and calibration. Its size is bounded."""
-
-    def __init__(self, ids: list[int], labels: list[int], counts: list[dict[str, int]], df: dict[str, int], n_docs: int):
-        self.terms = {t: i for i, t in enumerate(df)}
-        self.known = frozenset(df) - {REST}
-        self.idf = [math.log((1 + n_docs) / (1 + n)) + 1.0 if t != REST else REST_WEIGHT for t, n in df.items()]
-        order = sorted(range(len(ids)), key=lambda i: ids[i])
-        self.ids = [ids[i] for i in order]
-        self.rows = {i: row for row, i in enumerate(self.ids)}
-        self.labels = np.array([labels[i] for i in order], np.float64)
-        vectors = [self.vector(counts[i]) for i in order]
-        self.index = BlockMaxIndex(vectors, max(1, len(df)))
-        bare = np.array([not v for v in vectors], bool)
+    """What scoring needs: terms with their weights, indexed examples and calibration. Its size is bounded by the sample."""
+
+    def __init__(
+        self, ids: list, labels: np.ndarray, terms: list[str], rows: np.ndarray, codes: np.ndarray, counts: np.ndarray,
+        df: np.ndarray, n_docs: int,
+    ):
+        """Examples in order of their ids; (rows, codes, counts) tells how often an example holds a term."""
+        self.ids, self.labels = ids, labels.astype(np.float64)
+        self.terms = {t: i for i, t in enumerate(terms)}
+        toxic = np.bincount(codes, self.labels[rows], len(terms)) if len(rows) else np.zeros(len(terms))
+        other = np.bincount(codes, minlength=len(terms)) - toxic
+        self.weights = (np.log((1 + n_docs) / (1 + df)) + 1.0) * np.log2(2 + toxic / np.maximum(1, other)) ** RELEVANCE
+        raw = (1 + np.log(counts)) * self.weights[codes]
+        norms = np.sqrt(np.bincount(rows, raw * raw, len(ids)))
+        main = np.zeros(len(ids), np.int64)  # an example's most frequent word tells its language
+        order = np.argsort(counts, kind="stable")
+        main[rows[order]] = codes[order]
+        self.index = BlockMaxIndex(codes, rows, raw / norms[rows], len(terms), np.lexsort((main, self.labels)))
+        bare = norms == 0
         self.share = float(self.labels.mean()) if len(ids) else 0.0
-        self.bare_share = float((self.labels[bare].sum() + self.share) / (bare.sum() + 1)) if len(ids) else 0.0
-        self.curve = (1.0, 0.0)
-        self.memo: dict = {}
-        votes, seen = [], []
-        for row, v in enumerate(vectors):
-            if v:
-                votes.append(self.vote(self.index.nearest(v, NEIGHBOURS, row)))
-                seen.append(self.labels[row])
-        self.curve = self._calibrate(np.array(votes), np.array(seen))
-
-    def vector(self, counts: dict[str, int]) -> dict[int, float]:
-        raw = {self.terms[t]: (1.0 + math.log(n)) * self.idf[self.terms[t]] for t, n in counts.items() if t in self.terms}
-        norm = math.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / norm for t, w in sorted(raw.items())}
+        self.bare_share = float((self.labels[bare].sum() + self.share) / (bare.sum() + 1))
+        self.memo: dict[tuple, tuple] = {}
+        of_row = np.split(np.arange(len(rows)), np.searchsorted(rows, np.arange(1, len(ids)))) if len(ids) else []
+        seen = [row for row in range(len(ids)) if not bare[row]]
+        votes = [self.vote(self.index.nearest(codes[at], raw[at] / norms[row], NEIGHBOURS, row)) for row, at in ((r, of_row[r]) for r in seen)]
+        self.curve = self._calibrate(np.array(votes), self.labels[seen])
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text in order, and their weights; a unit vector."""
+        known = self.terms
+        found = sorted((known[w], n) for w, n in Counter(words_of(text)).items() if w in known)
+        terms = np.array([t for t, _ in found], np.int64)
+        raw = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.weights[terms]
+        return terms, raw / math.sqrt(raw @ raw) if len(raw) else raw
 
     def vote(self, nearest: list[tuple[float, int]]) -> float:
         total = sum(s for s, _ in nearest)
@@ -179,45 +179,48 @@ class ToxicityModel:
             w = w - np.clip(np.linalg.solve(hessian, gradient), -1, 1)
         return (float(w[0]), float(w[1])) if w[0] > 0 else (1.0, 0.0)
 
-    def score(self, text: str | None, doc_id: int | None = None) -> tuple[float, list[tuple[float, int]]]:
+    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """(score, evidence); evidence: (similarity, example's row)."""
         if not self.ids:
             return 0.0, []
-        counts = known_counts(text, self.known)
-        if not counts:
-            return self.bare_share, []
-        own = self.rows.get(doc_id, -1)
-        key = (own, *sorted(counts.items()))
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            nearest = self.index.nearest(self.vector(counts), NEIGHBOURS, own)
+        key = hash(text)
+        known = self.memo.get(key)
+        if known is not None and known[0] == text:
+            return known[1]
+        terms, weights = self.vector(text)
+        if len(terms):
+            nearest = self.index.nearest(terms, weights, NEIGHBOURS)
             slope, offset = self.curve
-            score = 1 / (1 + math.exp(-(slope * float(self._logit(self.vote(nearest))) + offset)))
-            self.memo[key] = (score, nearest[:3])
-        return self.memo[key]
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "toxic") -> ToxicityModel:
-    """Learn from at most ``MOST_EXAMPLES`` labelled rows outside the held-out fold.
-
-    Document frequencies of the vocabulary are counted over all documents.
+            found = 1 / (1 + math.exp(-(slope * float(self._logit(self.vote(nearest))) + offset))), nearest[:3]
+        else:
+            found = self.bare_share, []
+        if len(text or "") <= MEMO_CHARS:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+            self.memo[key] = (text, found)
+        return found
+
+
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label: str = "toxic",
+    most_examples: int = MOST_EXAMPLES,
+    most_chars: int = MOST_CHARS,
+) -> ToxicityModel:
+    """Learn from at most ``most_examples`` labelled rows outside the held-out fold.
+
+    Document frequencies of the examples' words are counted over all documents;
+    a task sends one count a word on at most.
     """
-    sample = cut(labelled_sample(docs, labels, label, FOLDS, HELD, MOST_EXAMPLES, id_col), "labelled")
+    sample = labelled_sample(docs, labels, label, FOLDS, HELD, most_examples, id_col, text_col, most_chars)
     kind = dict(sample.dtypes)["id"]
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            each = [list(counts_of(t.as_py())) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(each, pa.list_(pa.string()))], names=["label", "terms"])
-
-    listed = sample.select("label", "text").mapInArrow(terms, "label int, terms array<string>")
-    vocabulary = [r.term for r in informative_terms(listed).collect()]
-    known = frozenset(vocabulary)
-
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [known_counts(t.as_py(), known) for t in batch.column(2)]
+            each = [Counter(words_of(t.as_py())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -228,31 +231,36 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lab
                 names=["id", "label", "terms", "counts"],
             )
 
-    examples = {}
-    for r in sample.mapInArrow(counts, f"id {kind}, label int, terms array<string>, counts array<long>").collect():
-        examples.setdefault(r.id, (int(r.label > 0), dict(zip(r.terms, r.counts, strict=True))))
+    # bounded by the sample's characters
+    read = sample.mapInArrow(counts, f"id {kind}, label int, terms array<string>, counts array<long>").toArrow().sort_by("id").combine_chunks()
+    discard(sample)
+    sizes = np.array([len(x) for x in read["terms"]], np.int64)
+    flat = pa.chunked_array([c.flatten() for c in read["terms"].chunks], pa.string()).combine_chunks()
+    times = pa.chunked_array([c.flatten() for c in read["counts"].chunks], pa.int64()).to_numpy()
+    found = sorted(set(flat.to_pylist()))
+    place = {t: i for i, t in enumerate(found)}
+    codes = np.fromiter((place[t] for t in flat.to_pylist()), np.int64, len(flat))
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((codes, rows))
+    shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = Counter(), 0
+        known = shared.value
+        df, n = np.zeros(len(known), np.int64), 0
         for batch in batches:
             for t in batch.column(0):
-                df.update(known_counts(t.as_py(), known).keys())
-                n += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(["", *df], pa.string()), pa.array([n, *df.values()], pa.int64())], names=["term", "n"]
-        )
-
-    found = pick(docs, text="text").mapInArrow(seen_in, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = {r.term: r.n for r in found.collect()}
-    n_docs = df.pop("", 0)
-    ids = list(examples)
-    return ToxicityModel(
-        ids,
-        [examples[i][0] for i in ids],
-        [examples[i][1] for i in ids],
-        {t: df.get(t, 0) for t in [*vocabulary, REST]},
-        n_docs,
-    )
+                df[[known[w] for w in set(words_of(t.as_py())) if w in known]] += 1
+            n += batch.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, df[at]))], names=["term", "n"])
+
+    totals = pick(docs, text=text_col).mapInArrow(seen_in, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    which, n = totals["term"].to_numpy(), totals["n"].to_numpy()
+    df = np.zeros(len(found), np.int64)
+    df[which[which >= 0]] = n[which >= 0]
+    shared.unpersist()
+    marks = np.array([int(x > 0) for x in read["label"].to_pylist()], np.int64)
+    return ToxicityModel(read["id"].to_pylist(), marks, found, rows[order], codes[order], times[order], df, int(n[which < 0].sum()))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,8 +273,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            found = [model.score(t.as_py(), i) for i, t in zip(ids, batch.column(1), strict=True)]
+            found = [model.score(t.as_py()) for t in batch.column(1)]
             scores = np.array([s for s, _ in found], np.float64)
             why = [
                 [{"id": model.ids[r], "label": int(model.labels[r]), "similarity": s} for s, r in near] for _, near in found
@@ -292,13 +299,11 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     A row is scored and kept or left out where it is read, so no text is shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col))
-    place = {c: i for i, c in enumerate(docs.columns)}
-    ids, texts = place[id_col], place[text_col]
+    shared = docs.sparkSession.sparkContext.broadcast(fit_toxicity(docs, labels, id_col, text_col))
+    texts = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(ids).to_pylist(), batch.column(texts), strict=True)
-            yield batch.filter(pa.array([shared.value.score(t.as_py(), i)[0] < 0.5 for i, t in pairs], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.score(t.as_py())[0] < 0.5 for t in batch.column(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,17 +1,26 @@
 """Operator 8: main text of web pages by a site style tree.
 
-Pages are read twice. The first pass merges the DOMs of each host into a style
-tree: a node is a path of elements with their classes, and for every node the
-pages that show each content (a block's text) and each presentation (the inline
-elements of a block) are counted. A node's importance combines the entropies of
-both, as in the site style tree: content that every page repeats has entropy one
-and importance zero, content of single pages has importance one; varied
-presentation adds a little. A branch's importance is that of the contents below
-it. The second pass drops low-importance branches from each page, beside those
-whose element or class names a menu, header, footer, sidebar, notice, advert,
-form or comment, and joins the blocks that remain. Where a page marks its
-article, what lies inside is main text and nothing else; importance does not
-judge it, as near copies of an article repeat most of its blocks.
+Pages are read twice. The first pass merges the whole DOMs of each host into a
+style tree: a node is a path of elements with their classes, and for every node
+the pages that show each content (a block's text) and each presentation (the
+inline elements of a block) are counted. A node's importance combines the
+entropies of both, as in the site style tree: content that every page repeats has
+entropy one and importance zero, content of single pages has importance one;
+varied presentation adds a little. A branch's importance is that of the contents
+below it, by their characters. The second pass drops the branches of low
+importance from each page and joins the blocks that remain.
+
+Importance is relative to a frame: the marked article (``article``, ``main``)
+where a page has one, the whole page otherwise. Only nodes inside the frame are
+judged, and only where the frame itself is of high importance: on a host of near
+copies everything repeats, and nothing can be told from that.
+
+Marks are a prior beside the tree. Where a page marks an article, nothing outside
+it is main text. Elements that are asides by their kind, and those a class, id or
+role names as one, go whatever their contents; inside an article such a name
+counts only if nothing else is part of it (``share-price`` is no share button). Where marks
+would leave nothing of a marked article, or of a page, those on the wrappers
+around it are void.
 
 The first pass sends hashes only; repeats within a page are merged before the
 shuffle and the counts are partial sums, so a host with a third of all pages is
@@ -36,14 +45,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, discard, pick
 
-#: Weight of content against presentation, and the importance below which a branch goes.
+#: Weight of content against presentation.
 CONTENT_SHARE = 0.9
-LEAST_IMPORTANCE = 0.2
+#: A branch goes below this share of its frame's importance: on pages without a marked article, and inside articles.
+PAGE_SHARE, ARTICLE_SHARE = 0.92, 0.5
+#: A frame of less importance tells nothing: its host shows copies.
+LEAST_FRAME = 0.5
 #: A node is judged on so many different pages at least.
 LEAST_PAGES = 3
 BROADCAST_ROWS = 1_000_000
+#: Key of the node above all elements, the frame of pages without a marked article.
+WHOLE_PAGE = 0
 
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -93,11 +107,16 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def aside_name(names: str) -> bool:
-    """Whether a class, id or role names an aside; ``has-sidebar`` and the like only tell of one elsewhere."""
+def aside_name(names: str, inside: bool) -> bool:
+    """Whether a class, id or role names an aside; ``has-sidebar`` and the like only tell of one elsewhere.
+
+    Inside an article all words of the token have to be of that kind, elsewhere its first or last word.
+    """
     for name in names.lower().split():
         words = NAME_WORD.findall(name)
-        if words and words[0] not in MODIFIERS and not ASIDE_WORDS.isdisjoint(words):
+        if words and words[0] not in MODIFIERS and (
+            ASIDE_WORDS.issuperset(words) if inside else words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS
+        ):
             return True
     return False
 
@@ -107,7 +126,12 @@ class Block:
     """A run of text between block borders."""
 
     path: tuple[int, ...]
-    aside: bool
+    #: Depth of the frame: nodes of the path from here on are judged.
+    frame: int
+    #: Marked as an aside by a kind of element, by a name around the article, by a name elsewhere.
+    kind: bool
+    around: bool
+    named: bool
     article: bool
     text: str
     style: str
@@ -117,15 +141,18 @@ class Block:
 class Node:
     tag: str
     key: int
-    aside: bool
-    article: bool
+    kind: bool = False
+    around: bool = False
+    named: bool = False
+    article: bool = False
+    frame: int = 1
     path: tuple[int, ...] = field(default=())
 
 
 def blocks_of(page: str | None) -> list[Block]:
     """The page's blocks in order, with the style-tree path of each."""
     page = page or ""
-    root = Node("", 0, False, False)
+    root = Node("", WHOLE_PAGE, path=(WHOLE_PAGE,))
     stack, found = [root], []
     text: list[str] = []
     style: list[str] = []
@@ -135,7 +162,7 @@ def blocks_of(page: str | None) -> list[Block]:
             whole = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if whole:
                 top = stack[-1]
-                found.append(Block(top.path, top.aside, top.article, whole, " ".join(style)))
+                found.append(Block(top.path, top.frame, top.kind, top.around, top.named, top.article, whole, " ".join(style)))
             text.clear()
         style.clear()
 
@@ -197,14 +224,15 @@ def blocks_of(page: str | None) -> list[Block]:
         if tag == "body":
             parent = root
             del stack[1:]
-        marks = tag not in WHOLE_TAGS and aside_name(names)
-        node = Node(
-            tag,
-            digest(f"{parent.key}/{tag}.{names.lower()}"),
-            parent.aside or tag in ASIDE_TAGS or marks,
-            parent.article or tag in ARTICLE_TAGS,
-        )
+        marks = tag not in WHOLE_TAGS and aside_name(names, parent.article)
+        node = Node(tag, digest(f"{parent.key}/{tag}.{names.lower()}"), parent.kind or tag in ASIDE_TAGS)
+        opens = tag in ARTICLE_TAGS and not parent.article
+        node.article = parent.article or opens
+        # names met so far lie around an article that opens here
+        node.around = parent.around or opens and parent.named
+        node.named = not opens and (parent.named or marks)
         node.path = (*parent.path, node.key)
+        node.frame = len(node.path) if opens else parent.frame
         stack.append(node)
     flush()
     return found
@@ -214,73 +242,86 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1), F.lit("")))
 
 
+def framed(found: list[Block]) -> list[Block]:
+    """The blocks that marks leave: those of the article, or of the page if it marks none."""
+    for article, tests in ((True, ("kind", "around", "named")), (True, ("kind", "named")), (False, ("kind", "named")), (False, ("kind",))):
+        left = [b for b in found if b.article >= article and not any(getattr(b, t) for t in tests)]
+        if left:
+            return left
+    return []
+
+
 def main_blocks(found: list[Block], low: frozenset[int]) -> list[str]:
     """Texts of the blocks that stay."""
-    marked = any(b.article and not b.aside for b in found)
-    return [b.text for b in found if not b.aside and (b.article if marked else low.isdisjoint(b.path))]
+    return [b.text for b in framed(found) if low.isdisjoint(b.path[b.frame :])]
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, html) -> host, key, importance, pages of every node of the hosts' style trees."""
+    """(host, html) -> host, key, importance, pages, frame of every node of the hosts' style trees.
+
+    ``frame`` is the node that the importance of this one is relative to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {n: [] for n in ("host", "path", "kind", "feature", "page")}
+            rows: dict[str, list] = {n: [] for n in ("host", "path", "frame", "kind", "feature", "chars", "page")}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = [b for b in blocks_of(page.as_py()) if not b.aside]
-                main = [b for b in found if b.article] or found
-                sign = digest("\n".join(b.text for b in main))
+                found = blocks_of(page.as_py())
+                sign = digest("\n".join(b.text for b in framed(found)))
                 seen = set()
                 for b in found:
                     for kind, feature in ((0, digest(b.text)), (1, digest(b.style))):
-                        if b.path and (b.path, kind, feature) not in seen:
+                        if (b.path, kind, feature) not in seen:
                             seen.add((b.path, kind, feature))
-                            for name, value in zip(rows, (host, list(b.path), kind, feature, sign), strict=True):
+                            row = (host, list(b.path), b.path[b.frame - 1], kind, feature, len(b.text), sign)
+                            for name, value in zip(rows, row, strict=True):
                                 rows[name].append(value)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows["host"], pa.string()),
-                    pa.array(rows["path"], pa.list_(pa.int64())),
-                    pa.array(rows["kind"], pa.int32()),
-                    pa.array(rows["feature"], pa.int64()),
-                    pa.array(rows["page"], pa.int64()),
-                ],
-                names=list(rows),
-            )
+            kinds = [pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path array<long>, kind int, feature long, page long")
-    once = seen.groupBy("host", "path", "kind", "feature", "page").agg(F.count(F.lit(1)).alias("n"))
-    features = once.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
-    shown = once.groupBy("host", "path", "page").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("pages")
+    seen = pages.select("host", "html").mapInArrow(
+        run, "host string, path array<long>, frame long, kind int, feature long, chars long, page long"
     )
-    n = F.col("n")
-    sums = features.groupBy("host", "path").agg(
-        F.sum(F.when(F.col("kind") == 0, n)).alias("contents"),
-        F.sum(F.when(F.col("kind") == 0, n * F.log(n.cast("double")))).alias("content_logs"),
-        F.sum(F.when(F.col("kind") == 1, n)).alias("styles"),
-        F.sum(F.when(F.col("kind") == 1, n * F.log(n.cast("double")))).alias("style_logs"),
+    node = ["host", "path", "frame"]
+    once = seen.groupBy(*node, "kind", "feature", "page").agg(F.max("chars").alias("chars"))
+    features = once.groupBy(*node, "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
+    shown = once.groupBy(*node, "page").agg(F.count(F.lit(1)).alias("n")).groupBy(*node).agg(F.count(F.lit(1)).alias("pages"))
+    n, log_n, content = F.col("n"), F.log(F.col("n").cast("double")), F.col("kind") == 0
+    sums = features.groupBy(*node).agg(
+        F.sum(F.when(content, n * F.col("chars"))).alias("chars"),
+        F.sum(F.when(content, n * F.col("chars") * log_n)).alias("content_logs"),
+        F.sum(F.when(~content, n)).alias("styles"),
+        F.sum(F.when(~content, n * log_n)).alias("style_logs"),
     )
-    leaf = sums.join(shown, ["host", "path"]).withColumn("whole", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
+    leaf = sums.join(shown, node).withColumn("whole", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
     # mean entropy of the contents, each shown by n pages alike: log n / log m; entropy of the presentations over m pages
-    content = 1.0 - F.col("content_logs") / F.col("contents") / F.col("whole")
+    novel = 1.0 - F.col("content_logs") / F.col("chars") / F.col("whole")
     looks = (F.log(F.col("styles").cast("double")) - F.col("style_logs") / F.col("styles")) / F.col("whole")
     leaf = leaf.withColumn(
-        "importance", CONTENT_SHARE * content + (1 - CONTENT_SHARE) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), looks))
+        "importance", CONTENT_SHARE * novel + (1 - CONTENT_SHARE) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), looks))
     )
-    branch = leaf.select("host", F.explode("path").alias("key"), "importance", "contents", "pages")
+    branch = leaf.select("host", F.explode("path").alias("key"), "frame", "importance", "chars", "pages")
     return branch.groupBy("host", "key").agg(
-        (F.sum(F.col("importance") * F.col("contents")) / F.sum("contents")).alias("importance"),
+        F.round(F.sum(F.col("importance") * F.col("chars")) / F.sum("chars"), 9).alias("importance"),
         F.max("pages").alias("pages"),
+        F.max("frame").alias("frame"),
     )
 
 
+def low_nodes(tree: DataFrame) -> DataFrame:
+    """host, key of the nodes whose branches go."""
+    frames = tree.filter(F.col("importance") >= LEAST_FRAME).select("host", F.col("key").alias("frame"), F.col("importance").alias("framed"))
+    share = F.when(F.col("frame") == WHOLE_PAGE, PAGE_SHARE).otherwise(ARTICLE_SHARE)
+    judged = tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("key") != F.col("frame"))).join(frames, ["host", "frame"])
+    return judged.filter(F.col("importance") < share * F.col("framed")).select("host", "key")
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by line feeds), n_chars."""
     rows = pick(pages, id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
-    tree = style_tree(rows)
-    low = tree.filter((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE))
-    low = cut(low.groupBy("host").agg(F.collect_set("key").alias("low")), "low")
+    tree = cut(style_tree(rows), "tree")
+    low = cut(low_nodes(tree).groupBy("host").agg(F.collect_set("key").alias("low")), "low")
+    discard(tree)
     if (low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first().n) <= BROADCAST_ROWS:
         low = F.broadcast(low)
     asked = rows.join(low, "host", "left").select("id", "url", "html", "low")

@@ -1,5 +1,9 @@
+import math
+import random
+from collections import defaultdict
+
 import pytest
-from docloom.llm.html_text import blocks_of, main_blocks, main_text, style_tree
+from docloom.llm.html_text import blocks_of, framed, main_blocks, main_text, style_tree
 
 SCHEMA = "page_id long, url string, html string, host string, text int, low string"
 
@@ -51,8 +55,6 @@ def test_copies_of_an_article_stay(spark):
 
 
 def test_importance_equals_brute_force(spark):
-    import math
-
     pages = [f"<body><div class=a>{'same' if i % 2 else 'u%d' % i}</div></body>" for i in range(8)]
     frame = spark.createDataFrame([("h", p) for p in pages], "host string, html string")
     got = [r for r in style_tree(frame).collect()]
@@ -60,7 +62,8 @@ def test_importance_equals_brute_force(spark):
     assert {r.pages for r in got} == {5} and all(abs(r.importance - 0.9) < 1e-9 for r in got)
     pages = [f"<body><p>p{i}</p><div class=a>{'same' if i % 2 else 'u%d' % i}</div></body>" for i in range(8)]
     got = style_tree(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()
-    want = 0.9 * (1 - 4 * math.log(4) / 8 / math.log(8))
+    # by characters: four pages show the four of "same", the other four two each
+    want = 0.9 * (1 - 16 * math.log(4) / 24 / math.log(8))
     assert any(abs(r.importance - want) < 1e-9 for r in got)
 
 
@@ -96,7 +99,85 @@ def test_near_copies_of_an_article_stay(spark):
         ("<div class='with-sidebar'><p>text</p><div class='sidebar'>s</div></div>", "text"),
         ("<head><title>t</title></head><p>text", "text"),
         ("<head><meta name=a><p>text", "text"),
+        ("<body class='login-header-fixed no-sidebar'><article><p>body</article>", "body"),
+        ("<div class='login-header-fixed'><div><article><p>body<p>more</article></div><p>out</div>", "body\nmore"),
+        ("<div class='search-results'><p>the only text</p></div>", "the only text"),
+        ("<article><div class='search-engine-history'>h</div><p class='share-price'>p</p><div class='share'>s</div></article>", "h\np"),
+        ("<div class='related'><article>card</article></div><article>body</article>", "body"),
     ],
 )
 def test_ordinary_markup_loses_nothing(page, text):
     assert plain(page) == text
+
+
+def made_up_hosts(seed):
+    """Pages of hosts with and without marks: menus, notices and share lines that repeat, near copies, few pages."""
+    rng = random.Random(seed)
+    draw = lambda n: " ".join(rng.choice(["ab", "cde", "fghi", "jk", "lmnop"]) + str(rng.randrange(99)) for _ in range(n))
+    rows = []
+    for h in range(12):
+        menu, notes = [draw(2) for _ in range(6)], [draw(6) for _ in range(1 + h % 3)]
+        marked, n = h % 2, [2, 5, 40][h % 3]
+        base = [draw(20) for _ in range(8)]
+        for i in range(n):
+            body = [draw(20) for _ in range(rng.randrange(2, 9))]
+            if h in (4, 5):
+                body = [p if k != i % 8 else draw(20) for k, p in enumerate(base)]
+            inner = "".join(f"<p>{p}</p>" for p in body) + ("<div class='x7'>Tell your friends</div>" if h % 4 < 2 else "")
+            inner = f"<article>{inner}</article>" if marked else f"<div class='m{h}'>{inner}</div>"
+            items = "".join(f"<li>{m}</li>" for m in menu)
+            page = f"<body><ul class='q'>{items}</ul><div class='z'>{rng.choice(notes)}</div>{inner}<p>bottom line</p></body>"
+            rows.append((len(rows), f"http://h{h}.example/{i}", page, "x", 1, "y"))
+    return rows
+
+
+def brute_force(rows):
+    """Texts by page from a style tree of plain dictionaries."""
+    hosts = defaultdict(list)
+    for r in rows:
+        hosts[r[1].split("/")[2]].append((r[0], blocks_of(r[2])))
+    out = {}
+    for pages in hosts.values():
+        content, style, shown, chars, frame = defaultdict(set), defaultdict(set), defaultdict(set), {}, {}
+        for _, blocks in pages:
+            page = "\n".join(b.text for b in framed(blocks))
+            for b in blocks:
+                leaf = (b.path, b.path[b.frame - 1])
+                content[leaf, b.text].add(page)
+                style[leaf, b.style].add(page)
+                shown[leaf].add(page)
+        total, value, seen = defaultdict(float), defaultdict(float), defaultdict(int)
+        for leaf, on in shown.items():
+            whole = math.log(max(2, len(on)))
+            texts = {t: len(s) for (x, t), s in content.items() if x == leaf}
+            looks = [len(s) for (x, _), s in style.items() if x == leaf]
+            chars = sum(n * len(t) for t, n in texts.items())
+            novel = 1 - sum(n * len(t) * math.log(n) for t, n in texts.items()) / chars / whole
+            varied = (math.log(sum(looks)) - sum(n * math.log(n) for n in looks) / sum(looks)) / whole
+            for key in leaf[0]:
+                total[key] += chars
+                value[key] += chars * (0.9 * novel + 0.1 * min(1.0, max(0.0, varied)))
+                seen[key] = max(seen[key], len(on))
+                frame[key] = max(frame.get(key, leaf[1]), leaf[1])
+        grade = {k: round(value[k] / total[k], 9) for k in total}
+        share = {k: 0.92 if frame[k] == 0 else 0.5 for k in grade}
+        low = {k for k in grade if seen[k] >= 3 and frame[k] != k and 0.5 <= grade[frame[k]] > grade[k] / share[k]}
+        for page, blocks in pages:
+            out[page] = "\n".join(b.text for b in framed(blocks) if not low & set(b.path[b.frame :]))
+    return out
+
+
+def test_whole_query_equals_brute_force_and_the_tree_decides(spark):
+    rows = made_up_hosts(3)
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute_force(rows)
+    without_tree = {r[0]: plain(r[2]) for r in rows}
+    changed = [i for i in got if got[i] != without_tree[i]]
+    assert len(changed) >= 80 and all(got.values())
+    host = {r[0]: r[1].split("/")[2] for r in rows}
+    large = [i for i in got if host[i] == "h2.example"]
+    assert not any("bottom line" in got[i] for i in large) and all(any(p in got[i] for p in without_tree[i].split("\n")) for i in large)
+    # a line that every article of the host repeats goes from inside the marked articles too
+    assert any("Tell your friends" in without_tree[i] and "Tell your friends" not in got[i] for i in changed)
+    # hosts of near copies lose nothing of the articles
+    assert all(got[i] == without_tree[i] for i in got if host[i] == "h5.example")

@@ -19,6 +19,11 @@ key joins two codeword indices (24 bits), so a fingerprint is stored under 6 key
 and probes with about 88. Candidates are verified by their exact distance within
 the join itself, and the links go through connected components.
 
+Copies: rows of one fingerprint are merged by a partial aggregate before any key
+is made, and get their component back by a join whose sides are both tables.
+A bucket of keys holds different fingerprints only; the number of comparisons
+grows with the square of their number divided by 2 ** 21.
+
 Defined results: null text counts as empty; a text without words has fingerprint
 zero, which links like any other; fewer words than a shingle hash as one
 sequence; rows that repeat an id or text share their class; a null id never
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, discard, pick
 from .components import components
 
 RADIUS = 4
@@ -167,11 +172,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     prints = cut(fingerprints(docs, id_col, text_col), "prints")
     classes = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "classes")
     roots = cut(components(links(classes, radius)), "roots")
-    linked = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component"))
-    of_class = linked.join(of_root, "root").select("fp", "component")
-    alone = classes.join(of_class.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component"))
-    return prints.join(of_class.unionByName(alone), "fp").select(
+    placed = cut(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    of_root = cut(placed.groupBy("root").agg(F.min("least").alias("component")), "components")
+    # tables on either side: where a text is copied a million times, adaptive execution splits its partition
+    of_class = cut(placed.join(of_root, "root").select("fp", "component"), "members")
+    for done in (classes, roots, placed, of_root):
+        discard(done)
+    return prints.join(of_class, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),

@@ -32,9 +32,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +44,10 @@ from .common import discard, pick
 from .labelled import MOST_CHARS, held_out, labelled_sample
 
 #: Labelled rows that are learned from at most; their texts are bounded by ``labelled.MOST_CHARS``.
-MOST_EXAMPLES = 4000
+MOST_EXAMPLES = 2500
 NEIGHBOURS = 15
 #: Examples in a block, and blocks that are scored before the first comparison with the bounds.
-BLOCK, FIRST_BLOCKS = 32, 4
+BLOCK, FIRST_BLOCKS = 128, 2
 #: Weight of the label's share beside the neighbours' similarities.
 PRIOR_WEIGHT = 0.5
 #: The power of the relevance frequency in a term's weight.
@@ -150,10 +152,12 @@ class ToxicityModel:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text in order, and their weights; a unit vector."""
-        known = self.terms
-        found = sorted((known[w], n) for w, n in Counter(words_of(text)).items() if w in known)
-        terms = np.array([t for t, _ in found], np.int64)
-        raw = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.weights[terms]
+        counts = Counter(words_of(text))
+        codes = np.fromiter(map(self.terms.get, counts, repeat(-1)), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(codes)[np.count_nonzero(codes < 0) :]
+        terms = codes[order]
+        raw = (1 + np.log(times[order])) * self.weights[terms]
         return terms, raw / math.sqrt(raw @ raw) if len(raw) else raw
 
     def vote(self, nearest: list[tuple[float, int]]) -> float:
@@ -234,24 +238,27 @@ def fit_toxicity(
     # bounded by the sample's characters
     read = sample.mapInArrow(counts, f"id {kind}, label int, terms array<string>, counts array<long>").toArrow().sort_by("id").combine_chunks()
     discard(sample)
-    sizes = np.array([len(x) for x in read["terms"]], np.int64)
+    sizes = pc.list_value_length(read["terms"]).to_numpy().astype(np.int64)
     flat = pa.chunked_array([c.flatten() for c in read["terms"].chunks], pa.string()).combine_chunks()
     times = pa.chunked_array([c.flatten() for c in read["counts"].chunks], pa.int64()).to_numpy()
-    found = sorted(set(flat.to_pylist()))
+    coded = flat.dictionary_encode()
+    sorting = pc.sort_indices(coded.dictionary)
+    found = coded.dictionary.take(sorting).to_pylist()
     place = {t: i for i, t in enumerate(found)}
-    codes = np.fromiter((place[t] for t in flat.to_pylist()), np.int64, len(flat))
+    codes = np.argsort(sorting.to_numpy())[coded.indices.to_numpy()]
     rows = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((codes, rows))
     shared = docs.sparkSession.sparkContext.broadcast(place)
 
     def seen_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        df, n = np.zeros(len(known), np.int64), 0
+        df, n = np.zeros(len(known) + 1, np.int64), 0  # the last place is that of words no example holds
         for batch in batches:
             for t in batch.column(0):
-                df[[known[w] for w in set(words_of(t.as_py())) if w in known]] += 1
+                words = set(words_of(t.as_py()))
+                df[np.fromiter(map(known.get, words, repeat(-1)), np.int64, len(words))] += 1
             n += batch.num_rows
-        at = np.flatnonzero(df)
+        at = np.flatnonzero(df[:-1])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, df[at]))], names=["term", "n"])
 
     totals = pick(docs, text=text_col).mapInArrow(seen_in, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()

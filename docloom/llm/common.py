@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of ``monotonically_increasing_id`` below the number of the partition.
+PARTITION_BITS = 33
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_RE = rf"[^{SPACE_CLASS}]+"
@@ -84,3 +87,34 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     The frame is counted, so it should be a table that ``cut`` returned.
     """
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def by_rows(table: DataFrame, rows: DataFrame, how: str, most_rows: int) -> DataFrame:
+    """Rows of ``table`` whose ``row`` is (left_semi) or is not (left_anti) in ``rows``; no row of ``table`` is shuffled.
+
+    Both are tables that ``cut`` returned, and ``row`` is the monotonically
+    increasing id under which ``table`` was written. Its rows are read in ranges of
+    whole partitions, as many as have ``most_rows`` asked rows together, and each
+    range meets only its own part of ``rows``, by broadcast. What reaches the driver
+    is a count for each partition. A partition that holds more by itself is joined
+    by shuffle.
+    """
+    part = F.shiftright("row", PARTITION_BITS).alias("part")
+    counts = sorted((r.part, r.n) for r in rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
+    ranges: list[list[int]] = []  # first partition, last partition, asked rows
+    for p, n in counts:
+        if ranges and ranges[-1][2] + n <= most_rows:
+            ranges[-1][1:] = [p, ranges[-1][2] + n]
+        else:
+            ranges.append([p, p, n])
+    if not ranges:
+        return table if how == "left_anti" else table.limit(0)
+    found, low = [], None
+    for k, (_, last, n) in enumerate(ranges):
+        inside = F.lit(True) if low is None else F.col("row") >= low
+        low = (last + 1) << PARTITION_BITS
+        if k + 1 < len(ranges):
+            inside = inside & (F.col("row") < low)
+        asked = rows.filter(inside).select("row")
+        found.append(table.filter(inside).join(F.broadcast(asked) if n <= most_rows else asked, "row", how))
+    return reduce(DataFrame.unionByName, found)

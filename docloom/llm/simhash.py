@@ -69,7 +69,11 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes)[: len(parts) - words + 1].tolist()
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    whole = np.array(hashes, np.uint64)
+    return bits_of(np.array(hashes, np.uint64))
+
+
+def bits_of(whole: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(whole), BLOCK):
         block = whole[at : at + BLOCK].view(np.uint8).reshape(-1, 8)

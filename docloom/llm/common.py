@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bits of ``monotonically_increasing_id`` below the number of the partition.
 PARTITION_BITS = 33
+#: Tables that ``cut`` has written in this process, in order.
+WRITTEN: list[str] = []
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_RE = rf"[^{SPACE_CLASS}]+"
@@ -38,11 +40,14 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, a plain local session) a folder below the
-    SQL warehouse is used, which has to be shared on a cluster anyway.
+    Only a session that runs in one process may leave the setting out; it gets a
+    folder below the SQL warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
@@ -56,6 +61,7 @@ def cut(df: DataFrame, hint: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{hint}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._docloom_path = path
     return out
@@ -64,9 +70,19 @@ def cut(df: DataFrame, hint: str = "step") -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete the table behind a frame that ``cut`` returned, when nothing reads it any more."""
     path = getattr(df, "_docloom_path", None)
-    if path is None:
-        return
-    spark = df.sparkSession
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, first: int, keep: DataFrame) -> None:
+    """Delete the tables that ``cut`` wrote since it had written ``first`` of them, but for ``keep``."""
+    for path in WRITTEN[first:]:
+        if path != keep._docloom_path:
+            _delete(spark, path)
+    WRITTEN[first:] = [keep._docloom_path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -89,32 +105,30 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def by_rows(table: DataFrame, rows: DataFrame, how: str, most_rows: int) -> DataFrame:
-    """Rows of ``table`` whose ``row`` is (left_semi) or is not (left_anti) in ``rows``; no row of ``table`` is shuffled.
+def by_rows(table: DataFrame, rows: DataFrame, how: str, most: int, weight: Column | None = None) -> DataFrame:
+    """``table`` joined with ``rows`` on ``row`` (left_semi, left_anti or left); no row of ``table`` is shuffled.
 
-    Both are tables that ``cut`` returned, and ``row`` is the monotonically
-    increasing id under which ``table`` was written. Its rows are read in ranges of
-    whole partitions, as many as have ``most_rows`` asked rows together, and each
-    range meets only its own part of ``rows``, by broadcast. What reaches the driver
-    is a count for each partition. A partition that holds more by itself is joined
-    by shuffle.
+    Both are tables that ``cut`` returned, ``row`` is the monotonically increasing
+    id under which ``table`` was written, and ``rows`` has each at most once. The
+    table is read in ranges of whole partitions, whose rows together weigh ``most``
+    (each counts as 1, or as ``weight``), and each range meets only its own part of
+    ``rows``, by broadcast. What reaches the driver is a sum for each partition. A
+    partition that weighs more by itself is joined by shuffle.
     """
     part = F.shiftright("row", PARTITION_BITS).alias("part")
-    counts = sorted((r.part, r.n) for r in rows.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
-    ranges: list[list[int]] = []  # first partition, last partition, asked rows
-    for p, n in counts:
-        if ranges and ranges[-1][2] + n <= most_rows:
+    sums = rows.groupBy(part).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
+    ranges: list[list[int]] = [[0, 0, 0]]  # first partition, last partition, weight
+    for p, n in sorted((r.part, r.n) for r in sums.collect()):
+        if ranges[-1][2] + n <= most:
             ranges[-1][1:] = [p, ranges[-1][2] + n]
         else:
             ranges.append([p, p, n])
-    if not ranges:
-        return table if how == "left_anti" else table.limit(0)
     found, low = [], None
     for k, (_, last, n) in enumerate(ranges):
         inside = F.lit(True) if low is None else F.col("row") >= low
         low = (last + 1) << PARTITION_BITS
         if k + 1 < len(ranges):
             inside = inside & (F.col("row") < low)
-        asked = rows.filter(inside).select("row")
-        found.append(table.filter(inside).join(F.broadcast(asked) if n <= most_rows else asked, "row", how))
+        asked = rows.filter(inside)
+        found.append(table.filter(inside).join(F.broadcast(asked) if n <= most else asked, "row", how))
     return reduce(DataFrame.unionByName, found)

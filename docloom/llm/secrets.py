@@ -3,18 +3,25 @@
 DataFrame functions only. Every whole text is scanned once with a cheap test;
 texts that pass are cut by each pattern into gaps and matches, whose lengths
 give the spans by a running sum. The value of each candidate is hashed and the
-hashes are counted over the corpus by distinct repositories and owners: a value
-that several owners publish is a widely copied example, a value of few owners is
-a live-looking credential.
+hashes are counted over the corpus by distinct repositories and owners. A value
+that several owners publish, or one owner in many repositories, is a widely copied
+example; any other, unless it looks like a placeholder, is a live-looking
+credential. The documents name no repositories: a document stands for one, its
+source for the owner.
 
 Base spans (assign, access, hex) always stay. The method adds spans: values of
 two wider patterns (provider prefixes, long mixed-class strings), which are too
 loose to report by themselves, become spans where ownership marks them as
 owner-specific and no base span covers them.
 
+A value that is copied into every document is one key: its repositories and
+owners are counted by partial aggregates, and the counts are written before the
+spans are joined with them, so that adaptive execution can split its partition.
+
 Defined results: null text counts as empty; a text without secrets has zero
 counts, an empty ``spans`` and the SHA-256 of the empty string; rows that repeat
-an id are scanned each by itself; a null owner counts as one owner of its own.
+an id are scanned each by itself and are one repository; null repositories and
+null owners count as one of their own each.
 """
 
 from __future__ import annotations
@@ -22,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import by_rows, cut, discard, pick
 
 #: Pattern and group of the value, in order of kind. The first three are the base.
 PATTERNS = (
@@ -35,8 +42,10 @@ PATTERNS = (
 BASE_KINDS = 3
 #: A value of an assignment has so many characters at least.
 LEAST_VALUE = 6
-#: A value with this many owners or more is a widely copied example.
-COPIED_OWNERS = 3
+#: A value with this many owners, or in this many repositories, is a widely copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 25
+#: Spans that are broadcast at once when texts are masked.
+BROADCAST_SPANS = 1_000_000
 #: Values that hold one of these, in lower case, are placeholders whoever owns them.
 PLACEHOLDERS = r"example|changeme|placeholder|your_|xxxx|0000000|1234567|abcdefg"
 
@@ -62,32 +71,19 @@ def _cuts(text: Column, pattern: str, group: int) -> Column:
     )
 
 
-def candidates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source"
-) -> tuple[DataFrame, DataFrame]:
-    """The rows (row, id, owner, key) and their candidate spans (row, kind, start, end, hash, dummy).
+def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, id, owner, text) -> the rows without text, and their candidate spans; both tables.
 
-    ``key`` names the text of a row that may hold candidates.
+    Spans: row, id, owner, kind, start, end, hash, dummy.
     """
-    rows = pick(docs, id=id_col, text=text_col, owner=owner_col).withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.coalesce("text", F.lit(""))
     found = F.array(
-        *[
-            F.struct(F.lit(i).alias("kind"), _cuts(F.col("text"), pattern, group).alias("cuts"))
-            for i, (_, pattern, group) in enumerate(PATTERNS)
-        ]
+        *[F.struct(F.lit(i).alias("kind"), _cuts(text, pattern, group).alias("cuts")) for i, (_, pattern, group) in enumerate(PATTERNS)]
     )
-    scanned = cut(
-        rows.select(
-            F.monotonically_increasing_id().alias("row"),
-            "id",
-            "owner",
-            F.when(F.col("text").rlike(ANY), F.md5(F.col("text").cast("binary"))).alias("key"),
-            F.when(F.col("text").rlike(ANY), F.filter(found, lambda k: F.size(k["cuts"]) > 0)).alias("found"),
-        ),
-        "secrets",
-    )
-    matches = scanned.select("row", F.explode("found").alias("of")).select(
-        "row", F.col("of.kind").alias("kind"), F.posexplode("of.cuts").alias("place", "cut")
+    scanned = rows.select("row", "id", "owner", F.when(text.rlike(ANY), F.filter(found, lambda k: F.size(k["cuts"]) > 0)).alias("found"))
+    scanned = cut(scanned, "secrets")
+    matches = scanned.select("row", "id", "owner", F.explode("found").alias("of")).select(
+        "row", "id", "owner", F.col("of.kind").alias("kind"), F.posexplode("of.cuts").alias("place", "cut")
     )
     running = Window.partitionBy("row", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     spans = (
@@ -95,20 +91,25 @@ def candidates(
         .withColumn("start", F.col("end") - F.col("cut.size"))
         .filter((F.col("kind") != 0) | (F.col("cut.value.n") >= LEAST_VALUE))
         .filter((F.col("kind") != len(PATTERNS) - 1) | F.col("cut.value.mixed"))
-        .select("row", "kind", "start", "end", F.col("cut.value.hash").alias("hash"), F.col("cut.value.dummy").alias("dummy"))
+        .select("row", "id", "owner", "kind", "start", "end", F.col("cut.value.hash").alias("hash"), F.col("cut.value.dummy").alias("dummy"))
     )
-    return scanned.select("row", "id", "owner", "key"), spans
+    return scanned.select("row", "id"), cut(spans, "spans")
 
 
-def ownership(spans: DataFrame, rows: DataFrame, repo: str = "id", owner: str = "owner") -> DataFrame:
+def ownership(spans: DataFrame, repo: str = "id", owner: str = "owner") -> DataFrame:
     """hash -> n_repos, n_owners over the corpus; each (hash, repository, owner) is reduced before it is shuffled on."""
-    pairs = spans.select("row", "hash").join(rows.select("row", F.col(repo).alias("repo"), F.col(owner).alias("owner")), "row")
-    owners = pairs.groupBy("hash", "owner", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("hash", "owner").agg(
-        F.count(F.lit(1)).alias("repos")
-    )
+    owners = spans.groupBy("hash", repo, owner).agg(F.count(F.lit(1)).alias("n")).groupBy("hash", owner).agg(F.count(F.lit(1)).alias("repos"))
     return owners.groupBy("hash").agg(F.sum("repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
+def judged(spans: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+    """The spans that stay (row, kind, start, end, live): base spans, and those of wider kinds that are live-looking."""
+    counted = cut(ownership(spans), "owners")
+    live = (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos) & ~F.col("dummy")
+    known = spans.join(counted, "hash").select("row", "kind", "start", "end", live.alias("live"))
+    return known.filter((F.col("kind") < BASE_KINDS) | F.col("live"))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(name) for name, _, _ in PATTERNS])
     return F.array_join(
@@ -128,20 +129,18 @@ def scan_secrets(
     text_col: str = "text",
     owner_col: str = "source",
     copied_owners: int = COPIED_OWNERS,
+    copied_repos: int = COPIED_REPOS,
 ) -> DataFrame:
     """One row per document: counts of base spans, their digest, all spans, and how many look live or copied.
 
     Columns: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
-    A span is live-looking if its value has fewer than ``copied_owners`` owners
-    and is no placeholder.
+    A span is live-looking if its value has fewer than ``copied_owners`` owners,
+    stands in fewer than ``copied_repos`` repositories and is no placeholder.
     """
-    rows, spans = candidates(docs, id_col, text_col, owner_col)
-    spans = cut(spans, "spans")
-    known = spans.join(ownership(spans, rows), "hash")
-    live = (F.col("n_owners") < copied_owners) & ~F.col("dummy")
-    base = F.col("kind") < BASE_KINDS
-    per_row = known.filter(base | live).groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", live.alias("live")))).alias("all")
+    picked = pick(docs, id=id_col, text=text_col, owner=owner_col)
+    rows, spans = candidates(picked.withColumn("row", F.monotonically_increasing_id()))
+    per_row = judged(spans, copied_owners, copied_repos).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("all")
     )
     kept = F.filter("all", lambda s: s["kind"] < BASE_KINDS)
     covered = lambda s: F.exists(
@@ -190,28 +189,21 @@ def redact_secrets(
     Every base span and every owner-specific span of the wider kinds is replaced,
     by ``[SECRET]`` if its value looks live and ``[EXAMPLE]`` if it is a copied
     example or placeholder. Overlapping spans are replaced together, under the
-    mark of the first. Only texts that may hold a candidate go through a join.
+    mark of the first. Texts are written once with a key and masked where they are
+    read; only spans are shuffled. Columns of any name pass through.
     """
-    rows, spans = candidates(docs, id_col, text_col, owner_col)
-    spans = cut(spans, "spans")
-    live = (F.col("n_owners") < COPIED_OWNERS) & ~F.col("dummy")
-    known = spans.join(ownership(spans, rows), "hash").withColumn("live", live)
-    known = known.filter((F.col("kind") < BASE_KINDS) | F.col("live")).join(rows.select("row", "key"), "row")
-    found = known.groupBy("key").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("start"), -F.col("end"), F.col("live")).alias("at"))).alias("found")
-    )
-    found = found.select(
-        F.col("key").alias("_key"),
-        F.transform(
-            "found", lambda s: F.struct(s["start"].alias("start"), (-s["col2"]).alias("end"), s["live"].alias("live"))
-        ).alias("_found"),
-    )
-    text = F.col(f"`{text_col}`")
-    flagged = text.isNotNull() & text.rlike(ANY)
-    joined = docs.filter(flagged).withColumn("_key", F.md5(text.cast("binary"))).join(found, "_key", "left")
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    keyed = cut(docs.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`").alias(n) for c, n in name.items()]), "keyed")
+    asked = pick(keyed, row="row", id=name.get(id_col, ""), text=name[text_col], owner=name.get(owner_col, ""))
+    rows, spans = candidates(asked)
+    at_start = F.struct(F.col("start"), (-F.col("end")).alias("back"), F.col("live"))
+    found = cut(judged(spans).groupBy("row").agg(F.array_sort(F.collect_set(at_start)).alias("found")), "found")
+    discard(rows)
+    discard(spans)
+    text = F.col(name[text_col])
     at = lambda n: n.cast("int")
     masked = F.aggregate(
-        "_found",
+        "found",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("pos")),
         lambda acc, s: F.struct(
             F.when(
@@ -224,9 +216,10 @@ def redact_secrets(
             )
             .otherwise(acc["out"])
             .alias("out"),
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
+            F.greatest(acc["pos"], -s["back"]).alias("pos"),
         ),
         lambda acc: F.concat(acc["out"], text.substr(at(acc["pos"] + 1), F.length(text))),
     )
-    done = joined.withColumn(text_col, F.when(F.col("_found").isNull(), text).otherwise(masked)).select(*docs.columns)
-    return docs.filter(~F.coalesce(flagged, F.lit(False))).unionByName(done)
+    joined = by_rows(keyed, found, "left", BROADCAST_SPANS, F.size("found"))
+    done = joined.withColumn(name[text_col], F.when(text.isNull() | F.col("found").isNull(), text).otherwise(masked))
+    return done.select(*[F.col(n).alias(c) for c, n in name.items()])

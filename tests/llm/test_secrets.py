@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+from docloom.llm import secrets
 from docloom.llm.secrets import redact_secrets, scan_secrets
 
 from .helpers import AWKWARD, doc_frame
@@ -70,3 +72,74 @@ def test_redaction(spark):
     assert not any(base(by[10 + i]) for i in range(len(TEXTS)))
     assert {t for i, t in got if i == 31} == {"clean text", "other clean text"}
     assert redact_secrets(doc_frame(spark, rows)).columns == doc_frame(spark, rows).columns
+
+
+WIDE = [
+    ("prefixed", re.compile(r"(?:gh[oprsu]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|eyJ)[A-Za-z0-9_.-]{16,}")),
+    ("mixed", re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")),
+]
+PLACEHOLDER = re.compile("example|changeme|placeholder|your_|xxxx|0000000|1234567|abcdefg")
+
+
+def brute_force(rows):
+    """(spans, n_live, n_copied) of each row, with owners and repositories counted in plain sets."""
+    found, owners, repos = [], {}, {}
+    for doc, text, owner in rows:
+        here = []
+        for k, (name, pattern) in enumerate([*KINDS, *WIDE]):
+            for m in pattern.finditer(text or ""):
+                value = m[2] if k == 0 else m[0]
+                least = [6, 20, 24, 0, 0][k]
+                if len(value) < least or k == 4 and not (re.search("[a-z]", value) and re.search("[A-Z]", value) and len(re.findall("[0-9]", value)) > 2):
+                    continue
+                here.append((m.start(), k, m.end(), name, value))
+                owners.setdefault(value, set()).add(owner)
+                repos.setdefault(value, set()).add(doc)
+        found.append(here)
+    out = []
+    for here in found:
+        live = {v: len(owners[v]) < 3 and len(repos[v]) < 25 and not PLACEHOLDER.search(v.lower()) for *_, v in here}
+        meets = lambda s, o: s[0] < o[2] and o[0] < s[2]
+        first = [s for s in here if s[1] < 3]
+        wide = [s for s in here if s[1] >= 3 and live[s[4]] and not any(meets(s, b) for b in first)]
+        stay = sorted(first + [s for s in wide if not any(meets(s, o) and o[:2] < s[:2] for o in wide)])
+        out.append((",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in stay), sum(live[s[4]] for s in stay), sum(not live[s[4]] for s in stay)))
+    return out
+
+
+def test_whole_query_equals_brute_force(spark):
+    rng = random.Random(6)
+    draw = lambda n: "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    shared = [f"token={draw(20)}", draw(40), f"ghp_{draw(36)}", f"AKIA{draw(16).upper()}", f"secret: {draw(8)}_example", f"sk-{draw(20)}"]
+    org = draw(44)  # one owner's value in many of its repositories
+    rows = []
+    for i in range(180):
+        parts = ["some words", rng.choice(shared), f"password = '{draw(rng.choice([5, 12]))}'", draw(rng.choice([31, 36])), "plain"]
+        owner = f"s{i % 5}"
+        if i % 5 == 1:
+            parts += [org, f"api_key={org}"] if i % 10 == 1 else [org]
+        if i % 9 == 0:
+            parts.append(f"ghp_{draw(36)}")
+        rng.shuffle(parts)
+        rows.append((i, " ".join(parts), owner))
+    got = {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in scan_secrets(doc_frame(spark, rows)).collect()}
+    want = brute_force(rows)
+    assert [got[i] for i in range(len(rows))] == want
+    assert any("mixed" in w[0] for w in want) and any("prefixed" in w[0] for w in want)
+    assert not any(org in r[1] and f"mixed:{r[1].index(org)}:" in got[r[0]][0] for r in rows)
+
+
+def test_redaction_passes_columns_of_any_name(spark):
+    schema = "row long, found string, _key string, doc_id long, text string, source string, end int"
+    rows = [(7, "mine", "k", 1, "a token=Zq8RkW3mYt7LpX2c z", "s1", 3), (8, "yours", None, None, None, None, None)]
+    got = redact_secrets(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(7, "mine", "k", 1, "a [SECRET] z", "s1", 3), rows[1]], key=str)
+
+
+def test_a_value_in_half_of_the_rows(spark, monkeypatch):
+    rows = [(i, f"token=Zq8RkW3mYt7LpX2cVb9N text {i % 7}" if i % 2 else f"text {i}", f"s{i % 3}") for i in range(2000)]
+    monkeypatch.setattr(secrets, "BROADCAST_SPANS", 100)
+    docs = doc_frame(spark, rows).repartition(16)
+    got = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
+    assert got == {i: f"[EXAMPLE] text {i % 7}" if i % 2 else t for i, t, _ in rows}
+    assert all(r.n_copied == r.doc_id % 2 and not r.n_live for r in scan_secrets(docs).collect())

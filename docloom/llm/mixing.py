@@ -11,11 +11,15 @@ The prefix sum is distributed: a source's documents are dealt into buckets by
 the exact distribution function of its keys (a mixture of exponentials, one for
 each weight level, whose shares are counted), so buckets hold about
 ``BUCKET_ROWS`` documents whatever the size of the source, and only the buckets'
-totals are summed across a source.
+totals are summed across a source. Rows that share key, source and size stand side
+by side in the order and are one row with a count until the end, so a repeated id,
+however often it occurs, gives a bucket no more rows than it has different sizes.
+The table of sources, a row each, is ordered in one task.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a
 source of its own, the last in order; rows that repeat an id share a key and are
-ordered by size; an empty table gives an empty result.
+ordered by size, and of equal rows as many as the budget holds are taken; a null id
+counts as its text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ LEAST_WEIGHT = 0.25
 LEVELS = (*(w for _, w in WEIGHT_LEVELS), LEAST_WEIGHT)
 LEVEL_COUNTS = [f"n_level{i}" for i in range(len(LEVELS))]
 BUCKET_ROWS = 2048
+#: Copies of a row that are written out at a time.
+COPY_BLOCK = 10_000
 NOT_PROSE = r"[\p{L} ]+"
 
 
@@ -47,9 +53,10 @@ def quality_weight(text: Column) -> Column:
     return level.otherwise(LEAST_WEIGHT)
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """A number in (0, 1) from the md5 of the seed and the id."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+def uniform(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in (0, 1) from the md5 of the seed and the id; without an id, of the seed and the text."""
+    null = F.concat(F.lit("null:"), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), null))
     whole = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
     return (whole + F.lit(0.5)) / F.lit(float(2**52))
 
@@ -103,7 +110,7 @@ def mix_sources(
         "source",
         words_count(F.col("text")).alias("size"),
         quality_weight(F.col("text")).alias("quality"),
-        uniform(F.col("id"), seed).alias("u"),
+        uniform(F.col("id"), F.col("text"), seed).alias("u"),
     )
     rows = cut(rows.withColumn("key", -F.log("u") / F.col("quality")).drop("u"), "mix")
     sizes = rows.groupBy("source").agg(
@@ -112,28 +119,39 @@ def mix_sources(
         *[F.count(F.when(F.col("quality") == w, 1)).alias(n) for w, n in zip(LEVELS, LEVEL_COUNTS, strict=True)],
     )
     targets = source_targets(sizes).withColumnRenamed("source", "of")
-    dealt = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    groups = rows.groupBy("id", "source", "size", "quality", "key").agg(F.count(F.lit(1)).alias("copies"))
+    dealt = groups.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     below = sum(
         (F.col(n) * (1.0 - F.exp(-F.col("key") * w)) for w, n in zip(LEVELS, LEVEL_COUNTS, strict=True)), F.lit(0.0)
     )
     bucket = F.floor(below / BUCKET_ROWS).cast("long")
     dealt = dealt.select(
-        "id", "source", "place", "size", "source_size", "target", "quality", "key", bucket.alias("bucket")
+        "id", "source", "place", "size", "copies", "source_size", "target", "quality", "key", bucket.alias("bucket")
     )
     earlier = Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         dealt.groupBy("place", "bucket")
-        .agg(F.sum("size").alias("bucket_size"))
+        .agg(F.sum(F.col("size") * F.col("copies")).alias("bucket_size"))
         .select("place", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before"))
     )
     within = Window.partitionBy("place", "bucket").orderBy("key", "id", "size")
     summed = dealt.withColumn(
-        "upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))
+        "upto", F.sum(F.col("size") * F.col("copies")).over(within.rowsBetween(Window.unboundedPreceding, 0))
     ).join(before, ["place", "bucket"])
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
-    chosen = 2.0 * (F.col("before") + F.col("upto")) - F.col("size") <= 2.0 * budget
-    return summed.withColumn("epochs", epochs.cast("long")).select(
+    end = F.col("before") + F.col("upto")
+    one = F.when(2.0 * end - F.col("size") <= 2.0 * budget, 1).otherwise(0)
+    # of several copies in a row those whose middles lie within the budget
+    start = end - F.col("size") * F.col("copies")
+    some = F.greatest(F.lit(0), F.least(F.col("copies"), F.floor((budget - start) / F.greatest(F.col("size"), F.lit(1)) + 0.5)))
+    chosen = F.when(F.col("copies") == 1, one).otherwise(some).cast("long")
+    counted = summed.withColumn("epochs", epochs.cast("long")).withColumn("chosen", chosen)
+    # the copies again, in blocks: no array grows with their number
+    each = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPY_BLOCK))))
+    last = F.least(F.col("copies"), (F.col("block") + 1) * COPY_BLOCK) - 1
+    each = each.withColumn("copy", F.explode(F.sequence(F.col("block") * COPY_BLOCK, last)))
+    return each.select(
         F.col("id").alias(id_col),
         "source",
         "size",
@@ -141,5 +159,5 @@ def mix_sources(
         "target",
         "quality",
         "epochs",
-        (F.col("size") * (F.col("epochs") + F.when(chosen, 1).otherwise(0))).cast("long").alias("taken"),
+        (F.col("size") * (F.col("epochs") + F.when(F.col("copy") < F.col("chosen"), 1).otherwise(0))).cast("long").alias("taken"),
     )

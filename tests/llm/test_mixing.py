@@ -73,3 +73,23 @@ def test_awkward_rows_and_reruns(spark):
     assert mix_sources(doc_frame(spark, [])).count() == 0
     zero = mix_sources(doc_frame(spark, [(1, None), (2, "")])).collect()
     assert [(r.size, r.target, r.taken) for r in zero] == [(0, 0.0, 0)] * 2
+
+
+def test_repeated_and_null_ids_hold_half_of_the_rows(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 40), "s%d" % (i % 4)) for i in range(600)]
+    rows += [(7, "the same row again and again", "s1")] * 12_345 + [(8, "w " * (i % 30), "s2") for i in range(300)]
+    rows += [(None, "text %d" % i, "s3") for i in range(300)] + [(None, None, None)] * 50
+    one = mix_sources(doc_frame(spark, rows)).collect()
+    two = mix_sources(doc_frame(spark, rows).repartition(7)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == len(rows)
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+    for r in one:
+        taken[r.source] += r.taken
+        assert r.taken <= 3 * r.size
+    for s, t in brute_targets(sizes).items():
+        assert abs(taken[s] - t) <= 20
+    # the partial epoch of the repeated row is cut in its middle
+    assert len({r.taken for r in one if r.doc_id == 7 and r.size == 6}) <= 2

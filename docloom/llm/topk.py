@@ -1,11 +1,16 @@
 """Operator 7: exact top-k inner-product search by ball trees with branch and bound.
 
-Vectors are dealt by a hash of their id into shards of bounded size, and each
-shard builds a ball tree. A query descends the trees best node first, a node's
-bound being ``q . centre + |q| * radius``; a node whose bound is below the
-query's current k-th score is cut off with everything under it. The k-th score
-is shared between shards: a first pass searches each query in its home shard
-only, and the second pass starts every other shard from the score found there.
+A coarse tree over a bounded sample deals the vectors into shards that lie
+together in space, one a partition; every vector is dealt, and those that lie on
+a border, as copies of one vector do, by a hash of their id, so that no shard
+gathers them. Each shard builds a ball tree. Queries descend it in batches, the
+child of the higher bound first, a node's bound being ``q . centre + |q| * radius``;
+a query leaves a branch whose bound is below its current k-th score, and leaves
+are scored by one matrix product for all queries that reach them.
+
+The k-th score is shared between shards: a first pass searches each query in its
+home shard only; the second pass sends it to those shards whose ball reaches the
+score found there, and starts from that score.
 
 Queries reach a task as a stream of Arrow batches behind the shard's vectors
 (rows sorted by shard, vectors first), so a task holds one shard and one batch
@@ -14,7 +19,8 @@ of queries, however many queries there are.
 Defined results: vectors that are null, hold a null or a non-finite component,
 or have a null id take no part. Shorter vectors count as padded with zeros. A
 repeated id is one query (its smallest vector) and each of its rows is a
-candidate of every other id. Ties go to the smaller id. An empty table gives an
+candidate of every other id. Ties go to the smaller id. Scores beyond a long are
+clipped to -2 ** 63 + 2 and 2 ** 63 - 1, and order so. An empty table gives an
 empty result.
 """
 
@@ -34,24 +40,99 @@ from .common import cut
 SHARD_ROWS = 200_000
 #: Shards at least, so that small tables still use several tasks.
 LEAST_SHARDS = 12
-LEAF_ROWS = 64
+#: Vectors that the coarse tree is fitted on, about; twice as many at most.
+SAMPLE_ROWS = 20_000
+LEAF_ROWS = 128
 SCALE = 256.0
+#: No score yet, and no id; the limits of a score.
+NONE, NO_ID = -(2**63) + 1, 2**63 - 1
 
 OUT = "query_id long, vec_id long, score long"
 
 
 def quantise(vectors: np.ndarray) -> np.ndarray:
     """floor(256 * x) of each component, as whole doubles."""
-    return np.floor(SCALE * vectors.astype(np.float64))
+    return np.floor(np.minimum(np.maximum(vectors.astype(np.float64), -1e300), 1e300) * SCALE)
+
+
+def products(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Exact inner products (query, point) of whole doubles as longs, clipped to their range."""
+    largest = float(np.abs(points).max(initial=0.0)) * float(np.abs(queries).max(initial=0.0)) * max(1, points.shape[1])
+    if largest < 2**52:
+        return (queries @ points.T).astype(np.int64)
+    if largest < 2**62:
+        return queries.astype(np.int64) @ points.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(queries) @ whole(points).T, NONE + 1, NO_ID).astype(np.int64)
+
+
+def bounds_of(queries: np.ndarray, norms: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Upper bounds (query, ball) of the inner product of a query with anything in a ball, a little widened."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        top = queries @ centres.T + norms[:, None] * radii[None, :]
+        return np.maximum(np.nan_to_num(top + 1e-9 * (np.abs(top) + 1.0), nan=np.inf), float(NONE))
+
+
+def norms_of(rows: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((rows**2).sum(axis=1))
+
+
+def _direction(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """From the row farthest from the centre to the row farthest from that one."""
+    far = rows[int(norms_of(rows - centre).argmax())]
+    return rows[int(norms_of(rows - far).argmax())] - far
+
+
+class CoarseTree:
+    """Splits of space into shards of about equal numbers of the sample's vectors."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        self.width = sample.shape[1]
+        self.splits: list[tuple[int, np.ndarray, float, int]] = []  # (part, direction, border, part beyond it)
+        parts = [np.arange(len(sample))]
+        heap = [(-len(sample), 0)]
+        while len(parts) < shards:
+            _, part = heapq.heappop(heap)
+            rows = sample[parts[part]]
+            if len(rows):
+                along = _direction(rows, rows.mean(axis=0))
+                reach = rows @ along
+                border = float(np.median(reach))
+                beyond = reach > border
+                beyond[np.flatnonzero(reach == border)[::2]] = True
+            else:
+                along, border, beyond = np.zeros(self.width), 0.0, np.zeros(0, bool)
+            self.splits.append((part, along, border, len(parts)))
+            parts.append(parts[part][beyond])
+            parts[part] = parts[part][~beyond]
+            for p in (part, len(parts) - 1):
+                heapq.heappush(heap, (-len(parts[p]), p))
+        self.centres = np.array([sample[p].mean(axis=0) if len(p) else np.zeros(self.width) for p in parts])
+
+    def deal(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The shard of each row; those on a border go by a hash of their ids."""
+        rows = _widen(rows, self.width)[:, : self.width]
+        shard = np.zeros(len(rows), np.int64)
+        mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        for k, (part, along, border, other) in enumerate(self.splits):
+            here = np.flatnonzero(shard == part)
+            reach = rows[here] @ along
+            coin = (mixed[here] >> np.uint64(8 + k % 56)) & np.uint64(1)
+            shard[here[(reach > border) | ((reach == border) & (coin == 1))]] = other
+        return shard
+
+    def away(self, rows: np.ndarray, shard: np.ndarray) -> np.ndarray:
+        """Distance of each row from its shard's centre."""
+        width = max(self.width, rows.shape[1])
+        return norms_of(_widen(rows, width) - _widen(self.centres, width)[shard])
 
 
 class BallTree:
     """Nodes in arrays; points reordered so that each leaf is a slice."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray):
-        self.points, self.ids = points, ids
-        largest = float(np.abs(points).max(initial=0.0))
-        self.exact = largest * largest * max(1, points.shape[1]) < 2**52
         order = np.arange(len(points))
         spans, kids, centres, radii = [], [], [], []
         stack = [(0, len(points), -1, 0)] if len(points) else []
@@ -59,19 +140,16 @@ class BallTree:
             start, end, parent, side = stack.pop()
             rows = points[order[start:end]]
             centre = rows.mean(axis=0)
-            away = np.sqrt(((rows - centre) ** 2).sum(axis=1))
             node = len(spans)
             spans.append((start, end))
             kids.append([-1, -1])
             centres.append(centre)
-            radii.append(float(away.max()))
+            radii.append(float(norms_of(rows - centre).max()))
             if parent >= 0:
                 kids[parent][side] = node
             if end - start <= LEAF_ROWS or radii[-1] == 0.0:
                 continue
-            far = rows[int(away.argmax())]
-            other = rows[int(((rows - far) ** 2).sum(axis=1).argmax())]
-            along = rows @ (other - far)
+            along = rows @ _direction(rows, centre)
             middle = (end - start) // 2
             order[start:end] = order[start:end][np.argpartition(along, middle)]
             stack += [(start, start + middle, node, 0), (start + middle, end, node, 1)]
@@ -79,54 +157,40 @@ class BallTree:
         self.centres = np.array(centres) if spans else np.zeros((0, points.shape[1]))
         self.radii = np.array(radii)
         self.points, self.ids = points[order], ids[order]
+        self.scored = 0
 
-    def scores(self, start: int, end: int, query: np.ndarray) -> np.ndarray:
-        if self.exact and float(np.abs(query).max(initial=0.0)) <= 2**20:
-            return (self.points[start:end] @ query).astype(np.int64)
-        whole = self.points[start:end].astype(np.int64) @ query.astype(np.int64)
-        return whole
-
-    def bounds(self, queries: np.ndarray) -> np.ndarray:
-        """Upper bound of the inner product of each query with each node, a little widened."""
-        norms = np.sqrt((queries**2).sum(axis=1))
-        top = queries @ self.centres.T + norms[:, None] * self.radii[None, :]
-        return top + 1e-9 * (np.abs(top) + 1.0)
-
-    def search(self, query: np.ndarray, own: int, bound: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """The k best (score, id) of at least ``floor``, without id ``own``."""
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst kept is on top
-        kth = floor
-        heap = [(-bound[0], 0)] if self.spans else []
-        while heap:
-            top, node = heapq.heappop(heap)
-            if -top < kth:
-                break
-            left, right = self.kids[node]
-            if left >= 0:
-                for kid in (left, right):
-                    if bound[kid] >= kth:
-                        heapq.heappush(heap, (-bound[kid], kid))
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k best scores, and their ids, of each query, from its floor upwards and without its own id."""
+        best = np.full((len(queries), k), NONE)
+        names = np.full((len(queries), k), NO_ID)
+        kth, norms = floors.copy(), norms_of(queries)
+        stack = [(0, np.arange(len(queries)), np.full(len(queries), np.inf))] if self.spans else []
+        while stack:
+            node, asked, bound = stack.pop()
+            asked = asked[bound >= kth[asked].astype(np.float64)]
+            if not len(asked):
+                continue
+            kids = self.kids[node]
+            if kids[0] >= 0:
+                bounds = bounds_of(queries[asked], norms[asked], self.centres[kids], self.radii[kids])
+                for side in np.argsort(bounds.sum(axis=0)):  # the child of the higher bounds is on top
+                    stack.append((kids[side], asked, bounds[:, side]))
                 continue
             start, end = self.spans[node]
-            scores = self.scores(start, end, query)
-            hits = np.flatnonzero(scores >= kth)
-            if len(hits) > 4 * k:  # only these can be among the best: order them and stop early
-                hits = hits[np.lexsort((self.ids[start:end][hits], -scores[hits]))][: k + 1 + self._repeats(own)]
-            for i in hits:
-                vec = int(self.ids[start + i])
-                if vec == own:
-                    continue
-                item = (int(scores[i]), -vec)
-                if len(best) < k:
-                    heapq.heappush(best, item)
-                elif item > best[0]:
-                    heapq.heapreplace(best, item)
-            if len(best) == k:
-                kth = max(kth, best[0][0])
-        return [(s, -v) for s, v in best]
-
-    def _repeats(self, own: int) -> int:
-        return int((self.ids == own).sum())
+            for at in range(start, end, 4096):  # a leaf of copies can be large
+                part = slice(at, min(end, at + 4096))
+                self.scored += len(asked) * (part.stop - part.start)
+                scores = products(self.points[part], queries[asked])
+                ids = self.ids[part]
+                scores[ids[None, :] == own[asked][:, None]] = NONE
+                hit = np.flatnonzero((scores.max(axis=1) >= kth[asked]) & (scores.max(axis=1) > NONE))
+                rows = asked[hit]
+                every = np.concatenate([best[rows], scores[hit]], axis=1)
+                owners = np.concatenate([names[rows], np.where(scores[hit] > NONE, ids[None, :], NO_ID)], axis=1)
+                order = np.lexsort((owners, -every), axis=1)[:, :k]
+                best[rows], names[rows] = np.take_along_axis(every, order, 1), np.take_along_axis(owners, order, 1)
+                kth[rows] = np.maximum(kth[rows], best[rows, k - 1])
+        return best, names
 
 
 def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
@@ -176,17 +240,15 @@ def _search_shards(k: int):
                     parts = []
                 width = tree.points.shape[1]
                 rows = _widen(rows, width)[:, :width]  # beyond the shard's width every product is zero
-                floors = piece.column(4).to_numpy(zero_copy_only=False).astype(np.float64)
-                found = []
-                for at in range(0, len(rows), 256):
-                    bounds = tree.bounds(rows[at : at + 256])
-                    for i, bound in enumerate(bounds, at):
-                        floor = floors[i] if np.isfinite(floors[i]) else -np.inf
-                        found += [(int(ids[i]), v, s) for s, v in tree.search(rows[i], int(ids[i]), bound, k, floor)]
-                cols = list(zip(*found, strict=True)) if found else [(), (), ()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"]
-                )
+                floors = piece.column(4).fill_null(NONE).to_numpy(zero_copy_only=False)
+                for at in range(0, len(rows), 512):
+                    part = slice(at, at + 512)
+                    scores, names = tree.search(rows[part], ids[part], k, floors[part])
+                    of, place = np.nonzero(names != NO_ID)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[part][of]), pa.array(names[of, place]), pa.array(scores[of, place])],
+                        names=["query_id", "vec_id", "score"],
+                    )
 
     return run
 
@@ -199,27 +261,61 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     )
     clean = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"))
     clean = clean.filter(usable)
-    shards = max(LEAST_SHARDS, -(-clean.count() // SHARD_ROWS))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    pool = clean.select(home.alias("shard"), F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("double").alias("floor"))
-    queries = clean.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    n = clean.count()
+    shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
+    chosen = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(1, n // SAMPLE_ROWS))) == 0
+    sample = clean.filter(chosen).select("embedding").limit(2 * SAMPLE_ROWS).toArrow()["embedding"]
+    sample = pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], sample.type)
+    coarse = clean.sparkSession.sparkContext.broadcast(CoarseTree(quantise(_matrix(sample)), shards))
+    kind = dict(clean.dtypes)["embedding"]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, ids = quantise(_matrix(batch.column(1))), batch.column(0).to_numpy(zero_copy_only=False)
+            shard = coarse.value.deal(rows, ids)
+            away = coarse.value.away(rows, shard)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard.astype(np.int32)), batch.column(0), batch.column(1), pa.array(away)],
+                names=["shard", "vec_id", "embedding", "away"],
+            )
+
+    dealt = cut(clean.mapInArrow(deal, f"shard int, vec_id long, embedding {kind}, away double"), "dealt")
+    radii = np.full(shards, -np.inf)
+    for r in dealt.groupBy("shard").agg(F.max("away").alias("radius")).collect():  # a row a shard
+        radii[r.shard] = r.radius
+    pool = dealt.select("shard", F.lit(False).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("long").alias("floor"))
+    queries = dealt.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("embedding", "shard")).alias("first"))
+    queries = queries.select("vec_id", "first.embedding", F.col("first.shard").alias("home"))
 
     def searched(asked: DataFrame) -> DataFrame:
-        rows = pool.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "is_query")
+        rows = pool.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "is_query")
         return rows.mapInArrow(_search_shards(k), OUT)
 
-    at_home = queries.select(home.alias("shard"), F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("double").alias("floor"))
+    at_home = queries.select(F.col("home").alias("shard"), F.lit(True).alias("is_query"), "vec_id", "embedding", F.lit(None).cast("long").alias("floor"))
     first = cut(searched(at_home), "topk")
-    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).cast("double").alias("floor")
-    )
-    others = (
-        queries.join(floors, "vec_id", "left")
-        .withColumn("home", home)
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .filter(F.col("shard") != F.col("home"))
-        .select("shard", F.lit(True).alias("is_query"), "vec_id", "embedding", "floor")
-    )
+    floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each shard, but the home, whose ball reaches the query's floor."""
+        tree = coarse.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = quantise(_matrix(part.column(1)))
+                floors = part.column(3).fill_null(NONE).to_numpy(zero_copy_only=False)
+                width = max(tree.width, rows.shape[1])
+                bounds = bounds_of(_widen(rows, width), norms_of(rows), _widen(tree.centres, width), np.maximum(radii, 0.0))
+                reach = (bounds >= floors[:, None].astype(np.float64)) & np.isfinite(radii)[None, :]
+                reach[np.arange(len(rows)), part.column(2).to_numpy(zero_copy_only=False)] = False
+                of, shard = np.nonzero(reach)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard.astype(np.int32)), part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(floors[of])],
+                    names=["shard", "vec_id", "embedding", "floor"],
+                )
+
+    known = queries.join(floors, "vec_id", "left").select("vec_id", "embedding", "home", "floor")
+    others = known.mapInArrow(send, f"shard int, vec_id long, embedding {kind}, floor long")
+    others = others.select("shard", F.lit(True).alias("is_query"), "vec_id", "embedding", "floor")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         first.unionByName(searched(others))

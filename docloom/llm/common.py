@@ -97,12 +97,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Marked for broadcast if it has ``most_rows`` rows at most; otherwise Spark joins it by shuffle.
+def small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """Marked for broadcast if its rows, each counted as ``weight`` or 1, are ``most`` at most; else joined by shuffle.
 
-    The frame is counted, so it should be a table that ``cut`` returned.
+    The frame is read for the count, so it should be a table that ``cut`` returned.
     """
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    if weight is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(weight).alias("n")).first().n or 0) <= most else df
 
 
 def by_rows(table: DataFrame, rows: DataFrame, how: str, most: int, weight: Column | None = None) -> DataFrame:

@@ -8,9 +8,10 @@ shingles slides over each text.
    or more lack at most m/5 of the item's shingles, so floor(m/5) + 1 distinct
    shingles of the item are enough for every such window to hold one of them.
    Windows without an anchor are left out; nothing within the similarity is lost.
-2. SimHash. Every window around an anchor gets a 64-bit fingerprint. What the
-   windows of a text are made of is gathered once for the text, so the windows
-   themselves are never shuffled.
+2. SimHash. Every window around an anchor gets a 64-bit fingerprint. The shingles
+   that windows are made of are gathered in stretches as long as two of the longest
+   item, so that a window reads one stretch and no text, however many passages it
+   holds, is gathered whole.
 3. Multi-index Hamming blocks. Fingerprints are cut into 8 bytes. Two within
    ``RADIUS`` = 23 bits agree in some byte up to 2 bits, so items are stored
    under the 37 values around each byte and windows are looked up by their 8
@@ -41,6 +42,10 @@ RADIUS = 23
 BLOCKS, BLOCK_BITS = 8, 8
 #: Tables made of the benchmark are broadcast up to this many rows; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Shingles of the items that are broadcast with them at most.
+BROADCAST_SHINGLES = 4_000_000
+#: Shingles of a stretch at least.
+LEAST_STRETCH = 256
 NOT_WORD = r"[^\p{L}\p{N}]+"
 LANES = 32
 LANE_MASK = (1 << 32) | 1
@@ -142,7 +147,9 @@ def candidate_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
     for k in range(BLOCKS - 1):
         earlier = earlier | ((F.col("block") > k) & (F.bit_count(_byte(other, k)) <= RADIUS // BLOCKS))
     met = asked.join(stored, ["m", "block", "value"]).filter((F.bit_count(other) <= RADIUS) & ~earlier)
-    return met.drop("block", "value", "item_fp", "fp").join(small(items.select("key", "item", "shingles"), BROADCAST_ROWS), "key")
+    return met.drop("block", "value", "item_fp", "fp").join(
+        small(items.select("key", "item", "shingles"), BROADCAST_SHINGLES, F.size("shingles")), "key"
+    )
 
 
 def find_leaks(
@@ -174,21 +181,25 @@ def find_leaks(
         hits.select("row", "id", "n", "m", "place", first.alias("first"), _shingles(F.col("words"), first, last).alias("around")),
         "hits",
     )
-    # the shingles around a text's anchors, once each, in order: what its windows are made of
+    # the shingles around anchors, once each and in order: a stretch and the one after it are as long as any window needs
+    stretch = max(LEAST_STRETCH, items.agg(F.max("m").alias("m")).first().m or 0)
+    own = F.floor(F.col("place") / stretch)
     near = (
         hits.select("row", F.posexplode("around").alias("off", "h"), "first")
         .groupBy("row", (F.col("first") + F.col("off")).alias("place"))
         .agg(F.first("h").alias("h"))
-        .groupBy("row")
+        .select("row", F.explode(F.array(own, own - 1)).alias("stretch"), "place", "h")
+        .groupBy("row", "stretch")
         .agg(F.array_sort(F.collect_list(F.struct("place", "h"))).alias("near"))
-        .select("row", F.col("near.place").alias("places"), F.col("near.h").alias("hashes"))
+        .select("row", "stretch", F.col("near.place").alias("places"), F.col("near.h").alias("hashes"))
     )
     size = F.least("m", "n")
     windows = (
         hits.select("row", "id", "m", size.alias("size"), "first", F.least(F.col("place"), F.col("n") - size).alias("most"))
         .select("row", "id", "m", "size", F.explode(F.sequence("first", "most")).alias("start"))
         .distinct()
-        .join(near, "row")
+        .withColumn("stretch", F.floor(F.col("start") / stretch))
+        .join(near, ["row", "stretch"])
     )
     windows = windows.select(
         "row", "id", "m", "start", F.slice("hashes", F.array_position("places", F.col("start")).cast("int"), F.col("size")).alias("window")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, pick
+from .common import cut, discard, pick, small
 
 #: Weight of content against presentation.
 CONTENT_SHARE = 0.9
@@ -322,9 +322,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     tree = cut(style_tree(rows), "tree")
     low = cut(low_nodes(tree).groupBy("host").agg(F.collect_set("key").alias("low")), "low")
     discard(tree)
-    if (low.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)).alias("n")).first().n) <= BROADCAST_ROWS:
-        low = F.broadcast(low)
-    asked = rows.join(low, "host", "left").select("id", "url", "html", "low")
+    asked = rows.join(small(low, BROADCAST_ROWS, F.size("low")), "host", "left").select("id", "url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

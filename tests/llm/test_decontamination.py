@@ -90,3 +90,15 @@ def test_prints_and_weights(spark):
     pairs = [([1, 2, 3], [2, 3, 4]), ([1, 1, 1, 2], [1, 1, 2, 2]), ([5], [6])]
     frame = spark.createDataFrame(pairs, "a array<long>, b array<long>").select(shared_weight(F.col("a"), F.col("b")).alias("n"))
     assert [r.n for r in frame.collect()] == [2, 3, 0]
+
+
+def test_a_text_full_of_passages(spark):
+    rng = random.Random(21)
+    draw = lambda n: " ".join("v%d" % rng.randrange(900) for _ in range(n))
+    items = [(i, draw(rng.randrange(20, 70))) for i in range(25)]
+    text = " ".join(items[rng.randrange(25)][1] + " " + draw(rng.randrange(30)) for _ in range(40))
+    rows = [(1, text), (2, draw(1500)), (3, items[4][1])] + [(4, text)] * 30
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_leaks(doc_frame(spark, rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.item_id), r.similarity, r.start) for r in got) == brute(rows[:4], items)
+    assert len({r.item_id for r in got if r.doc_id == 1}) > 15

@@ -1,19 +1,23 @@
 """Operator 6: document quality by supervised subword embeddings.
 
-A document is the bag of its hashed features: every word, every 3- and 4-byte
-n-gram inside a word and its borders, and every immediate repeat of a word. Each feature owns a learned vector;
-a document is the average of its features' vectors, and a softmax layer turns
-the average into label probabilities. Vectors and layer are trained together by
-stochastic gradient descent in numpy over a bounded sample of labelled rows.
+A document is the bag of its hashed features: every word, every 3- and
+4-character n-gram inside a word and its borders, and every immediate repeat of a
+word. Each feature owns a learned vector; a document is the average of its
+features' vectors, and a softmax layer turns the average into label
+probabilities. Vectors and layer are trained together by stochastic gradient
+descent in numpy over a bounded sample of labelled rows.
 
 Both layers being linear in the features, a trained model collapses into one
 number a feature bucket, so scoring is hashing and one table look-up a feature,
-vectorised over whole Arrow batches. Texts go through in blocks that end at
-white space, which no feature crosses, so memory does not grow with the text.
+vectorised over blocks of text. Blocks end at white space, and the last word of a
+block is carried to the next, so blocks change no feature; memory does not grow
+with the text.
 
 Defined results: null, empty and blank texts have no features and get the
 model's bias, the log-odds of the label in the sample; without usable labels
-every score is 0.5; rows that repeat an id are scored one by one.
+every score is 0.5; rows that repeat an id are scored one by one, and of a labelled
+id's different texts the first by code point is learned from; a run of
+``BLOCK_CHARS`` characters without white space is cut there.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import discard, pick
 from .labelled import held_out, labelled_sample
 
 #: Bounds and settings of what is learned.
-MOST_EXAMPLES = 4000
+MOST_EXAMPLES, MOST_CHARS = 4000, 10_000_000
 BUCKET_BITS = 17
 DIMENSIONS = 16
 EPOCHS = 6
@@ -37,8 +41,8 @@ RATE = 0.5
 NGRAMS = (3, 4)
 SEED = 7
 FOLDS, HELD = 3, 1
-#: Bytes that are hashed at a time.
-BLOCK_BYTES = 1 << 20
+#: Characters that are hashed at a time.
+BLOCK_CHARS = 1 << 18
 #: Odd multipliers of the hashes.
 MIX = {3: np.uint32(2654435761), 4: np.uint32(2246822519), 0: np.uint32(3266489917)}
 STEP = 1_000_003
@@ -55,24 +59,28 @@ def _powers(n: int) -> np.ndarray:
 
 
 POWERS = _powers(4096)
-SPACES = np.zeros(256, bool)
-SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: The characters that separate words.
+SPACES = " \t\n\v\f\r"
 
 
-def feature_buckets(data: bytes) -> np.ndarray:
-    """Buckets of all features of a block of UTF-8 text, in no particular order."""
-    raw = np.frombuffer(b" " + data + b" ", np.uint8)
-    blank = SPACES[raw]
-    raw = np.where(blank, np.uint8(32), raw)
+def feature_buckets(text: str, before: int = -1) -> tuple[np.ndarray, int]:
+    """Buckets of all features of a block, in no particular order, and the hash of its last word.
+
+    ``before`` is the hash of the word before the block, if there is one.
+    """
+    raw = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    raw = np.where(blank, np.uint32(32), raw)
     shift = np.uint32(32 - BUCKET_BITS)
     found = []
     for n in NGRAMS:
         if len(raw) < n:
             continue
         size = len(raw) - n + 1
-        gram = np.zeros(size, np.uint32)
-        for k in range(n):
-            gram |= raw[k : k + size].astype(np.uint32) << np.uint32(8 * k)
+        gram = raw[:size].copy()
+        for k in range(1, n):
+            gram *= np.uint32(STEP)
+            gram += raw[k : k + size]
         inside = np.zeros(size, bool)
         for k in range(1, n - 1):
             inside |= blank[k : k + size]
@@ -84,35 +92,42 @@ def feature_buckets(data: bytes) -> np.ndarray:
     if len(starts):
         ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
         place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(raw)]])))
-        part = np.where(blank, 0, raw).astype(np.uint32) * POWERS[place % len(POWERS)]
+        part = np.where(blank, np.uint32(0), raw) * POWERS[place % len(POWERS)]
         word = np.add.reduceat(part, starts, dtype=np.uint32) * MIX[0] + (ends - starts).astype(np.uint32)
         found.append((word ^ (word >> np.uint32(16))) * MIX[0] >> shift)
         # a word that repeats the one before it: one feature for all words
-        found.append(np.full(np.count_nonzero(word[1:] == word[:-1]), REPEATED, np.uint32))
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
-
-
-def blocks_of(text: str | None, most: int = BLOCK_BYTES) -> Iterator[bytes]:
-    """The text's bytes in blocks of about ``most``, cut at white space only."""
-    data = (text or "").encode("utf-8", "surrogatepass")
-    at = 0
-    while len(data) - at > most:
-        end = max(data.rfind(s, at, at + most) for s in (b" ", b"\n", b"\t"))
-        if end <= at:
-            ends = [e for e in (data.find(s, at + most) for s in (b" ", b"\n", b"\t")) if e >= 0]
-            end = min(ends, default=len(data))
-        yield data[at:end]
+        repeats = np.count_nonzero(word[1:] == word[:-1]) + (int(word[0]) == before)
+        found.append(np.full(repeats, REPEATED, np.uint32))
+        before = int(word[-1])
+    return np.concatenate(found) if found else np.zeros(0, np.uint32), before
+
+
+def blocks_of(text: str | None, most: int = BLOCK_CHARS) -> Iterator[str]:
+    """The text in blocks of ``most`` characters at most, cut at white space where there is any."""
+    text, at = text or "", 0
+    while len(text) - at > most:
+        end = max(text.rfind(s, at + 1, at + most) for s in SPACES)
+        end = end if end > at else at + most
+        yield text[at:end]
         at = end
-    yield data[at:]
+    yield text[at:]
+
+
+def features(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of all features of a whole text, block by block."""
+    before = -1
+    for block in blocks_of(text):
+        found, before = feature_buckets(block, before)
+        yield found
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, occurrences) of a whole text."""
     total = np.zeros(1 << BUCKET_BITS, np.int64)
-    for block in blocks_of(text):
-        total += np.bincount(feature_buckets(block), minlength=len(total))
+    for found in features(text):
+        total += np.bincount(found, minlength=len(total))
     rows = np.flatnonzero(total)
-    return rows.astype(np.int32), total[rows]
+    return rows.astype(np.int32), total[rows].astype(np.int32)
 
 
 class QualityModel:
@@ -153,46 +168,17 @@ class QualityModel:
                 vectors[rows] -= (rate / lengths[i]) * np.outer(share_of, back)
         return cls(vectors @ (layer[1] - layer[0]), bias[1] - bias[0])
 
-    def logit(self, text: str | None) -> float:
+    def score(self, text: str | None) -> float:
         total, n = 0.0, 0
-        for block in blocks_of(text):
-            found = feature_buckets(block)
+        for found in features(text):
             total += float(self.weights[found].sum(dtype=np.float64))
             n += len(found)
-        return self.bias + (total / n if n else 0.0)
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Scores of many texts; short ones are hashed together, a block at a time."""
-        sums, counts = np.zeros(len(texts)), np.zeros(len(texts))
-        parts: list[tuple[int, bytes]] = []
-        size = 0
-
-        def flush() -> None:
-            nonlocal parts, size
-            for i, total, n in self._sums(parts):
-                sums[i] += total
-                counts[i] += n
-            parts, size = [], 0
-
-        for i, text in enumerate(texts):
-            for block in blocks_of(text):
-                parts.append((i, block))
-                size += len(block)
-                if size >= BLOCK_BYTES:
-                    flush()
-        flush()
-        logits = self.bias + sums / np.maximum(counts, 1)
-        return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
-
-    def _sums(self, parts: list[tuple[int, bytes]]) -> Iterator[tuple[int, float, int]]:
-        for i, block in parts:
-            found = feature_buckets(block)
-            yield i, float(self.weights[found].sum(dtype=np.float64)), len(found)
+        return float(1 / (1 + np.exp(-np.clip(self.bias + (total / n if n else 0.0), -60, 60))))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality") -> QualityModel:
-    """Train on at most ``MOST_EXAMPLES`` labelled rows outside the held-out fold."""
-    sample = cut(labelled_sample(docs, labels, label, FOLDS, HELD, MOST_EXAMPLES, id_col), "labelled")
+    """Train on at most ``MOST_EXAMPLES`` labelled rows, of ``MOST_CHARS`` characters, outside the held-out fold."""
+    sample = labelled_sample(docs, labels, label, FOLDS, HELD, MOST_EXAMPLES, id_col, most_chars=MOST_CHARS)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,25 +188,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
                     batch.column(0),
                     batch.column(1),
                     pa.array([b for b, _ in bags], pa.list_(pa.int32())),
-                    pa.array([c for _, c in bags], pa.list_(pa.int64())),
+                    pa.array([c for _, c in bags], pa.list_(pa.int32())),
                 ],
                 names=["id", "label", "buckets", "counts"],
             )
 
     kind = dict(sample.dtypes)["id"]
-    read_in = sample.mapInArrow(read, f"id {kind}, label int, buckets array<int>, counts array<long>").toArrow()
-    examples = {}
-    for row in range(read_in.num_rows):
-        examples.setdefault(
-            read_in["id"][row].as_py(),
-            (
-                int(read_in["label"][row].as_py() > 0),
-                read_in["buckets"][row].values.to_numpy(zero_copy_only=False),
-                read_in["counts"][row].values.to_numpy(zero_copy_only=False),
-            ),
-        )
-    ids = sorted(examples)
-    return QualityModel.train([examples[i][1:] for i in ids], np.array([examples[i][0] for i in ids], np.int64))
+    read_in = sample.mapInArrow(read, f"id {kind}, label int, buckets array<int>, counts array<int>").toArrow().sort_by("id")
+    discard(sample)
+    bags = [
+        tuple(read_in[part][row].values.to_numpy(zero_copy_only=False) for part in ("buckets", "counts")) for row in range(read_in.num_rows)
+    ]
+    return QualityModel.train(bags, np.array([int(x > 0) for x in read_in["label"].to_pylist()], np.int64))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,14 +208,13 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                scores = shared.value.scores(piece.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
-                    names=[id_col, "score", "predicted"],
-                )
+            scores = np.array([model.score(t.as_py()) for t in batch.column(1)], np.float64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))],
+                names=[id_col, "score", "predicted"],
+            )
 
     return rows.mapInArrow(run, f"{id_col} {dict(rows.dtypes)['id']}, score double, predicted int")
 

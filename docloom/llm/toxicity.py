@@ -44,7 +44,7 @@ from .common import discard, pick
 from .labelled import MOST_CHARS, held_out, labelled_sample
 
 #: Labelled rows that are learned from at most; their texts are bounded by ``labelled.MOST_CHARS``.
-MOST_EXAMPLES = 2500
+MOST_EXAMPLES = 2000
 NEIGHBOURS = 15
 #: Examples in a block, and blocks that are scored before the first comparison with the bounds.
 BLOCK, FIRST_BLOCKS = 128, 2
@@ -55,7 +55,7 @@ RELEVANCE = 2
 FOLDS, HELD = 5, 0
 TERM = re.compile(r"[^\W\d_]+")
 #: Texts up to so many characters whose results a worker remembers, and how many of them.
-MEMO_CHARS, MEMO_ENTRIES = 2000, 10_000
+MEMO_CHARS, MEMO_ENTRIES = 2000, 4_000
 
 
 def words_of(text: str | None) -> list[str]:

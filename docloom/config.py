@@ -16,6 +16,31 @@ MODEL_WIDTHS = (("e5-large", 1024), ("e5-base", 768), ("e5-small", 384), ("mpnet
 DEFAULT_WIDTH = 384
 
 
+#: Folders of a project, below its root.
+FOLDERS = ("raw", "clean", "chunks", "vectors", "index", "reports")
+
+
+def read_env(path: str) -> dict[str, str]:
+    """``NAME=value`` lines of an env file; quotes around values, ``export``, blank and # lines are dropped."""
+    found = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            for line in f:
+                name, eq, value = line.strip().removeprefix("export ").partition("=")
+                if eq and not name.startswith("#"):
+                    found[name.strip()] = value.strip().strip("\"'")
+    return found
+
+
+def ensure_dirs(spark, root: str, names: tuple[str, ...] = FOLDERS) -> list[str]:
+    """Make the folders of a project in the store that Spark writes to; their paths."""
+    paths = [f"{root.rstrip('/')}/{name}" for name in names]
+    for path in paths:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
+    return paths
+
+
 def model_width(name: str) -> int:
     """Vector width of an embedding model by its name."""
     low = name.lower()
@@ -51,9 +76,13 @@ class EngineConfig:
             raise ValueError("chunk_overlap must be at least 0 and below chunk_size")
 
     @classmethod
-    def from_env(cls, env: Mapping[str, str] | None = None) -> EngineConfig:
-        """Settings from variables named like the fields, in capitals; absent ones keep their default."""
+    def from_env(cls, env: Mapping[str, str] | None = None, path: str | None = None) -> EngineConfig:
+        """Settings from variables named like the fields, in capitals; absent ones keep their default.
+
+        Variables of an env file at ``path`` count where the environment has none.
+        """
         env = os.environ if env is None else env
+        env = {**(read_env(path) if path else {}), **env}
         kinds = {"int": int, "float": float, "str": str, "bool": lambda v: v == "1"}
         found = {f.name: kinds[f.type](env[f.name.upper()]) for f in fields(cls) if f.type in kinds and f.name.upper() in env}
         return cls(**found)
@@ -74,5 +103,9 @@ class EngineConfig:
     def passage_prefix(self) -> str:
         return "passage: " if self._needs_prefix else ""
 
+    def summary(self) -> str:
+        """The settings, a line each."""
+        return "\n".join(f"{f.name:<24} {getattr(self, f.name)}" for f in fields(self)) + f"\n{'embedding_dim':<24} {self.embedding_dim}"
+
     def section_weight(self, section: str) -> float:
         return self.section_weights.get(section, self.default_section_weight)

@@ -1,24 +1,90 @@
-"""Tables in the shared folder: durable ends of lineage, and dense ids that need one."""
+"""Tables in the shared folder: durable ends of lineage, and what is built on them."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Tables that ``cut`` has written in this process, in order.
+WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder ``spark.checkpoint.dir`` names; one below the warehouse where it is unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
+
+    Only a session that runs in one process may leave the setting out; it gets a
+    folder below the SQL warehouse.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, hint: str) -> str:
+    """A path of the shared folder that nothing else uses."""
+    path = f"{shared_dir(spark)}/docloom-{hint}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
 
 
 def cut(df: DataFrame, hint: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{hint}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends at a durable table.
+
+    A lost executor then costs a re-read, not a recomputation, and a table that
+    is used twice is computed once.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, hint)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._docloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned, when nothing reads it any more."""
+    path = getattr(df, "_docloom_path", None)
+    if path is not None:
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path in the store that Spark writes to."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def sweep(spark: SparkSession, first: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written since ``WRITTEN`` had ``first`` entries, but for the table of ``keep``."""
+    kept = [p for p in WRITTEN[first:] if keep is not None and p == keep._docloom_path]
+    for path in WRITTEN[first:]:
+        if path not in kept:
+            delete(spark, path)
+    WRITTEN[first:] = kept
+
+
+def small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """Marked for broadcast if its rows, each counted as ``weight`` or 1, are ``most`` at most; else joined by shuffle.
+
+    The frame is read for the count, so it should be a table that ``cut`` returned.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if (df.agg(F.sum(weight).alias("n")).first().n or 0) <= most else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def dense_ids(df: DataFrame, order: list[str], name: str = "chunk_id") -> DataFrame:
@@ -28,21 +94,25 @@ def dense_ids(df: DataFrame, order: list[str], name: str = "chunk_id") -> DataFr
     written once; each partition's offset is the count of those before it, the
     only thing that reaches the driver.
     """
+    part, row = unused(df, "part"), unused(df, "row")
     placed = cut(
         df.orderBy(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "ids",
     )
     offsets, total = [], 0
-    for part, n in sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()):
-        offsets += [F.lit(part), F.lit(total)]
+    for p, n in sorted((r[part], r["count"]) for r in placed.groupBy(part).count().collect()):
+        offsets += [F.lit(p), F.lit(total)]
         total += n
-    start = F.element_at(F.create_map(*offsets), F.col("_part")) if offsets else F.lit(0)
-    return placed.withColumn(name, (start + F.col("_row")).cast("long")).drop("_part", "_row")
+    start = F.element_at(F.create_map(*offsets), F.col(part)) if offsets else F.lit(0)
+    return placed.withColumn(name, (start + F.col(row)).cast("long")).drop(part, row)
 
 
-def first_by(df: DataFrame, key: list, order: list[str]) -> DataFrame:
-    """The first row of each key in the given order; a partial aggregate, so a frequent key is no hot task."""
-    least = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"))
-    return least.select("_first.*")
+def first_by(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
+    """The first row of each key in the given order; a partial aggregate, so a frequent key is no hot task.
+
+    ``key`` should be short: rows are shuffled under it, and a text among their columns then travels once.
+    """
+    least = df.groupBy(key.alias("key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("first"))
+    return least.select("first.*")

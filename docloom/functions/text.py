@@ -23,7 +23,6 @@ HEADER_LABELS = (
     "KARAR NO",
     "NUMARASI",
     "İTHAL",
-    "TAtarafLAR",
     "TARAFLAR",
     "İNCELENEN KARARIN",
     "INCELENEN KARARIN",
@@ -47,6 +46,11 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+def seeded_order(col: Column, seed: int) -> Column:
+    """A random order of ids that only the seed decides."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(col.cast("string"), F.lit("null"))).cast("binary"))
+
+
 def text_of(col: Column) -> Column:
     """Null counts as empty."""
     return F.coalesce(col, F.lit(""))

@@ -72,7 +72,7 @@ def chunk_table(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", t
     chunks = chunk_decisions(docs, config, id_col, text_col)
     order = ["doc", "sec_ord", "piece_ord"]
     if config.dedup_chunks:
-        chunks = first_by(chunks.withColumn("_fold", F.sha2(fold(F.col("text")).cast("binary"), 256)), ["_fold"], order)
+        chunks = first_by(chunks, F.sha2(fold(F.col("text")).cast("binary"), 256), order)
     return dense_ids(chunks, order).select(
         "chunk_id",
         "text",

@@ -27,7 +27,7 @@ def clean_filter_dedup(
     """
     long = docs.filter(F.length(text_col) >= config.min_text_chars)
     cleaned = clean(long, patterns, text_col).filter(F.length(text_col) >= config.min_text_chars)
-    return first_by(cleaned, [text_col], [order_col])
+    return first_by(cleaned, F.sha2(F.col(f"`{text_col}`").cast("binary"), 256), [order_col])
 
 
 def clean_report(docs: DataFrame, config: EngineConfig, order_col: str = "doc_id") -> DataFrame:
@@ -37,7 +37,7 @@ def clean_report(docs: DataFrame, config: EngineConfig, order_col: str = "doc_id
         F.round(F.median(F.length(text_of(F.col("text")))), 6).alias(f"median_{name}"),
         F.coalesce(F.sum(F.length(text_of(F.col("text")))), F.lit(0)).alias(f"chars_{name}"),
     )
-    before = lengths(docs, "before").withColumn("_k", F.lit(1))
-    after = lengths(clean_filter_dedup(docs, config, order_col=order_col), "after").withColumn("_k", F.lit(1))
+    before = lengths(docs, "before").withColumn("k", F.lit(1))
+    after = lengths(clean_filter_dedup(docs, config, order_col=order_col), "after").withColumn("k", F.lit(1))
     reduction = 1.0 - F.col("chars_after") / F.greatest(F.col("chars_before"), F.lit(1))
-    return before.join(after, "_k").drop("_k").withColumn("reduction", F.round(reduction, 6))
+    return before.join(after, "k").drop("k").withColumn("reduction", F.round(reduction, 6))

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.text import bind, split_words, with_prefix
+from ..functions.lineage import unused
+from ..functions.text import bind, split_words, text_of, with_prefix
 from ..functions.vectors import unit
 
 
@@ -44,6 +45,19 @@ class HashingEmbedder:
         return df.withColumn(out, self.vector(F.col(text_col)))
 
 
+class CharacterEmbedder:
+    """Counts of single characters: small, exact, and expressible in any SQL; for tests and diagnostics."""
+
+    def __init__(self, characters: str = "abcdefghijklmnopqrstuvwxyz"):
+        self.characters, self.dimension = characters, len(characters)
+
+    def embed(self, df: DataFrame, text_col: str = "text", out: str = "embedding") -> DataFrame:
+        def counts(low: Column) -> Column:
+            return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in self.characters])
+
+        return df.withColumn(out, bind(F.lower(text_of(F.col(f"`{text_col}`"))), counts))
+
+
 class ModelEmbedder:
     """Batches through ``load()``'s model, which is loaded once a task; ``encode(list of texts)`` gives a matrix."""
 
@@ -66,4 +80,5 @@ class ModelEmbedder:
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], vectors], names=[*names, out])
 
         schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{out}` array<float>"
-        return df.withColumn("_text", with_prefix(F.col(text_col), self.prefix)).mapInArrow(run, schema)
+        prefixed = with_prefix(F.col(f"`{text_col}`"), self.prefix)
+        return df.withColumn(unused(df, "text_"), prefixed).mapInArrow(run, schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import any_keyword, snippet
+from .search import SearchEngine
 
 
 def is_relevant(similarity: Column, text: Column, keywords: Column, threshold: float) -> Column:
@@ -53,6 +56,27 @@ def report(reranked: DataFrame, plain: DataFrame, queries: DataFrame, latency_ms
     )
 
 
+def timed_benchmark(engine: SearchEngine, queries: DataFrame) -> DataFrame:
+    """``report`` of an engine over a query list (query_id, query, keywords), with the mean latency of its reranked searches.
+
+    Queries are asked one by one, as users do; a latency includes the query's
+    embedding. The list is a stated set of bounded size.
+    """
+    spark, config = queries.sparkSession, engine.config
+    hits: dict[bool, list] = {True: [], False: []}
+    took = []
+    for r in queries.select("query_id", "query").collect():
+        for weigh in (True, False):
+            began = time.perf_counter()
+            found = engine.search(r["query"], rerank=weigh)
+            if weigh:
+                took.append(1000 * (time.perf_counter() - began))
+            hits[weigh] += [(r["query_id"], h["rank"], h["chunk_id"], h["text"], float(h["similarity_score"])) for h in found]
+    schema = "query_id long, rank int, chunk_id long, text string, similarity_score double"
+    labelled = {k: label_hits(spark.createDataFrame(v, schema), queries, config) for k, v in hits.items()}
+    return report(labelled[True], labelled[False], queries, sum(took) / len(took) if took else None)
+
+
 def nested_report(labelled: DataFrame, queries: DataFrame) -> DataFrame:
     """query, num_results, accuracy, results: one row a query with its hits in rank order."""
     hit = F.struct(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SECTIONS
-from ..functions.text import normalize_template, sentences, word_count
+from ..functions.lineage import cut, unused
+from ..functions.text import normalize_template, seeded_order, sentences, word_count
 
 
 def mine_patterns(
@@ -14,20 +15,26 @@ def mine_patterns(
 ) -> DataFrame:
     """pattern, example, doc_count, doc_coverage, category: the ``top`` most widespread normalised sentences.
 
-    Each (template, document) is reduced before documents are counted; the
-    example is the first sentence in order, ties in count go to the template
+    What is shuffled of a sentence is a digest of its template and where it
+    stands. Each (template, document) is reduced before documents are counted;
+    the ``top`` templates then go to a second pass, which picks up their texts.
+    The example is the first sentence in order, ties in count go to the template
     seen first.
     """
     total = rows.agg(F.count_distinct(doc_col).alias("n")).first().n
     each = rows.select(F.col(doc_col).alias("doc"), F.col(order_col).alias("ord"), F.posexplode(sentences(F.col("text"))).alias("pos", "sent"))
     each = each.filter(word_count(F.col("sent")) >= min_words).withColumn("pattern", normalize_template(F.col("sent")))
-    each = each.filter(word_count(F.col("pattern")) >= min_words)
-    once = each.groupBy("pattern", "doc").agg(F.min(F.struct("ord", "pos", "sent")).alias("first"))
-    counted = once.groupBy("pattern").agg(F.count(F.lit(1)).alias("doc_count"), F.min("first").alias("first"))
-    counted = counted.filter(F.col("doc_count") >= min_docs).orderBy(F.desc("doc_count"), "first.ord", "first.pos", "pattern")
-    return counted.limit(top).select(
-        "pattern",
-        F.col("first.sent").alias("example"),
+    each = each.filter(word_count(F.col("pattern")) >= min_words).withColumn("digest", F.unhex(F.md5(F.col("pattern").cast("binary"))))
+    once = each.groupBy("digest", "doc").agg(F.min(F.struct("ord", "pos")).alias("first"))
+    counted = once.groupBy("digest").agg(F.count(F.lit(1)).alias("doc_count"), F.min("first").alias("first"))
+    kept = counted.filter(F.col("doc_count") >= min_docs).orderBy(F.desc("doc_count"), "first", "digest").limit(top)
+    kept = cut(kept.select("digest", "doc_count", "first.ord", "first.pos"), "patterns")
+    kept = F.broadcast(kept.select("doc_count", *[F.col(c).alias(f"k_{c}") for c in ("digest", "ord", "pos")]))
+    same = (F.col("digest") == F.col("k_digest")) & F.col("ord").eqNullSafe(F.col("k_ord")) & (F.col("pos") == F.col("k_pos"))
+    found = each.join(kept, same).groupBy("digest", "doc_count", "ord", "pos").agg(F.min(F.struct("pattern", "sent")).alias("text"))
+    return found.orderBy(F.desc("doc_count"), "ord", "pos", "text.pattern").select(
+        "text.pattern",
+        F.col("text.sent").alias("example"),
         "doc_count",
         F.round(F.col("doc_count") / F.lit(max(total, 1)), 4).alias("doc_coverage"),
         F.lit("repetitive").alias("category"),
@@ -38,12 +45,12 @@ def stratified_sample(
     rows: DataFrame, n: int, seed: int | None = 42, stratum: str = "section", strata: tuple = SECTIONS, id_col: str = "chunk_id"
 ) -> DataFrame:
     """About ``n`` rows, as many from each stratum. ``seed`` None takes the smallest ids instead of a random order."""
-    key = F.col(id_col) if seed is None else F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
-    per = max(1, n // len(strata))
+    key = F.col(id_col) if seed is None else seeded_order(F.col(id_col), seed)
+    per, place = max(1, n // len(strata)), unused(rows, "place")
     placed = rows.filter(F.col(stratum).isin(*strata)).withColumn(
-        "_place", F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_col))
+        place, F.row_number().over(Window.partitionBy(stratum).orderBy(key, id_col))
     )
-    return placed.filter(F.col("_place") <= per).orderBy(key, id_col).limit(n).drop("_place")
+    return placed.filter(F.col(place) <= per).orderBy(key, id_col).limit(n).drop(place)
 
 
 def review_counts(reviewed: DataFrame) -> DataFrame:

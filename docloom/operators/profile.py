@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import text_of
+from ..functions.lineage import unused
+from ..functions.text import seeded_order, text_of
 from .chunking import share_of
 
 REPLACEMENT = "�"
@@ -13,14 +14,15 @@ REPLACEMENT = "�"
 
 def length_stats(docs: DataFrame, by: str | None = None) -> DataFrame:
     """n, min, max, mean, median and population deviation of the text lengths, of all or each group."""
-    rows = docs.withColumn("_n", F.length(text_of(F.col("text"))))
+    n = unused(docs, "n_")
+    rows = docs.withColumn(n, F.length(text_of(F.col("text"))))
     return (rows.groupBy(by) if by else rows.groupBy()).agg(
         F.count(F.lit(1)).alias("n"),
-        F.min("_n").cast("long").alias("min_len"),
-        F.max("_n").cast("long").alias("max_len"),
-        F.round(F.avg("_n"), 6).alias("mean_len"),
-        F.round(F.median("_n"), 6).alias("median_len"),
-        F.round(F.stddev_pop("_n"), 6).alias("std_len"),
+        F.min(n).cast("long").alias("min_len"),
+        F.max(n).cast("long").alias("max_len"),
+        F.round(F.avg(n), 6).alias("mean_len"),
+        F.round(F.median(n), 6).alias("median_len"),
+        F.round(F.stddev_pop(n), 6).alias("std_len"),
     )
 
 
@@ -67,5 +69,4 @@ def encoding_count(docs: DataFrame) -> DataFrame:
 
 def sample(docs: DataFrame, n: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """``n`` rows without replacement, the same for any partitioning."""
-    key = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(seed))
-    return docs.orderBy(key, id_col).limit(n)
+    return docs.orderBy(seeded_order(F.col(f"`{id_col}`"), seed), id_col).limit(n)

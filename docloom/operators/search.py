@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
+from ..functions.lineage import cut, small
 from ..functions.text import first_tokens, jaccard
 from ..functions.vectors import cosine_of_l2, final_score, section_weight
 from .embedding import Embedder
 
 #: Queries that one pass over the corpus answers; more go in several passes.
 QUERY_BLOCK = 4096
+#: Hits that are sent to the tasks that read the chunks' texts; more are joined by shuffle.
+BROADCAST_HITS = 1_000_000
 HITS = "query_id long, chunk_id long, distance double"
 
 
@@ -102,6 +105,8 @@ def search(
         F.col("rank").alias("retrieval_rank"),
         F.round(cosine_of_l2(F.col("distance")), 4).alias("similarity_score"),
     )
+    # k rows a query: as long as they are few, the corpus and its texts stay where they are
+    near = small(cut(near, "hits"), BROADCAST_HITS)
     hits = near.join(corpus.select("chunk_id", "text", "section", "original_doc_id"), "chunk_id")
     return rerank(hits, config, weigh).filter(F.col("rank") <= k).drop("retrieval_rank")
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FACTS, GENERAL, LAW, REASONS, RULING
+from ..functions.lineage import unused
 from ..functions.text import bind, strip, text_of
 from ..schemas import SECTION_LIST
 
@@ -43,7 +42,8 @@ HEAD_CHARS = 48
 TERSE_CHARS, TERSE_TAIL = 400, 160
 
 VARIANTS = sorted(((v, s) for s, names in HEADERS.items() for v in names), key=lambda x: -len(x[0]))
-MARKER = rf"(?U)(?=\b(?:{'|'.join(re.escape(v).replace(chr(92) + ' ', ' ') for v, _ in VARIANTS)})\s*[:\-]?\s)"
+#: The variants are letters and spaces, so they stand in a pattern as they are.
+MARKER = rf"(?U)(?=\b(?:{'|'.join(v for v, _ in VARIANTS)})\s*[:\-]?\s)"
 
 
 def _section(name: Column | str, text: Column) -> Column:
@@ -139,30 +139,30 @@ def extract_sections(docs: DataFrame, text_col: str = "text", out: str = "sectio
     out of the last section unless one is a ruling or the last is law. Blank
     texts have no sections.
     """
-    text = text_of(F.col(f"`{text_col}`"))
-    with_headers = docs.withColumn("_text", text).withColumn("_header", header_sections(F.col("_text")))
-    cued = with_headers.withColumn(
-        "_found",
-        F.when(strip(F.col("_text")) == "", F.array().cast(SECTION_LIST))
-        .when(F.size("_header") > 0, F.col("_header"))
-        .otherwise(cue_sections(F.col("_text"), ruling_start(F.col("_text")))),
-    )
-    last = cued.withColumn("_last", F.get("_found", F.size("_found") - 1)).withColumn(
-        "_start", ruling_start(F.col("_last.text"))
+    text_at, header_at, found_at, last_at, start_at = (unused(docs, n) for n in ("text_", "header_", "found_", "last_", "start_"))
+    raw, found, last, start = (F.col(n) for n in (text_at, found_at, last_at, start_at))
+    # each step is a column of its own, as later ones name it often
+    rows = docs.withColumn(text_at, text_of(F.col(f"`{text_col}`"))).withColumn(header_at, header_sections(raw))
+    rows = rows.withColumn(
+        found_at,
+        F.when(strip(raw) == "", F.array().cast(SECTION_LIST))
+        .when(F.size(header_at) > 0, F.col(header_at))
+        .otherwise(cue_sections(raw, ruling_start(raw))),
     )
-    whole, start = F.col("_last.text"), F.col("_start")
-    front = F.slice("_found", F.lit(1), F.size("_found") - 1)
+    rows = rows.withColumn(last_at, F.get(found, F.size(found) - 1)).withColumn(start_at, ruling_start(last["text"]))
+    whole = last["text"]
+    front = F.slice(found, F.lit(1), F.size(found) - 1)
     head, ruling = strip(F.left(whole, start)), strip(F.substring(whole, start + 1, F.length(whole)))
-    kept = F.when(head == "", front).otherwise(F.concat(front, F.array(_section(F.col("_last.section"), head))))
+    kept = F.when(head == "", front).otherwise(F.concat(front, F.array(_section(last["section"], head))))
     terse = (F.length(whole) < TERSE_CHARS) & F.right(whole, F.lit(TERSE_TAIL)).rlike(DECREE)
-    closed = F.exists("_found", lambda s: s["section"] == RULING) | (F.col("_last.section") == LAW)
+    closed = F.exists(found, lambda s: s["section"] == RULING) | (last["section"] == LAW)
     carved = (
-        F.when(F.col("_last").isNull() | closed, F.col("_found"))
+        F.when(last.isNull() | closed, found)
         .when((start > 0) & (ruling != ""), F.concat(kept, F.array(_section(RULING, ruling))))
         .when(~F.coalesce(start > 0, F.lit(False)) & terse, F.concat(front, F.array(_section(RULING, whole))))
-        .otherwise(F.col("_found"))
+        .otherwise(found)
     )
-    return last.withColumn(out, carved).drop("_text", "_header", "_found", "_last", "_start")
+    return rows.withColumn(out, carved).drop(text_at, header_at, found_at, last_at, start_at)
 
 
 def explode_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

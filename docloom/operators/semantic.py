@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import sentences
 from ..functions.vectors import doubles, unit
+from .embedding import Embedder
 from .search import knn
 
 
 def _sums(vectors: DataFrame, *keys: str) -> DataFrame:
-    """keys, n, norm2: number of unit vectors and squared length of their sum, for each key.
+    """keys, n, own, norm2: number of unit vectors, sum of their squared lengths (0 for zero vectors, else 1) and squared length of their sum.
 
     The sum is taken component by component, so a group's vectors never meet in
     one task: each task adds up its own and only the sums are shuffled.
     """
     each = vectors.select(*keys, F.posexplode(unit(doubles(F.col("embedding")))).alias("i", "x"))
-    sums = each.groupBy(*keys, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("norm2"))
+    sums = each.groupBy(*keys, "i").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("own"), F.count(F.lit(1)).alias("n"))
+    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.sum("own").alias("own"), F.sum(F.col("s") * F.col("s")).alias("norm2"))
 
 
 def mean_pairwise_cosine(vectors: DataFrame, group: str) -> DataFrame:
     """group, n, coherence: mean cosine over the pairs of a group's vectors; null below two.
 
-    For unit vectors the pairs' sum is (|sum|^2 - n) / 2, so no pair is formed.
+    The pairs' sum is half of |sum|^2 less the squared lengths, so no pair is formed.
     """
     pairs = F.col("n") * (F.col("n") - 1)
     return _sums(vectors, group).select(
-        group, "n", F.round(F.try_divide(F.col("norm2") - F.col("n"), pairs), 6).alias("coherence")
+        group, "n", F.round(F.try_divide(F.col("norm2") - F.col("own"), pairs), 6).alias("coherence")
     )
 
 
@@ -43,6 +45,18 @@ def coherence_summary(vectors: DataFrame, group: str, incoherent: float = 0.20)
     )
 
 
+def sentence_vectors(chunks: DataFrame, embedder: Embedder, chunk_id: str = "chunk_id") -> DataFrame:
+    """chunk_id, embedding: a row for each sentence of the split chunks that have two sentences or more."""
+    split = chunks.filter(~F.coalesce(F.col("is_atomic"), F.lit(False))).select(chunk_id, sentences(F.col("text")).alias("sents"))
+    each = split.filter(F.size("sents") >= 2).select(chunk_id, F.explode("sents").alias("text"))
+    return embedder.embed(each).select(chunk_id, "embedding")
+
+
+def chunk_coherence(chunks: DataFrame, embedder: Embedder, chunk_id: str = "chunk_id") -> DataFrame:
+    """chunk_id, n, coherence: mean cosine over the pairs of a chunk's sentences."""
+    return mean_pairwise_cosine(sentence_vectors(chunks, embedder, chunk_id), chunk_id)
+
+
 def within_section(vectors: DataFrame, section: str = "section") -> DataFrame:
     """section, n, mean cosine within each section of two vectors or more."""
     return mean_pairwise_cosine(vectors, section).filter("n >= 2").select(section, "n", F.col("coherence").alias("within"))
@@ -50,12 +64,12 @@ def within_section(vectors: DataFrame, section: str = "section") -> DataFrame:
 
 def separability(vectors: DataFrame, section: str = "section") -> DataFrame:
     """One row: pair-pooled mean cosine within and across sections, and their margin; sections of one vector are left out."""
-    groups = _sums(vectors, section).filter("n >= 2").select(section, F.col("n").alias("m"), "norm2")
+    groups = _sums(vectors, section).filter("n >= 2").select(section, F.col("n").alias("m"), "own", "norm2")
     within = groups.agg(
-        F.sum((F.col("norm2") - F.col("m")) / 2).alias("w_sum"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("w_pairs")
+        F.sum((F.col("norm2") - F.col("own")) / 2).alias("w_sum"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("w_pairs")
     ).withColumn("_k", F.lit(1))
     kept = vectors.join(groups.select(section), section, "left_semi").withColumn("_k", F.lit(1))
-    whole = _sums(kept, "_k").select("_k", ((F.col("norm2") - F.col("n")) / 2).alias("sum"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    whole = _sums(kept, "_k").select("_k", ((F.col("norm2") - F.col("own")) / 2).alias("sum"), (F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
     both = within.join(whole, "_k")
     mean_within = F.try_divide(F.col("w_sum"), F.col("w_pairs"))
     cross = F.try_divide(F.col("sum") - F.col("w_sum"), F.col("pairs") - F.col("w_pairs"))

@@ -36,20 +36,28 @@ def general_rate(chunks: DataFrame) -> DataFrame:
     )
 
 
-def word_coverage(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id") -> DataFrame:
-    """doc, n_words, n_covered, coverage: share of a text's words that its own chunks hold; of repeated ids the last text."""
-    rows = docs.select(F.col(id_col).alias("doc"), "text")
-    own = chunk_decisions(rows, config, "doc").select("doc", F.explode(words(F.col("text"))).alias("w")).distinct()
-    of_text = rows.select("doc", F.explode(words(F.col("text"))).alias("w")).distinct()
-    met = of_text.join(own.withColumn("hit", F.lit(1)), ["doc", "w"], "left")
-    return met.groupBy("doc").agg(F.count(F.lit(1)).alias("n_words"), F.count("hit").alias("n_covered")).withColumn(
-        "coverage", F.round(F.col("n_covered") / F.col("n_words"), 6)
+def word_coverage(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", order_col: str | None = None) -> DataFrame:
+    """doc, n_words, n_covered, coverage: share of a text's words that the chunks of its id hold.
+
+    Of the texts of a repeated id the last by ``order_col`` counts (without one, the
+    last by code point); its chunks are those of all of them. Texts without words
+    are left out. Words stay in arrays: no word is a row.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), "text", (F.col(f"`{order_col}`") if order_col else F.col("text")).alias("ord"))
+    last = rows.groupBy("doc").agg(F.max_by("text", F.struct("ord", "text")).alias("text")).select("doc", words(F.col("text")).alias("w"))
+    each = chunk_decisions(rows, config, "doc").select("doc", words(F.col("text")).alias("w"))
+    own = each.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("own"))
+    met = last.join(own, "doc", "left").select(
+        "doc",
+        F.size("w").cast("long").alias("n_words"),
+        F.coalesce(F.size(F.array_intersect("w", "own")), F.lit(0)).cast("long").alias("n_covered"),
     )
+    return met.filter("n_words > 0").withColumn("coverage", F.round(F.col("n_covered") / F.col("n_words"), 6))
 
 
-def coverage_summary(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id") -> DataFrame:
+def coverage_summary(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", order_col: str | None = None) -> DataFrame:
     """One row: mean and worst coverage; documents without words are left out."""
-    return word_coverage(docs, config, id_col).agg(
+    return word_coverage(docs, config, id_col, order_col).agg(
         F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.min("coverage").alias("worst_coverage")
     )
 

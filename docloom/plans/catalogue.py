@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SECTIONS, EngineConfig
+from ..config import SECTIONS, EngineConfig, model_width
 from ..functions import text as tx
-from ..functions.lineage import cut
+from ..functions.lineage import cut, fresh_path
 from ..operators import chunking, cleaning, evaluate, inspection, mining, patterns, profile, search, semantic, validate
-from ..operators.embedding import HashingEmbedder
-from ..operators.sections import explode_sections
+from ..operators.embedding import CharacterEmbedder, HashingEmbedder
+from ..operators.sections import HEADERS, explode_sections
 from ..sources import io
+from ..streaming import incremental
 from .oracles import ORACLE_SQL
 
 CONFIG = EngineConfig()
@@ -41,22 +42,29 @@ def digest(col: str = "text"):
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions made of the documents' letters, one of eight templates by doc_id: the documents hold no headers."""
-    letters = F.trim(F.regexp_replace("text", "[^a-z]+", " "))
-    rows = documents(spark, sf_dir).select("doc_id", letters.alias("b")).filter(F.length("b") >= 600)
-    p1, p2, p3, p4 = (F.trim(F.substring("b", 1 + 150 * i, 140)) for i in range(4))
+    """Decisions made of all letters of each document, one of nine templates by doc_id: the documents hold no headers.
+
+    Four quarters of the letters fill the templates; the last template goes through all header variants.
+    """
+    letters = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]+", " "))
+    rows = documents(spark, sf_dir).select("doc_id", letters.alias("b")).withColumn("q", F.floor(F.length("b") / 4).cast("int"))
+    p1, p2, p3 = (F.trim(F.substring("b", F.col("q") * i + 1, F.col("q"))) for i in range(3))
+    p4 = F.trim(F.substring("b", F.col("q") * 3 + 1, F.length("b")))
     join = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    variants = F.array(*[F.lit(v) for names in HEADERS.values() for v in names])
+    variant = F.get(variants, F.pmod(F.floor(F.col("doc_id") / 9), F.size(variants)).cast("int"))
     templates = [
         join("OYAL: ", p1, ". KANUN: ", p2, ". KARAR: ", p3, ". GEREKÇE: ", p4, "."),
-        join("OLAYLAR: ", p1, ". DEĞERLENDİRME: ", p2, ". HÜKÜM: ", p3, "."),
-        join("DAVA VE KARAR: ", p1, ". SONUÇ ", p2, "."),
-        join("zz ", p1, ". ", p2, "."),
-        join("zz ", p1, ". Gereği görüşülüp düşünüldü; ", p2, ". ", p3, " reddine karar verilmiştir."),
-        join("zz ", p1, ". ", p2, ". ", p3, " reddine karar verilmiştir."),
-        join("KARAR: ", F.repeat(join(p1, ". "), F.lit(40))),
-        join("zz ", F.trim(F.left(p1, F.lit(60))), " onanmasına karar verildi."),
+        join("OLAYLAR: ", p1, ". DEĞERLENDİRME: ", p2, " ", p3, ". HÜKÜM: ", p4, "."),
+        join("DAVA VE KARAR: ", p1, " ", p2, ". SONUÇ ", p3, " ", p4, "."),
+        join("zz ", p1, ". ", p2, ". ", p3, ". ", p4, "."),
+        join("zz ", p1, ". Gereği görüşülüp düşünüldü; ", p2, " ", p3, ". ", p4, " reddine karar verilmiştir."),
+        join("zz ", p1, ". ", p2, " ", p3, ". ", p4, " reddine karar verilmiştir."),
+        join("KARAR: ", p1, ". ", p2, ". ", p3, ". ", p4, "."),
+        join("zz ", F.col("b"), " onanmasına karar verildi."),
+        join(variant, ": ", F.col("b"), "."),
     ]
-    text = F.get(F.array(*templates), F.pmod("doc_id", F.lit(8)).cast("int"))
+    text = F.get(F.array(*[F.when(F.pmod("doc_id", F.lit(9)) == k, t) for k, t in enumerate(templates)]), F.pmod("doc_id", F.lit(9)).cast("int"))
     # written once: the sectioning expressions name their text often, and it should be a column, not this expression
     return cut(rows.select("doc_id", text.alias("text")), "decisions")
 
@@ -163,9 +171,9 @@ def sentence_split(spark, sf_dir):
 
 @query
 def template_normalize(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 400).alias("t"))
-    extra = F.concat(F.lit("12/03/2019 gün 2018/1234 sayılı m.141 ve Madde 5 ile 77 "), F.col("t"))
-    return rows.select("doc_id", tx.normalize_template(extra).alias("pattern"))
+    extra = F.concat(F.lit("12/03/2019 gün 2018/1234 sayılı m.141 ve Madde 5 ile 77 "), F.col("text"))
+    rows = documents(spark, sf_dir).select("doc_id", tx.normalize_template(extra).alias("pattern"))
+    return rows.select("doc_id", F.length("pattern").alias("n"), digest("pattern").alias("digest"))
 
 
 # -- mining and inspection -----------------------------------------------------------------------
@@ -289,12 +297,12 @@ def chunk_overlap(spark, sf_dir):
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors as chunks: sections and documents by label, texts by id."""
+    """Vectors as chunks: sections and documents by label, texts by id; a vector without a text has an empty one."""
     v = table(spark, sf_dir, "embeddings")
     name = F.get(F.array(*map(F.lit, SECTIONS)), (F.col("label") % 5).cast("int"))
     rows = v.select(F.col("vec_id").alias("chunk_id"), "embedding", name.alias("section"), F.col("label").cast("string").alias("original_doc_id"))
     texts = documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text")
-    return rows.join(texts, "chunk_id")
+    return rows.join(texts, "chunk_id", "left").withColumn("text", tx.text_of(F.col("text")))
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +363,7 @@ def separability(spark, sf_dir):
 @query
 def redundancy(spark, sf_dir):
     every = corpus(spark, sf_dir)
-    return semantic.redundancy(every.filter(F.col("chunk_id") % 10 == 0), every, 0.5)
+    return semantic.redundancy(every, every, 0.5)
 
 
 @query
@@ -377,8 +385,8 @@ def bench_parse(spark, sf_dir):
         "item_id",
         F.when(F.col("item_id") % 7 == 0, F.lit("# note"))
         .when(F.col("item_id") % 7 == 1, F.lit("  "))
-        .when(F.col("item_id") % 7 == 2, F.concat(F.lit(" "), F.substring("text", 1, 20)))
-        .otherwise(F.concat(F.substring("text", 1, 20), F.lit(" | Alpha, ,BETA | c,"), F.substring("text", 1, 5)))
+        .when(F.col("item_id") % 7 == 2, F.concat(F.lit(" "), F.col("text")))
+        .otherwise(F.concat(F.col("text"), F.lit(" | Alpha, ,BETA | c,"), F.col("text")))
         .alias("value"),
     )
     return io.parse_queries(lines).withColumn("keywords", F.array_join("keywords", ";"))
@@ -406,3 +414,113 @@ def bench_precision(spark, sf_dir):
 def bench_report(spark, sf_dir):
     (hits, asked), (plain, _) = labelled(spark, sf_dir, True), labelled(spark, sf_dir, False)
     return evaluate.report(hits, plain, asked).drop("latency_ms_mean")
+
+
+@query
+def bench_nested(spark, sf_dir):
+    """The nested report, a row a hit."""
+    hits, asked = labelled(spark, sf_dir, True)
+    found = evaluate.nested_report(hits, asked)
+    each = found.select("query_id", "num_results", "accuracy", F.explode("results").alias("r"))
+    return each.select("query_id", "num_results", "accuracy", "r.rank", "r.chunk_id", digest("r.text").alias("digest"), "r.similarity", "r.relevant")
+
+
+# -- sources, sinks and settings -----------------------------------------------------------------
+
+
+@query
+def csv_round_trip(spark, sf_dir):
+    """Documents as decisions written as CSV and read again under their schema."""
+    path = fresh_path(spark, "csv")
+    raw = documents(spark, sf_dir).select(F.col("doc_id").alias("_id"), F.col("text").alias("karar_metni"), F.col("source").alias("court"))
+    io.write_csv(io.map_columns(raw).drop("doc_ord"), path)
+    return io.read_csv(spark, path).select("id", "source", digest().alias("digest"))
+
+
+@query
+def csv_decisions(spark, sf_dir):
+    """The same file read as raw decisions, under whatever names its columns have."""
+    path = fresh_path(spark, "csv")
+    raw = documents(spark, sf_dir).select("doc_id", F.col("text").alias("content"), F.col("source").alias("kaynak"))
+    io.write_csv(raw, path)
+    return io.read_decisions(spark, path, "csv").select("id", "source", F.length("text").alias("n"))
+
+
+@query
+def pattern_round_trip(spark, sf_dir):
+    """A pattern file written and read again; a missing file is empty."""
+    path = fresh_path(spark, "patterns")
+    io.write_patterns(spark, patterns.pattern_file([{"pattern": "the <NUM>"}], [], {}), path)
+    found, none = io.read_patterns(spark, path), io.read_patterns(spark, path + "-none")
+    row = (len(found["seed_patterns"]), found["mined_patterns"][0]["pattern"], len(none))
+    return spark.createDataFrame([row], "n_seeds int, pattern string, n_missing int")
+
+
+@query
+def stage_outputs(spark, sf_dir):
+    """Chunks and vectors written as stages, each made once however often it is asked for, and joined by chunk id."""
+    top, made = fresh_path(spark, "stages"), []
+    chunks, vectors = (
+        lambda: made.append("chunks") or corpus(spark, sf_dir).select("chunk_id", "section", "text"),
+        lambda: made.append("vectors") or corpus(spark, sf_dir).select("chunk_id", "embedding"),
+    )
+    for _ in range(2):
+        tables = [io.materialise(spark, f"{top}/{name}", make) for name, make in (("chunks", chunks), ("vectors", vectors))]
+    joined = io.join_vectors(*tables)
+    return joined.select("chunk_id", "section", F.size("embedding").alias("width"), F.lit(len(made)).alias("times_made"))
+
+
+@query
+def dataset_metrics(spark, sf_dir):
+    return io.dataset_metrics(documents(spark, sf_dir)).drop("rows_per_second")
+
+
+@query
+def passage_prefix(spark, sf_dir):
+    prefix = EngineConfig(st_model_name="intfloat/multilingual-e5-large").passage_prefix
+    return documents(spark, sf_dir).select("doc_id", F.md5(tx.with_prefix(F.col("text"), prefix).cast("binary")).alias("digest"))
+
+
+@query
+def model_widths(spark, sf_dir):
+    names = ["intfloat/multilingual-e5-large", "e5-base-v2", "E5-Small", "all-mpnet-base-v2", CONFIG.st_model_name, "other"]
+    return spark.createDataFrame([(n, model_width(n)) for n in names], "model string, width int")
+
+
+@query
+def query_vectors(spark, sf_dir):
+    """Queries with their prefix, embedded and looked up among embedded documents."""
+    prefix = EngineConfig(st_model_name="e5-base").query_prefix
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tx.with_prefix(F.col("text"), prefix).alias("text"))
+    embedder = CharacterEmbedder("aeinorst")
+    chunks = embedder.embed(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"))
+    near = search.knn(embedder.embed(asked), chunks, 3)
+    return near.select("query_id", "rank", "chunk_id", "distance")
+
+
+@query
+def sample_strata(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return mining.stratified_sample(rows, 60, 42, "label", tuple(range(10)), "vec_id")
+
+
+@query
+def chunk_coherence(spark, sf_dir):
+    """Coherence of documents as chunks: those that are not atomic and have two sentences, by their sentences' letters."""
+    chunks = documents(spark, sf_dir).select(
+        F.col("doc_id").alias("chunk_id"), "text", (F.col("doc_id") % 4 == 0).alias("is_atomic")
+    )
+    return semantic.chunk_coherence(chunks, CharacterEmbedder("aeinorst"))
+
+
+@query
+def stream_clean(spark, sf_dir):
+    """The documents arriving as a stream, cleaned and reduced to the first of equal texts."""
+    path, state = fresh_path(spark, "stream"), fresh_path(spark, "state")
+    docs = documents(spark, sf_dir)
+    files = fresh_path(spark, "arrived")
+    docs.select("doc_id", "text").write.parquet(files)
+    cleaned = incremental.clean_stream(incremental.read_stream(spark, files, docs.select("doc_id", "text").schema), CONFIG)
+    digests = cleaned.select(F.md5(tx.fold(F.col("text")).cast("binary")).alias("digest"))
+    digests.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("digest string").parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators.inspection import CUES
 from ..operators.patterns import SEEDS
+from ..operators.sections import HEADERS
 
 #: White space as the engine defines it, for an engine whose \\s is ASCII.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -80,30 +81,50 @@ CLEANED = f"""cleaned AS (SELECT doc_id, source, lang, {clean("text")} AS text F
 kept AS (SELECT * FROM cleaned WHERE length(text) >= 100 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)"""
 
 #: The decisions by their parts; what each template's sections are is stated from the parts.
-PARTS = """parts AS (SELECT doc_id, doc_id % 8 AS k, trim(substr(b, 1, 140)) AS p1, trim(substr(b, 151, 140)) AS p2,
-    trim(substr(b, 301, 140)) AS p3, trim(substr(b, 451, 140)) AS p4
-    FROM (SELECT doc_id, trim(regexp_replace(text, '[^a-z]+', ' ', 'g')) AS b FROM documents) WHERE length(b) >= 600)"""
+PARTS = """parts AS (SELECT doc_id, doc_id % 9 AS k, (doc_id // 9) % 36 AS v, b, trim(substr(b, 1, q)) AS p1, trim(substr(b, q + 1, q)) AS p2,
+    trim(substr(b, 2 * q + 1, q)) AS p3, trim(substr(b, 3 * q + 1)) AS p4
+    FROM (SELECT doc_id, b, length(b) // 4 AS q FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^a-z]+', ' ', 'g')) AS b FROM documents)))"""
+#: Header variants whose inner word is a header too: the first word then stands by itself, as facts.
+PARTED = {
+    "DAVA VE KARAR": ("DAVA VE", "KARAR"),
+    "İLGİLİ KANUN": ("İLGİLİ", "KANUN"),
+    "ILGILI KANUN": ("ILGILI", "KANUN"),
+    "İLGİLİ MEVZUAT": ("İLGİLİ", "MEVZUAT"),
+    "ILGILI MEVZUAT": ("ILGILI", "MEVZUAT"),
+}
+SECTION_OF = {v: "KARAR" if v == "DAVA VE KARAR" else s for s, names in HEADERS.items() for v in names}
+VARIANTS = "[" + ", ".join(
+    f"{{'v': '{v}', 'front': '{PARTED.get(v, ('', ''))[0]}', 'head': '{PARTED.get(v, ('', v))[1]}', 'section': '{SECTION_OF[v]}'}}"
+    for names in HEADERS.values()
+    for v in names
+) + "][v + 1]"
 DECISIONS = f"""{PARTS}, decisions AS (SELECT doc_id, CASE k
     WHEN 0 THEN 'OYAL: ' || p1 || '. KANUN: ' || p2 || '. KARAR: ' || p3 || '. GEREKÇE: ' || p4 || '.'
-    WHEN 1 THEN 'OLAYLAR: ' || p1 || '. DEĞERLENDİRME: ' || p2 || '. HÜKÜM: ' || p3 || '.'
-    WHEN 2 THEN 'DAVA VE KARAR: ' || p1 || '. SONUÇ ' || p2 || '.'
-    WHEN 3 THEN 'zz ' || p1 || '. ' || p2 || '.'
-    WHEN 4 THEN 'zz ' || p1 || '. Gereği görüşülüp düşünüldü; ' || p2 || '. ' || p3 || ' reddine karar verilmiştir.'
-    WHEN 5 THEN 'zz ' || p1 || '. ' || p2 || '. ' || p3 || ' reddine karar verilmiştir.'
-    WHEN 6 THEN 'KARAR: ' || repeat(p1 || '. ', 40)
-    ELSE 'zz ' || trim(left(p1, 60)) || ' onanmasına karar verildi.' END AS text FROM parts)"""
+    WHEN 1 THEN 'OLAYLAR: ' || p1 || '. DEĞERLENDİRME: ' || p2 || ' ' || p3 || '. HÜKÜM: ' || p4 || '.'
+    WHEN 2 THEN 'DAVA VE KARAR: ' || p1 || ' ' || p2 || '. SONUÇ ' || p3 || ' ' || p4 || '.'
+    WHEN 3 THEN 'zz ' || p1 || '. ' || p2 || '. ' || p3 || '. ' || p4 || '.'
+    WHEN 4 THEN 'zz ' || p1 || '. Gereği görüşülüp düşünüldü; ' || p2 || ' ' || p3 || '. ' || p4 || ' reddine karar verilmiştir.'
+    WHEN 5 THEN 'zz ' || p1 || '. ' || p2 || ' ' || p3 || '. ' || p4 || ' reddine karar verilmiştir.'
+    WHEN 6 THEN 'KARAR: ' || p1 || '. ' || p2 || '. ' || p3 || '. ' || p4 || '.'
+    WHEN 7 THEN 'zz ' || b || ' onanmasına karar verildi.'
+    ELSE ({VARIANTS}).v || ': ' || b || '.' END AS text FROM parts)"""
 EXPECTED = f"""{DECISIONS}, expected AS (SELECT doc_id AS doc, CASE k
     WHEN 0 THEN [{{'section': 'OYAL', 'text': 'OYAL: ' || p1 || '.'}}, {{'section': 'KANUN', 'text': 'KANUN: ' || p2 || '.'}},
                  {{'section': 'KARAR', 'text': 'KARAR: ' || p3 || '.'}}, {{'section': 'GEREKÇE', 'text': 'GEREKÇE: ' || p4 || '.'}}]
-    WHEN 1 THEN [{{'section': 'OYAL', 'text': 'OLAYLAR: ' || p1 || '.'}}, {{'section': 'GEREKÇE', 'text': 'DEĞERLENDİRME: ' || p2 || '.'}},
-                 {{'section': 'KARAR', 'text': 'HÜKÜM: ' || p3 || '.'}}]
-    WHEN 2 THEN [{{'section': 'OYAL', 'text': 'DAVA VE'}}, {{'section': 'KARAR', 'text': 'KARAR: ' || p1 || '. SONUÇ ' || p2 || '.'}}]
-    WHEN 3 THEN [{{'section': 'GENEL', 'text': 'zz ' || p1 || '. ' || p2 || '.'}}]
-    WHEN 4 THEN [{{'section': 'OYAL', 'text': 'zz ' || p1 || '.'}}, {{'section': 'GEREKÇE', 'text': '; ' || p2 || '.'}},
-                 {{'section': 'KARAR', 'text': p3 || ' reddine karar verilmiştir.'}}]
-    WHEN 5 THEN [{{'section': 'OYAL', 'text': 'zz ' || p1 || '. ' || p2 || '.'}}, {{'section': 'KARAR', 'text': p3 || ' reddine karar verilmiştir.'}}]
-    WHEN 6 THEN [{{'section': 'KARAR', 'text': trim('KARAR: ' || repeat(p1 || '. ', 40))}}]
-    ELSE [{{'section': 'KARAR', 'text': 'zz ' || trim(left(p1, 60)) || ' onanmasına karar verildi.'}}] END AS found FROM parts),
+    WHEN 1 THEN [{{'section': 'OYAL', 'text': 'OLAYLAR: ' || p1 || '.'}}, {{'section': 'GEREKÇE', 'text': 'DEĞERLENDİRME: ' || p2 || ' ' || p3 || '.'}},
+                 {{'section': 'KARAR', 'text': 'HÜKÜM: ' || p4 || '.'}}]
+    WHEN 2 THEN [{{'section': 'OYAL', 'text': 'DAVA VE'}},
+                 {{'section': 'KARAR', 'text': 'KARAR: ' || p1 || ' ' || p2 || '. SONUÇ ' || p3 || ' ' || p4 || '.'}}]
+    WHEN 3 THEN [{{'section': 'GENEL', 'text': text}}]
+    WHEN 4 THEN [{{'section': 'OYAL', 'text': 'zz ' || p1 || '.'}}, {{'section': 'GEREKÇE', 'text': '; ' || p2 || ' ' || p3 || '.'}},
+                 {{'section': 'KARAR', 'text': trim(p4 || ' reddine karar verilmiştir.')}}]
+    WHEN 5 THEN [{{'section': 'OYAL', 'text': 'zz ' || p1 || '. ' || p2 || ' ' || p3 || '.'}},
+                 {{'section': 'KARAR', 'text': trim(p4 || ' reddine karar verilmiştir.')}}]
+    WHEN 6 THEN [{{'section': 'KARAR', 'text': text}}]
+    WHEN 7 THEN [{{'section': CASE WHEN length(text) < 400 THEN 'KARAR' ELSE 'GENEL' END, 'text': text}}]
+    ELSE CASE WHEN ({VARIANTS}).front = '' THEN [{{'section': ({VARIANTS}).section, 'text': text}}]
+         ELSE [{{'section': 'OYAL', 'text': ({VARIANTS}).front}}, {{'section': ({VARIANTS}).section, 'text': ({VARIANTS}).head || ': ' || b || '.'}}] END
+    END AS found FROM parts JOIN decisions USING (doc_id)),
 sections AS (SELECT doc, i::INT AS sec_ord, found[i + 1].section AS section, found[i + 1].text AS text
     FROM expected, unnest(range(len(found))) AS u(i))"""
 CHUNKS = f"""{EXPECTED}, sized AS (SELECT *, section IN ('KANUN', 'KARAR') AND length(text) <= 4000 AS is_atomic FROM sections),
@@ -120,8 +141,8 @@ WORDS = "list_distinct(regexp_extract_all(lower({e}), '[\\p{{L}}\\p{{N}}\\p{{M}}
 VECTORS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_sum(list_transform(range(1, len(q.e) + 1),
     lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))), 12) AS distance FROM v q, v c WHERE q.vec_id % 50 = 0)"""
-CORPUS = """corpus AS (SELECT vec_id AS chunk_id, e, d.text, ['OYAL', 'KANUN', 'KARAR', 'GEREKÇE', 'GENEL'][label % 5 + 1] AS section,
-    label::VARCHAR AS original_doc_id FROM v JOIN documents d ON d.doc_id = vec_id)"""
+CORPUS = """corpus AS (SELECT vec_id AS chunk_id, e, coalesce(d.text, '') AS text, ['OYAL', 'KANUN', 'KARAR', 'GEREKÇE', 'GENEL'][label % 5 + 1] AS section,
+    label::VARCHAR AS original_doc_id FROM v LEFT JOIN documents d ON d.doc_id = vec_id)"""
 
 
 def searched(k: int, weigh: bool, name: str = "found", candidates: int = 30) -> str:
@@ -172,7 +193,8 @@ ORACLE_SQL: dict[str, str] = {
         array_to_string(list_sort(list_distinct(list_slice({split_words("lower(text)")}, 1, 50))), ' ') AS tokens FROM documents""",
     "word_count": f"SELECT doc_id, len({split_words('text')})::INT AS n FROM documents",
     "sentence_split": f"SELECT doc_id, i::INT AS pos, md5(s[i + 1]) AS digest FROM (SELECT doc_id, {sentences('text')} AS s FROM documents), unnest(range(len(s))) AS u(i)",
-    "template_normalize": f"""SELECT doc_id, {normalize("'12/03/2019 gün 2018/1234 sayılı m.141 ve Madde 5 ile 77 ' || left(text, 400)")} AS pattern FROM documents""",
+    "template_normalize": f"""SELECT doc_id, length(p)::INT AS n, md5(p) AS digest
+        FROM (SELECT doc_id, {normalize("'12/03/2019 gün 2018/1234 sayılı m.141 ve Madde 5 ile 77 ' || text")} AS p FROM documents)""",
     "mine_boilerplate": f"""WITH each AS (SELECT doc_id, i AS pos, s[i + 1] AS sent, {normalize("s[i + 1]")} AS pattern
             FROM (SELECT doc_id, {sentences("text")} AS s FROM documents), unnest(range(len(s))) AS u(i)),
         fit AS (SELECT * FROM each WHERE len({split_words("sent")}) >= 4 AND len({split_words("pattern")}) >= 4)
@@ -181,12 +203,13 @@ ORACLE_SQL: dict[str, str] = {
         FROM fit GROUP BY pattern HAVING count(DISTINCT doc_id) >= 3 ORDER BY doc_count DESC, min((doc_id, pos)), pattern LIMIT 30""",
     "review_counts": "SELECT lang AS category, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY lang",
     "header_candidates": f"""WITH {PARTS} SELECT header, count(*) AS n FROM (SELECT unnest(CASE k WHEN 0 THEN ['OYAL', 'KANUN', 'KARAR', 'GEREKÇE']
-        WHEN 1 THEN ['OLAYLAR', 'DEĞERLENDİRME', 'HÜKÜM'] WHEN 2 THEN ['DAVA VE KARAR'] WHEN 6 THEN ['KARAR'] ELSE []::VARCHAR[] END) AS header FROM parts)
+        WHEN 1 THEN ['OLAYLAR', 'DEĞERLENDİRME', 'HÜKÜM'] WHEN 2 THEN ['DAVA VE KARAR'] WHEN 6 THEN ['KARAR']
+        WHEN 8 THEN [({VARIANTS}).v] ELSE []::VARCHAR[] END) AS header FROM parts)
         GROUP BY header ORDER BY n DESC, header LIMIT 30""",
     "cue_coverage": f"""WITH {DECISIONS} SELECT cue, count(*) AS n_docs FROM decisions, unnest([{", ".join(f"'{c}'" for c in CUES)}]) AS u(cue)
         WHERE contains(lower(text), cue) GROUP BY cue""",
     "section_coverage": f"WITH {EXPECTED} SELECT section, count(DISTINCT doc) AS n_docs FROM sections GROUP BY section",
-    "general_docs": f"WITH {PARTS} SELECT doc_id FROM parts WHERE k = 3",
+    "general_docs": f"WITH {EXPECTED} SELECT doc AS doc_id FROM sections GROUP BY doc HAVING bool_and(section = 'GENEL')",
     "stratified_sample": """SELECT vec_id, label FROM (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings)
         WHERE p <= 6 ORDER BY vec_id LIMIT 60""",
     "sections": f"WITH {EXPECTED} SELECT doc, sec_ord, section, text FROM sections",
@@ -230,13 +253,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT round(avg(s) FILTER (WHERE same), 6) AS mean_within, round(avg(s) FILTER (WHERE NOT same), 6) AS mean_cross,
             round(avg(s) FILTER (WHERE same) - avg(s) FILTER (WHERE NOT same), 6) AS margin FROM p""",
     "redundancy": f"""WITH {VECTORS}, {CORPUS}, {UNITS.format(t="corpus")}, best AS (SELECT a.chunk_id, a.original_doc_id AS d, b.original_doc_id AS o, list_inner_product(a.w, b.w) AS s
-            FROM u a JOIN u b ON a.chunk_id <> b.chunk_id WHERE a.chunk_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(s, 9) DESC, b.chunk_id) = 1)
+            FROM u a JOIN u b ON a.chunk_id <> b.chunk_id QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(s, 9) DESC, b.chunk_id) = 1)
         SELECT count(*) AS n_probes, count(*) FILTER (WHERE round(s, 9) >= 0.5 AND d <> o) AS n_redundant,
             round(count(*) FILTER (WHERE round(s, 9) >= 0.5 AND d <> o) / count(*), 6) AS rate FROM best""",
     "index_stats": """SELECT count(*) AS total_chunks, max(len(embedding))::INT AS dimension, 'sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2' AS model,
         true AS normalized, '2025-01-01' AS date FROM embeddings""",
-    "bench_parse": r"""SELECT item_id, trim(left(text, 20)) AS query, CASE WHEN item_id % 7 = 2 THEN '' ELSE
-            array_to_string(list_filter(['alpha', 'beta | c', lower(trim(left(text, 5)))], lambda k: k <> ''), ';') END AS keywords
+    "bench_parse": f"""SELECT item_id, {strip("text")} AS query, CASE WHEN item_id % 7 = 2 THEN '' ELSE array_to_string(list_filter(
+            list_transform(string_split('Alpha, ,BETA | c,' || text, ','), lambda k: lower({strip("k")})), lambda k: k <> ''), ';') END AS keywords
         FROM benchmark WHERE item_id % 7 >= 2""",
     "bench_relevance": f"WITH {VECTORS}, {CORPUS}, {searched(5, True)} SELECT query_id, rank, chunk_id, {RELEVANT} AS relevant FROM found",
     "bench_precision": f"WITH {VECTORS}, {CORPUS}, {searched(5, True)}, {PRECISION.format(name='p', hits='found')} SELECT * FROM p",
@@ -246,5 +269,40 @@ ORACLE_SQL: dict[str, str] = {
             round(s, 3) AS avg_similarity FROM (SELECT count(*) AS total_queries, avg(accuracy) AS a FROM p), (SELECT avg(accuracy) AS b FROM q),
             (SELECT avg(similarity_score) AS s FROM found)""",
 }
+LETTERS = lambda e: "[" + ", ".join(f"(length({e}) - length(replace({e}, '{c}', '')))::DOUBLE" for c in "aeinorst") + "]"
+ORACLE_SQL |= {
+    "profile_sample": "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 50",
+    "sample_strata": """SELECT vec_id, label FROM (SELECT vec_id, label, md5('42:' || vec_id::VARCHAR) AS o,
+        row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id::VARCHAR), vec_id) AS p FROM embeddings) WHERE p <= 6 ORDER BY o, vec_id LIMIT 60""",
+    "csv_round_trip": "SELECT doc_id::VARCHAR AS id, source, md5(text) AS digest FROM documents",
+    "csv_decisions": "SELECT doc_id::VARCHAR AS id, source, length(text)::INT AS n FROM documents",
+    "pattern_round_trip": f"SELECT {len(SEEDS)}::INT AS n_seeds, 'the <NUM>' AS pattern, 0::INT AS n_missing",
+    "stage_outputs": f"WITH {VECTORS}, {CORPUS} SELECT chunk_id, section, len(e)::INT AS width, 2::INT AS times_made FROM corpus",
+    "dataset_metrics": """SELECT count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes, round(sum(strlen(text)) / 1e6, 3)::DOUBLE AS megabytes FROM documents""",
+    "passage_prefix": "SELECT doc_id, md5('passage: ' || text) AS digest FROM documents",
+    "model_widths": """SELECT * FROM (VALUES ('intfloat/multilingual-e5-large', 1024::INT), ('e5-base-v2', 768::INT), ('E5-Small', 384::INT),
+        ('all-mpnet-base-v2', 768::INT), ('sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2', 384::INT), ('other', 384::INT)) t(model, width)""",
+    "query_vectors": f"""WITH q AS (SELECT item_id AS query_id, {LETTERS("lower('query: ' || text)")} AS e FROM benchmark), d AS (SELECT doc_id AS chunk_id, {LETTERS("lower(text)")} AS e FROM documents)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id, distance FROM (SELECT query_id, chunk_id,
+            list_sum(list_transform(range(1, 9), lambda i: (q.e[i] - d.e[i]) * (q.e[i] - d.e[i]))) AS distance FROM q, d) QUALIFY rank <= 3""",
+    "chunk_coherence": f"""WITH s AS (SELECT doc_id AS chunk_id, {sentences("text")} AS s FROM documents WHERE doc_id % 4 <> 0),
+        each AS (SELECT chunk_id, i, {LETTERS("lower(s[i + 1])")} AS e FROM s, unnest(range(len(s))) AS u(i) WHERE len(s) >= 2),
+        units AS (SELECT chunk_id, i, list_transform(e, lambda x: x / greatest(sqrt(list_inner_product(e, e)), 1e-8)) AS w FROM each)
+        SELECT a.chunk_id, (SELECT len(s) FROM s WHERE s.chunk_id = a.chunk_id) AS n, round(avg(list_inner_product(a.w, b.w)), 6) AS coherence
+        FROM units a JOIN units b ON a.chunk_id = b.chunk_id AND a.i < b.i GROUP BY a.chunk_id""",
+    "stream_clean": f"WITH cleaned AS (SELECT {clean('text')} AS text FROM documents) SELECT DISTINCT md5({fold('text')}) AS digest FROM cleaned WHERE length(text) >= 100",
+    "bench_nested": f"""WITH {VECTORS}, {CORPUS}, {searched(5, True)}, {PRECISION.format(name='p', hits='found')}
+        SELECT f.query_id, p.num_results, round(p.accuracy, 3) AS accuracy, f.rank, f.chunk_id, md5(replace(left(f.text, 200), chr(10), ' ')) AS digest,
+            f.similarity_score AS similarity, {RELEVANT.replace("query_id", "f.query_id").replace("lower(text)", "lower(f.text)")} AS relevant FROM found f JOIN p USING (query_id)""",
+    "knn_diversify": f"""WITH {VECTORS}, {CORPUS}, {searched(60, False)},
+        listed AS (SELECT query_id, list({{'rank': rank, 'chunk_id': chunk_id, 'doc': original_doc_id, 'similarity_score': similarity_score, 'section': section,
+            't': list_distinct(list_slice({split_words("lower(text)")}, 1, 50))}} ORDER BY rank) AS hits FROM found GROUP BY query_id),
+        kept AS (SELECT query_id, list_reduce(list_transform(hits, lambda h: [h]), lambda a, x: CASE WHEN len(a) >= 5
+            OR len(list_filter(a, lambda y: y.doc = x[1].doc OR CASE WHEN len(y.t) = 0 OR len(x[1].t) = 0 THEN false
+                ELSE len(list_intersect(y.t, x[1].t)) / (len(y.t) + len(x[1].t) - len(list_intersect(y.t, x[1].t))) >= 0.6 END)) > 0
+            THEN a ELSE list_concat(a, x) END) AS k FROM listed)
+        SELECT query_id, (i + 1)::INT AS place, k[i + 1].chunk_id AS chunk_id, k[i + 1].doc AS original_doc_id, k[i + 1].similarity_score AS similarity_score,
+            k[i + 1].section AS section FROM kept, unnest(range(len(k))) AS u(i)""",
+}
 ORACLE_SQL["coverage_summary"] = f"""SELECT count(*) AS n_docs, round(avg(coverage), 6) AS mean_coverage, min(coverage) AS worst_coverage
     FROM ({ORACLE_SQL["word_coverage"]})"""

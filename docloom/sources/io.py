@@ -130,6 +130,14 @@ def join_vectors(chunks: DataFrame, vectors: DataFrame, strict: bool = True) ->
     return chunks.join(vectors.select("chunk_id", "embedding"), "chunk_id")
 
 
+def dataset_metrics(docs: DataFrame, text_col: str = "text", seconds: float | None = None) -> DataFrame:
+    """One row: rows, UTF-8 bytes and megabytes of the texts, and rows a second if it is told how long they took."""
+    size = F.coalesce(F.sum(F.octet_length(F.col(f"`{text_col}`"))), F.lit(0)).cast("long")
+    row = docs.agg(F.count(F.lit(1)).alias("n_rows"), size.alias("n_bytes"))
+    rate = F.round(F.col("n_rows") / F.lit(seconds), 3) if seconds else F.lit(None).cast("double")
+    return row.select("*", F.round(F.col("n_bytes") / 1e6, 3).alias("megabytes"), rate.alias("rows_per_second"))
+
+
 def metadata(vectors: DataFrame, model: str, normalized: bool, date: str) -> DataFrame:
     """One row: total_chunks, dimension, model, normalized, date."""
     return vectors.agg(F.count(F.lit(1)).alias("total_chunks"), F.max(F.size("embedding")).alias("dimension")).select(

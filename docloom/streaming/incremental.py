@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import EngineConfig
+from ..functions.lineage import unused
 from ..functions.text import clean_text, fold
 from ..operators.chunking import chunk_decisions
 
@@ -23,10 +24,11 @@ def clean_stream(docs: DataFrame, config: EngineConfig, watermark: tuple[str, st
     Without a watermark (time column, delay) the keys of all texts are kept as state.
     """
     cleaned = docs.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") >= config.min_text_chars)
-    keyed = cleaned.withColumn("_fold", F.sha2(fold(F.col("text")).cast("binary"), 256))
+    name = unused(docs, "fold_")
+    keyed = cleaned.withColumn(name, F.sha2(fold(F.col("text")).cast("binary"), 256))
     if watermark:
-        return keyed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["_fold"]).drop("_fold")
-    return keyed.dropDuplicates(["_fold"]).drop("_fold")
+        return keyed.withWatermark(*watermark).dropDuplicatesWithinWatermark([name]).drop(name)
+    return keyed.dropDuplicates([name]).drop(name)
 
 
 def chunk_batches(

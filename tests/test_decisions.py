@@ -30,7 +30,7 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id long, text string").localCheckpoint()
+    return spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id long, text string").cache()
 
 
 def test_sections(docs):

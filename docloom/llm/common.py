@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import WRITTEN, cut, discard, small, sweep
+
+__all__ = ["WRITTEN", "by_rows", "cut", "discard", "fold", "pick", "read_table", "small", "sweep", "words_count"]
+
 #: Bits of ``monotonically_increasing_id`` below the number of the partition.
 PARTITION_BITS = 33
-#: Tables that ``cut`` has written in this process, in order.
-WRITTEN: list[str] = []
 #: Characters that separate words in every contract of this subpackage.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_RE = rf"[^{SPACE_CLASS}]+"
@@ -37,56 +38,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Only a session that runs in one process may leave the setting out; it gets a
-    folder below the SQL warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local[") and master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, hint: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at a durable table.
-
-    A lost executor then costs a re-read, not a recomputation, and a table that
-    is used twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom-{hint}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    WRITTEN.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._docloom_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the table behind a frame that ``cut`` returned, when nothing reads it any more."""
-    path = getattr(df, "_docloom_path", None)
-    if path is not None:
-        _delete(df.sparkSession, path)
-
-
-def sweep(spark: SparkSession, first: int, keep: DataFrame) -> None:
-    """Delete the tables that ``cut`` wrote since it had written ``first`` of them, but for ``keep``."""
-    for path in WRITTEN[first:]:
-        if path != keep._docloom_path:
-            _delete(spark, path)
-    WRITTEN[first:] = [keep._docloom_path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def words_count(text: Column) -> Column:
     """Number of maximal runs of non-space characters; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
@@ -97,16 +48,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def small(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
-    """Marked for broadcast if its rows, each counted as ``weight`` or 1, are ``most`` at most; else joined by shuffle.
-
-    The frame is read for the count, so it should be a table that ``cut`` returned.
-    """
-    if weight is None:
-        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-    return F.broadcast(df) if (df.agg(F.sum(weight).alias("n")).first().n or 0) <= most else df
-
-
 def by_rows(table: DataFrame, rows: DataFrame, how: str, most: int, weight: Column | None = None) -> DataFrame:
     """``table`` joined with ``rows`` on ``row`` (left_semi, left_anti or left); no row of ``table`` is shuffled.
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import service
 from ..config import SECTIONS, EngineConfig, model_width
 from ..functions import text as tx
 from ..functions.lineage import cut, fresh_path
 from ..operators import chunking, cleaning, evaluate, inspection, mining, patterns, profile, search, semantic, validate
-from ..operators.embedding import CharacterEmbedder, HashingEmbedder
+from ..operators.embedding import CharacterEmbedder, HashingEmbedder, ModelEmbedder
 from ..operators.sections import HEADERS, explode_sections
 from ..sources import io
 from ..streaming import incremental
@@ -524,3 +525,60 @@ def stream_clean(spark, sf_dir):
     digests = cleaned.select(F.md5(tx.fold(F.col("text")).cast("binary")).alias("digest"))
     digests.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("digest string").parquet(path)
+
+
+@query
+def preconditions(spark, sf_dir):
+    """Which inputs a stage would find, asked of the store that Spark reads."""
+    rows = []
+    for name in ("documents", "embeddings", "benchmark", "no_such_table"):
+        try:
+            io.require(spark, f"{sf_dir}/{name}.parquet")
+            rows.append((name, True))
+        except io.MissingInput:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "input string, found boolean")
+
+
+@query
+def settings_from_env(spark, sf_dir):
+    """Settings that variables change, beside defaults."""
+    config = EngineConfig.from_env({"TOP_K": "9", "USE_SECTION_RERANK": "1", "BENCHMARK_REL_THRESHOLD": "0.5", "ST_MODEL_NAME": "e5-large"})
+    names = ("top_k", "use_section_rerank", "benchmark_rel_threshold", "chunk_size", "min_text_chars", "embedding_dim", "query_prefix")
+    return spark.createDataFrame([(n, str(getattr(config, n))) for n in names], "name string, value string")
+
+
+@query
+def service_answers(spark, sf_dir):
+    """What the service answers to good and bad requests, with an engine over the documents and without one."""
+    embedder = CharacterEmbedder("aeinorst")
+    chunks = embedder.embed(documents(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text"))
+    engine = search.SearchEngine(
+        chunks.withColumn("section", F.lit("KARAR")).withColumn("original_doc_id", F.col("chunk_id").cast("string")), embedder, CONFIG
+    )
+    asked = [
+        ("GET", "/health", ""), ("GET", "/stats", ""), ("POST", "/search", '{"query": "nothing but this", "top_k": 3}'),
+        ("POST", "/search", '{"query": "x"}'), ("POST", "/search", '{"query": "long enough", "top_k": 0}'), ("POST", "/search", "no json"),
+        ("GET", "/search", ""), ("POST", "/other", ""),
+    ]
+    rows = []
+    for i, (method, path, body) in enumerate(asked):
+        status, content = service.respond(engine, method, path, body.encode())
+        rows.append((i, method, path, status, service.respond(None, method, path, body.encode())[0], len(content.get("results", []))))
+    engine.corpus.unpersist()
+    return spark.createDataFrame(rows, "n int, method string, path string, status int, status_without int, n_results int")
+
+
+class _LetterModel:
+    """A stand-in for a trained model: its vectors are counts of letters."""
+
+    def encode(self, texts: list[str]) -> list[list[float]]:
+        return [[float((t or "").lower().count(c)) for c in "aeinorst"] for t in texts]
+
+
+@query
+def model_embedder(spark, sf_dir):
+    """A model behind ``encode``, loaded once a task, with the passage prefix its name asks for."""
+    config = EngineConfig(st_model_name="e5-small", normalize_embeddings=False)
+    rows = ModelEmbedder(_LetterModel, 8, config).embed(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", F.transform("embedding", lambda x: x.cast("int")).alias("embedding"))

@@ -291,6 +291,13 @@ ORACLE_SQL |= {
         SELECT a.chunk_id, (SELECT len(s) FROM s WHERE s.chunk_id = a.chunk_id) AS n, round(avg(list_inner_product(a.w, b.w)), 6) AS coherence
         FROM units a JOIN units b ON a.chunk_id = b.chunk_id AND a.i < b.i GROUP BY a.chunk_id""",
     "stream_clean": f"WITH cleaned AS (SELECT {clean('text')} AS text FROM documents) SELECT DISTINCT md5({fold('text')}) AS digest FROM cleaned WHERE length(text) >= 100",
+    "preconditions": """SELECT * FROM (VALUES ('documents', true), ('embeddings', true), ('benchmark', true), ('no_such_table', false)) t(input, found)""",
+    "settings_from_env": """SELECT * FROM (VALUES ('top_k', '9'), ('use_section_rerank', 'True'), ('benchmark_rel_threshold', '0.5'), ('chunk_size', '1000'),
+        ('min_text_chars', '100'), ('embedding_dim', '1024'), ('query_prefix', 'query: ')) t(name, value)""",
+    "service_answers": """SELECT * FROM (VALUES (0::INT, 'GET', '/health', 200::INT, 200::INT, 0::INT), (1, 'GET', '/stats', 200, 503, 0), (2, 'POST', '/search', 200, 503, 3),
+        (3, 'POST', '/search', 400, 503, 0), (4, 'POST', '/search', 400, 503, 0), (5, 'POST', '/search', 400, 503, 0), (6, 'GET', '/search', 404, 404, 0),
+        (7, 'POST', '/other', 404, 404, 0)) t(n, method, path, status, status_without, n_results)""",
+    "model_embedder": f"""SELECT doc_id, list_transform({LETTERS("lower('passage: ' || text)")}, lambda x: x::INT) AS embedding FROM documents""",
     "bench_nested": f"""WITH {VECTORS}, {CORPUS}, {searched(5, True)}, {PRECISION.format(name='p', hits='found')}
         SELECT f.query_id, p.num_results, round(p.accuracy, 3) AS accuracy, f.rank, f.chunk_id, md5(replace(left(f.text, 200), chr(10), ' ')) AS digest,
             f.similarity_score AS similarity, {RELEVANT.replace("query_id", "f.query_id").replace("lower(text)", "lower(f.text)")} AS relevant FROM found f JOIN p USING (query_id)""",

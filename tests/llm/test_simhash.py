@@ -108,3 +108,24 @@ def test_components_of_documents(spark):
     want = sorted((str(i), f"{prints[t or '']:016x}", str(least.get(roots[prints[t or ""]]))) for i, t, *_ in rows)
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
     assert near_duplicates(doc_frame(spark, [])).count() == 0
+
+
+def test_one_text_in_half_of_the_rows_and_a_hub(spark):
+    rng = random.Random(31)
+    base = ["w%d" % rng.randrange(900) for _ in range(400)]
+    texts = [" ".join(base)] * 600
+    for i in range(300):  # near copies around one text
+        changed = list(base)
+        changed[rng.randrange(400)] = "x%d" % i
+        texts.append(" ".join(changed))
+    texts += [" ".join("v%d" % rng.randrange(9000) for _ in range(30)) for _ in range(300)]
+    docs = doc_frame(spark, list(enumerate(texts))).repartition(8)
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    prints = [fingerprint(t) for t in texts]
+    close = [(i, j) for i in range(599, 1200) for j in range(599, i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    roots = slow_roots(close, range(599, 1200))
+    least = {}
+    for i in range(599, 1200):
+        least[roots[i]] = min(least.get(roots[i], i), 0 if i == 599 else i)
+    assert all(got[i] == 0 for i in range(600))
+    assert all(got[i] == least[roots[i]] for i in range(600, 1200))

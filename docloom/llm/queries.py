@@ -12,7 +12,7 @@ from .html_text import main_text
 from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import quality
-from .secrets import scan_secrets
+from .secrets import BASE_KINDS, COPIED_OWNERS, COPIED_REPOS, LEAST_VALUE, PATTERNS, PLACEHOLDERS, scan_secrets
 from .simhash import near_duplicates
 from .tokens import count_tokens
 from .topk import top_k
@@ -61,7 +61,51 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: Matches of one pattern: where the gaps before it and the matches before it end.
+_MATCHES = " UNION ALL ".join(
+    f"""SELECT row, doc_id, source, {kind} AS kind, '{name}' AS name, regexp_extract_all(t, {_quoted(pattern)}, 0) AS m,
+        regexp_extract_all(t, {_quoted(pattern)}, {group}) AS v, list_transform(regexp_split_to_array(t, {_quoted(pattern)}), lambda x: length(x)) AS gaps FROM d"""
+    for kind, (name, pattern, group) in enumerate(PATTERNS)
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t FROM documents),
+matches AS ({_MATCHES}),
+each AS (SELECT row, doc_id, source, kind, name, v[i] AS v, m[i] AS m, (list_sum(gaps[1:i]) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+    FROM matches, unnest(range(1, len(m) + 1)) AS u(i)),
+spans AS (SELECT *, s + length(m) AS e FROM each WHERE (kind <> 0 OR length(v) >= {LEAST_VALUE})
+    AND (kind <> {len(PATTERNS) - 1} OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9].*[0-9].*[0-9]')))),
+owned AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS owners,
+    count(DISTINCT coalesce('=' || source, '') || chr(1) || coalesce(doc_id::VARCHAR, '')) AS repos FROM spans GROUP BY v),
+known AS (SELECT row, kind, name, s, e, owners < {COPIED_OWNERS} AND repos < {COPIED_REPOS} AND NOT regexp_matches(lower(v), {_quoted(PLACEHOLDERS)}) AS live
+    FROM spans JOIN owned USING (v)),
+base AS (SELECT * FROM known WHERE kind < {BASE_KINDS}),
+wide AS (SELECT * FROM known k WHERE kind >= {BASE_KINDS} AND live AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = k.row AND b.s < k.e AND k.s < b.e)),
+kept AS (SELECT * FROM base UNION ALL SELECT * FROM wide w WHERE NOT EXISTS
+    (SELECT 1 FROM wide o WHERE o.row = w.row AND o.s < w.e AND w.s < o.e AND (o.s < w.s OR (o.s = w.s AND o.kind < w.kind))))
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    sha256(coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE kind < {BASE_KINDS}), '')) AS base_sha256,
+    coalesce(string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind), '') AS spans,
+    count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied FROM d LEFT JOIN kept USING (row) GROUP BY row""",
+    "op10_benchmark_decontamination": r"""
+WITH texts AS (SELECT 0 AS side, row_number() OVER () AS key, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+words AS (SELECT side, key, id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM texts),
+sized AS (SELECT *, greatest(len(w) - 4, 1) AS n FROM words WHERE len(w) > 0),
+shingles AS (SELECT side, key, id, n, p::INT AS p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM sized, unnest(range(n)) AS u(p)),
+items AS (SELECT key AS item, id AS item_id, n AS m, h, count(*) AS c FROM shingles WHERE side = 1 GROUP BY ALL),
+hits AS (SELECT s.key, s.id, s.n, s.p, i.item, i.item_id, i.m, i.h, i.c FROM shingles s JOIN items i ON s.h = i.h WHERE s.side = 0),
+windows AS (SELECT DISTINCT key, id, n, item, item_id, m, least(m, n) AS size, b::INT AS b FROM hits, unnest(range(greatest(0, p - m + 1), least(p, n - least(m, n)) + 1)) AS u(b)),
+shared AS (SELECT w.key, w.id, w.item, w.item_id, w.m, w.size, w.b, h.h, least(count(*), any_value(h.c)) AS overlap
+    FROM windows w JOIN hits h ON h.key = w.key AND h.item = w.item AND h.p >= w.b AND h.p < w.b + w.size GROUP BY ALL),
+scored AS (SELECT id, item_id, m, size, b, sum(overlap) AS overlap FROM shared GROUP BY key, id, item, item_id, m, size, b),
+near AS (SELECT *, overlap::DOUBLE / (size + m - overlap) AS s FROM scored WHERE overlap::DOUBLE / (size + m - overlap) >= 0.8)
+SELECT id AS doc_id, item_id, round(s, 6) AS similarity, b::BIGINT AS start, size::BIGINT AS n_shingles FROM near
+QUALIFY row_number() OVER (PARTITION BY id, item_id ORDER BY s DESC, b) = 1""",
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
         CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[\p{L} ]+', '', 'g')) / length(text) END AS other,

@@ -60,6 +60,15 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files behind results that are tables by now.
+
+    Spark deletes them when the driver collects the plans that made them, which a
+    driver with free memory puts off while the disks of the executors fill.
+    """
+    spark._jvm.System.gc()
+
+
 def sweep(spark: SparkSession, first: int = 0, keep: DataFrame | None = None) -> None:
     """Delete what was written since ``WRITTEN`` had ``first`` entries, but for the table of ``keep``."""
     kept = [p for p in WRITTEN[first:] if keep is not None and p == keep._docloom_path]

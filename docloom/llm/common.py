@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import WRITTEN, cut, discard, small, sweep
+from ..functions.lineage import WRITTEN, cut, discard, release, small, sweep
 
-__all__ = ["WRITTEN", "by_rows", "cut", "discard", "fold", "pick", "read_table", "small", "sweep", "words_count"]
+__all__ = ["WRITTEN", "by_rows", "cut", "discard", "fold", "pick", "read_table", "release", "small", "sweep", "words_count"]
 
 #: Bits of ``monotonically_increasing_id`` below the number of the partition.
 PARTITION_BITS = 33

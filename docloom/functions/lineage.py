@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,6 +67,7 @@ def release(spark: SparkSession) -> None:
     Spark deletes them when the driver collects the plans that made them, which a
     driver with free memory puts off while the disks of the executors fill.
     """
+    gc.collect()
     spark._jvm.System.gc()
 
 

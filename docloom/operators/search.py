@@ -11,74 +11,97 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.lineage import cut, small
+from ..functions.shards import QUERY_ROWS, Nearest, by_width, every_shard, meet, shard_count, shard_of
 from ..functions.text import first_tokens, jaccard
 from ..functions.vectors import cosine_of_l2, final_score, section_weight
 from .embedding import Embedder
 
-#: Queries that one pass over the corpus answers; more go in several passes.
-QUERY_BLOCK = 4096
+#: Queries that are sent to every task that scans the corpus; more meet it in shards.
+BROADCAST_QUERIES = 4096
 #: Hits that are sent to the tasks that read the chunks' texts; more are joined by shuffle.
 BROADCAST_HITS = 1_000_000
 HITS = "query_id long, chunk_id long, distance double"
 
 
+def vectors_of(df: DataFrame, id_col: str, vector: str, *keep: str) -> DataFrame:
+    """id, v and ``keep``: the rows of ``df`` with an id and a vector without nulls, as doubles."""
+    rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), *keep)
+    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", F.isnull))
+
+
+def hits_of(found: Nearest, ids: np.ndarray) -> pa.RecordBatch:
+    """What was found for a block of queries of these ids, as rows of ``HITS``."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[found.of]), pa.array(found.ids), pa.array(found.near)], names=["query_id", "chunk_id", "distance"]
+    )
+
+
 def knn(
-    queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "chunk_id", vector: str = "embedding"
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    chunk_id: str = "chunk_id",
+    vector: str = "embedding",
+    most: int = BROADCAST_QUERIES,
+    shards: int | None = None,
 ) -> DataFrame:
     """query_id, chunk_id, distance, rank: the ``k`` nearest by squared L2 distance, ties to the smaller id.
 
-    Queries are a stated set: they are taken in blocks of bounded size, each sent
-    to the tasks that scan the corpus. A task keeps the k best of each of its
-    Arrow batches, so what is shuffled is k rows a query and batch. Vectors with
-    a null, or of another width than the query, take no part.
+    Up to ``most`` queries go to the tasks that scan the corpus, and no vector of
+    it is shuffled. More are a table like the corpus: the corpus is dealt into
+    shards once, every query is sent to each shard, and a shard answers with its k
+    best of each query, so the corpus is read once however many queries there are.
+    Vectors with a null, or of another width than the query, take no part.
+    ``corpus`` should be a table, as its rows are counted for the shards.
     """
-    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    rows = corpus.select(F.col(chunk_id).cast("long").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.filter(F.col("c").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", F.isnull))
-
-    def search(block: list) -> DataFrame:
-        ids = np.array([r.q for r in block], np.int64)
-        matrix = np.array([r.v for r in block], np.float64)
+    asked, rows = vectors_of(queries, query_id, vector), vectors_of(corpus, chunk_id, vector)
+    few = asked.limit(most + 1).toArrow()
+    if few.num_rows <= most:
+        ids = few.column("id").to_numpy()
+        blocks = [(ids[at], m) for at, m in by_width(few.column("v").combine_chunks())]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
-                fit = np.flatnonzero(sizes == matrix.shape[1])
-                names = batch.column(0).to_numpy(zero_copy_only=False)[fit]
-                points = batch.column(1).take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(len(fit), -1)
-                if not len(fit):
-                    continue
-                out: list[np.ndarray] = []
-                for i in range(0, len(ids), 256):
-                    q = matrix[i : i + 256]
-                    near = (q**2).sum(1)[:, None] + (points**2).sum(1)[None, :] - 2 * q @ points.T
-                    for j, row in enumerate(near):
-                        # rounding may reorder neighbours that are as near: all that tie with the k-th go on, exactly recomputed
-                        limit = np.partition(row, k - 1)[k - 1] + 1e-9 if len(row) > k else np.inf
-                        keep = np.flatnonzero(row <= limit)
-                        exact = np.round(((points[keep] - q[j]) ** 2).sum(1), 12)
-                        order = np.lexsort((names[keep], exact))[:k]
-                        out.append(np.stack([np.full(len(order), ids[i + j]), names[keep][order], exact[order].view(np.int64)]))
-                found = np.concatenate(out, axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found[0]), pa.array(found[1]), pa.array(found[2].view(np.float64))],
-                    names=["query_id", "chunk_id", "distance"],
-                )
-
-        return rows.mapInArrow(run, HITS)
-
-    spark = corpus.sparkSession
-    hits, block = spark.createDataFrame([], HITS), []
-    for r in asked.toLocalIterator():  # the queries only, a block at a time
-        if block and (len(block) == QUERY_BLOCK or len(r.v) != len(block[0].v)):
-            hits, block = hits.unionByName(search(block)), []
-        block.append(r)
-    if block:
-        hits = hits.unionByName(search(block))
+                for of, points in by_width(batch.column("v")):
+                    names = batch.column("id").to_numpy(zero_copy_only=False)[of]
+                    for own, matrix in blocks:
+                        for at in range(0, len(own) if matrix.shape[1] == points.shape[1] else 0, QUERY_ROWS):
+                            found = Nearest(matrix[at : at + QUERY_ROWS], k)
+                            found.add(points, names)
+                            yield hits_of(found, own[at : at + QUERY_ROWS])
+
+        hits = rows.mapInArrow(run, HITS)
+    else:
+        n = shards or shard_count(rows)
+        hits = meet(rows.withColumn("shard", shard_of(F.col("id"), n)), every_shard(asked, n), n, held_points, answer_nearest(k), HITS)
     best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def held_points(parts: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A shard's ids and vectors, by width."""
+    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in parts:
+        for at, points in by_width(batch.column("v")):
+            found.setdefault(points.shape[1], []).append((batch.column("id").to_numpy(zero_copy_only=False)[at], points))
+    return {w: (np.concatenate([i for i, _ in each]), np.concatenate([p for _, p in each])) for w, each in found.items()}
+
+
+def answer_nearest(k: int):
+    """A shard's k best for each of a block of queries (id, v)."""
+
+    def answer(held: dict[int, tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at, matrix in by_width(batch.column("v")):
+            if matrix.shape[1] in held:
+                found = Nearest(matrix, k)
+                names, points = held[matrix.shape[1]]
+                found.add(points, names)
+                yield hits_of(found, batch.column("id").to_numpy(zero_copy_only=False)[at])
+
+    return answer
+
+
 def rerank(hits: DataFrame, config: EngineConfig, apply_weights: bool) -> DataFrame:
     """Hits with section_weight, final_score and a rank by final score; ties keep the order of retrieval."""
     weight = section_weight(F.col("section"), config) if apply_weights else F.lit(1.0)

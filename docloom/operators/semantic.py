@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import fresh_path
 from ..functions.text import sentences
 from ..functions.vectors import doubles, unit
 from .embedding import Embedder
-from .search import knn
+from .index import VectorIndex
 
 
 def _sums(vectors: DataFrame, *keys: str) -> DataFrame:
@@ -79,12 +80,17 @@ def separability(vectors: DataFrame, section: str = "section") -> DataFrame:
 
 
 def redundancy(probes: DataFrame, corpus: DataFrame, threshold: float = 0.95, doc: str = "original_doc_id") -> DataFrame:
-    """One row: probes, and the share whose single nearest other chunk is as near as ``threshold`` and of another document."""
+    """One row: probes, and the share whose single nearest other chunk is as near as ``threshold`` and of another document.
+
+    The unit vectors are dealt into cells around pivots. A probe first meets its own
+    cell, and is then copied only to the cells whose borders the distance found
+    there reaches, so the whole corpus can be the probes. Chunk ids are keys.
+    """
     units = lambda df: df.withColumn("embedding", unit(doubles(F.col("embedding"))))
+    index = VectorIndex.build(units(corpus), fresh_path(corpus.sparkSession, "pivots"), keep=(doc,))
     asked = units(probes).select(F.col("chunk_id").alias("query_id"), F.col(doc).alias("doc"), "embedding")
-    near = knn(asked, units(corpus), 2).filter(F.col("query_id") != F.col("chunk_id"))
-    nearest = near.groupBy("query_id").agg(F.min(F.struct("distance", "chunk_id")).alias("best"))
-    met = nearest.select("query_id", F.col("best.chunk_id").alias("chunk_id"), (1 - F.col("best.distance") / 2).alias("cosine"))
+    near = index.search(asked, 1, others=True)
+    met = near.select("query_id", "chunk_id", (1 - F.col("distance") / 2).alias("cosine"))
     met = met.join(corpus.select("chunk_id", F.col(doc).alias("other")), "chunk_id").join(asked.select("query_id", "doc"), "query_id")
     hit = (F.round("cosine", 9) >= threshold) & (F.col("other") != F.col("doc"))
     return met.agg(F.count(F.lit(1)).alias("n_probes"), F.count_if(hit).alias("n_redundant")).withColumn(

@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .decontamination import find_leaks
 from .html_text import main_text
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .negatives import hard_negatives
 from .quality import quality
 from .secrets import BASE_KINDS, COPIED_OWNERS, COPIED_REPOS, LEAST_VALUE, PATTERNS, PLACEHOLDERS, scan_secrets
 from .simhash import near_duplicates
 from .tokens import count_tokens
 from .topk import top_k
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +64,16 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh row's label is moved on by one, so that labels and directions disagree somewhere."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(read_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -127,6 +140,16 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id)::INT AS rank,
     c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 5""",
+    "op11_hard_negatives": """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.r AS a, p.r AS p, a.vec_id AS anchor_id, a.label, a.e, p.vec_id AS positive_id, list_inner_product(a.e, p.e)::BIGINT AS positive_score
+    FROM v a JOIN v p ON p.label = a.label AND p.r <> a.r WHERE a.vec_id % 100 = 0
+    QUALIFY row_number() OVER (PARTITION BY a.r ORDER BY list_inner_product(a.e, p.e) DESC, p.vec_id) <= 5),
+n AS (SELECT p.*, n.vec_id AS negative_id, list_inner_product(p.e, n.e)::BIGINT AS negative_score FROM p JOIN v n ON n.label <> p.label)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY a, p ORDER BY negative_score DESC, negative_id)::INT AS rank, negative_id, positive_score, negative_score
+FROM n WHERE 30 * positive_score <= 100 * negative_score AND 100 * negative_score <= 90 * positive_score QUALIFY rank <= 10""",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -140,4 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_token_counts": op9_token_counts,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }

@@ -112,7 +112,7 @@ class CoarseTree:
 
     def deal(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """The shard of each row; those on a border go by a hash of their ids."""
-        rows = _widen(rows, self.width)[:, : self.width]
+        rows = widen(rows, self.width)[:, : self.width]
         shard = np.zeros(len(rows), np.int64)
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -126,7 +126,7 @@ class CoarseTree:
     def away(self, rows: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """Distance of each row from its shard's centre."""
         width = max(self.width, rows.shape[1])
-        return norms_of(_widen(rows, width) - _widen(self.centres, width)[shard])
+        return norms_of(widen(rows, width) - widen(self.centres, width)[shard])
 
 
 class BallTree:
@@ -193,7 +193,7 @@ class BallTree:
         return best, names
 
 
-def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
+def matrix_of(column: pa.Array, width: int = 0) -> np.ndarray:
     """A list column as a matrix, short rows padded with zeros."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False)
     flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -207,7 +207,7 @@ def _matrix(column: pa.Array, width: int = 0) -> np.ndarray:
     return out
 
 
-def _widen(rows: np.ndarray, width: int) -> np.ndarray:
+def widen(rows: np.ndarray, width: int) -> np.ndarray:
     return rows if rows.shape[1] >= width else np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
 
 
@@ -227,19 +227,19 @@ def _search_shards(k: int):
                 if shards[start] != shard:
                     shard, parts, tree = shards[start], [], None
                 ids = piece.column(2).to_numpy(zero_copy_only=False)
-                rows = quantise(_matrix(piece.column(3)))
+                rows = quantise(matrix_of(piece.column(3)))
                 if not kinds[start]:
                     parts.append((ids, rows))
                     continue
                 if tree is None:
                     width = max((r.shape[1] for _, r in parts), default=0)
                     tree = BallTree(
-                        np.concatenate([_widen(r, width) for _, r in parts]) if parts else np.zeros((0, width)),
+                        np.concatenate([widen(r, width) for _, r in parts]) if parts else np.zeros((0, width)),
                         np.concatenate([i for i, _ in parts]) if parts else np.zeros(0, np.int64),
                     )
                     parts = []
                 width = tree.points.shape[1]
-                rows = _widen(rows, width)[:, :width]  # beyond the shard's width every product is zero
+                rows = widen(rows, width)[:, :width]  # beyond the shard's width every product is zero
                 floors = piece.column(4).fill_null(NONE).to_numpy(zero_copy_only=False)
                 for at in range(0, len(rows), 512):
                     part = slice(at, at + 512)
@@ -266,12 +266,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     chosen = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(max(1, n // SAMPLE_ROWS))) == 0
     sample = clean.filter(chosen).select("embedding").limit(2 * SAMPLE_ROWS).toArrow()["embedding"]
     sample = pa.concat_arrays(sample.chunks) if sample.num_chunks else pa.array([], sample.type)
-    coarse = clean.sparkSession.sparkContext.broadcast(CoarseTree(quantise(_matrix(sample)), shards))
+    coarse = clean.sparkSession.sparkContext.broadcast(CoarseTree(quantise(matrix_of(sample)), shards))
     kind = dict(clean.dtypes)["embedding"]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids = quantise(_matrix(batch.column(1))), batch.column(0).to_numpy(zero_copy_only=False)
+            rows, ids = quantise(matrix_of(batch.column(1))), batch.column(0).to_numpy(zero_copy_only=False)
             shard = coarse.value.deal(rows, ids)
             away = coarse.value.away(rows, shard)
             yield pa.RecordBatch.from_arrays(
@@ -301,10 +301,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = quantise(_matrix(part.column(1)))
+                rows = quantise(matrix_of(part.column(1)))
                 floors = part.column(3).fill_null(NONE).to_numpy(zero_copy_only=False)
                 width = max(tree.width, rows.shape[1])
-                bounds = bounds_of(_widen(rows, width), norms_of(rows), _widen(tree.centres, width), np.maximum(radii, 0.0))
+                bounds = bounds_of(widen(rows, width), norms_of(rows), widen(tree.centres, width), np.maximum(radii, 0.0))
                 reach = (bounds >= floors[:, None].astype(np.float64)) & np.isfinite(radii)[None, :]
                 reach[np.arange(len(rows)), part.column(2).to_numpy(zero_copy_only=False)] = False
                 of, shard = np.nonzero(reach)

@@ -16,6 +16,7 @@ from .negatives import hard_negatives
 from .quality import quality
 from .secrets import BASE_KINDS, COPIED_OWNERS, COPIED_REPOS, LEAST_VALUE, PATTERNS, PLACEHOLDERS, scan_secrets
 from .simhash import near_duplicates
+from .sketches import fingerprints
 from .tokens import count_tokens
 from .topk import top_k
 from .toxicity import toxicity
@@ -74,6 +75,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -165,4 +170,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }

@@ -8,7 +8,8 @@ mislabelled. Both are one selection: the k highest rows of a window of scores.
 1. Histograms. Rows are dealt into shards; every anchor meets every shard and
    scores it by one matrix product. For each of the anchor's windows, the scores
    within it are counted by their highest digit (``DIGIT_BITS`` bits). Only
-   counts are shuffled, a row for each digit that occurs.
+   counts are shuffled: a row for each digit that occurs, from the highest one
+   down to that with which the shard alone has k rows, so k at most.
 2. Refinement. The counts of all shards are added up, and the digit that holds
    the k-th highest score becomes the window's new range; the rows above it are
    fewer than k. The next digit is counted in this range only, until the range is
@@ -107,9 +108,15 @@ def _count(same: bool, digit_bits: int):
                 if len(inside):
                     counts = np.bincount((inside - low) >> _shift(low, high, digit_bits), minlength=1 << digit_bits)
                     found[win] = found[win] + counts if win in found else counts
-        wins = [np.full(np.count_nonzero(c), w) for w, c in found.items()]
-        digits = [np.flatnonzero(c) for c in found.values()]
-        counts = [c[c > 0] for c in found.values()]
+        wanted = {win: need for each in windows for win, _, _, need, _ in each}
+        wins, digits, counts = [], [], []
+        for win, of in found.items():
+            digit = np.flatnonzero(of)[::-1]
+            # below a digit with which this shard alone has enough, the one that is looked for cannot lie
+            digit = digit[np.cumsum(of[digit]) - of[digit] < wanted[win]]
+            wins.append(np.full(len(digit), win))
+            digits.append(digit)
+            counts.append(of[digit])
         none = [np.zeros(0, np.int64)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or none).astype(np.int64)) for x in (wins, digits, counts)], names=["win", "digit", "n"])
 
@@ -159,7 +166,7 @@ def select_highest(pool: DataFrame, windows: DataFrame, anchors: DataFrame, shar
         all_of = F.sum("n").over(Window.partitionBy("win"))
         known = counts.withColumn("upto", upto).withColumn("all", all_of).join(state.filter("NOT done"), "win", "right")
         # the digit that holds the need-th highest row; if there are not so many rows the range stays, and all of it is wanted
-        few = F.coalesce(F.col("all"), F.lit(0)) <= F.col("need")
+        few = F.coalesce(F.col("all"), F.lit(0)) < F.col("need")
         above = F.col("upto") - F.col("n")
         reached = F.when(few, F.coalesce(F.col("upto") == F.col("all"), F.lit(True))).otherwise((F.col("upto") >= F.col("need")) & (above < F.col("need")))
         bits = F.length(F.regexp_replace(F.bin(F.col("high") - F.col("low")), "^0+", ""))

@@ -79,7 +79,14 @@ class VectorIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, path: str, cells: int | None = None, id_col: str = "chunk_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> VectorIndex:
-        """Fit cells (by default about as many as the root of the rows), write them and all vectors as batch 0."""
+        """An index of all vectors, which are its batch 0."""
+        index = cls.fit(vectors, path, cells, id_col, vector)
+        index.append(vectors, 0, id_col, vector, keep)
+        return index
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, path: str, cells: int | None = None, id_col: str = "chunk_id", vector: str = "embedding") -> VectorIndex:
+        """An index without vectors, its cells fitted to these (by default about as many as the root of their number)."""
         spark, rows = vectors.sparkSession, vectors_of(vectors, id_col, vector)
         size = F.size("v")
         n, low, high = rows.agg(F.count(F.lit(1)), F.min(size), F.max(size)).first()
@@ -94,9 +101,7 @@ class VectorIndex:
         centroids = fit_cells(matrix, wanted)
         table = [(i, c.tolist()) for i, c in enumerate(centroids)]
         spark.createDataFrame(table, "cell int, centroid array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
-        index = cls(spark, path)
-        index.append(vectors, 0, id_col, vector, keep)
-        return index
+        return cls(spark, path)
 
     def append(self, vectors: DataFrame, batch: int, id_col: str = "chunk_id", vector: str = "embedding", keep: tuple[str, ...] = (), gone: DataFrame | None = None) -> None:
         """Add vectors as a batch, and take back the chunk_ids of ``gone``; the batch counts once all of it is written."""

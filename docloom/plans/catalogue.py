@@ -13,9 +13,10 @@ from ..functions import text as tx
 from ..functions.lineage import cut, fresh_path
 from ..operators import chunking, cleaning, evaluate, inspection, mining, patterns, profile, search, semantic, validate
 from ..operators.embedding import CharacterEmbedder, HashingEmbedder, ModelEmbedder
+from ..operators.index import VectorIndex
 from ..operators.sections import HEADERS, explode_sections
 from ..sources import io
-from ..streaming import incremental
+from ..streaming import incremental, ingest
 from .oracles import ORACLE_SQL
 
 CONFIG = EngineConfig()
@@ -323,6 +324,23 @@ def knn_l2(spark, sf_dir):
     return near.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
 
 
+@query
+def knn_all(spark, sf_dir):
+    """The nearest of every vector: as many queries as vectors, both dealt into shards."""
+    v = table(spark, sf_dir, "embeddings")
+    near = search.knn(v.withColumnRenamed("vec_id", "query_id"), v.withColumnRenamed("vec_id", "chunk_id"), 3, most=0)
+    return near.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
+@query
+def index_search(spark, sf_dir):
+    """The same queries as ``knn_l2``, answered by an index that was written and is opened again."""
+    path = fresh_path(spark, "index")
+    VectorIndex.build(table(spark, sf_dir, "embeddings"), path, id_col="vec_id")
+    near = VectorIndex(spark, path).search(vector_queries(spark, sf_dir), 10)
+    return near.select("query_id", "rank", "chunk_id", F.round("distance", 6).alias("distance"))
+
+
 @query
 def search_plain(spark, sf_dir):
     found = search.search(vector_queries(spark, sf_dir), corpus(spark, sf_dir), CONFIG, None, False)
@@ -527,6 +545,19 @@ def stream_clean(spark, sf_dir):
     return spark.read.schema("digest string").parquet(path)
 
 
+@query
+def stream_index(spark, sf_dir):
+    """Documents that arrive in three parts, later ones before their firsts, embedded into an index; its live rows."""
+    arrived, state = fresh_path(spark, "arrived"), fresh_path(spark, "state")
+    embedder, docs = CharacterEmbedder("aeinorst"), documents(spark, sf_dir).select("doc_id", "text")
+    index = VectorIndex.fit(embedder.embed(table(spark, sf_dir, "benchmark")), fresh_path(spark, "index"), id_col="item_id")
+    for part in (2, 1, 0):
+        docs.filter(F.pmod("doc_id", F.lit(3)) == part).write.mode("append").parquet(arrived)
+        stream = incremental.read_stream(spark, arrived, docs.schema)
+        ingest.index_batches(stream, CONFIG, embedder, index, state, order_col="doc_id").awaitTermination()
+    return index.vectors().select("chunk_id", F.transform("embedding", lambda x: x.cast("int")).alias("embedding"))
+
+
 @query
 def preconditions(spark, sf_dir):
     """Which inputs a stage would find, asked of the store that Spark reads."""

@@ -242,6 +242,11 @@ ORACLE_SQL: dict[str, str] = {
             lambda i: contains(right(text, 200), substr(left(nxt, 200), (i + 1)::INT, 15)))) > 0) AS n_overlap FROM p WHERE nxt IS NOT NULL GROUP BY doc, section""",
     "knn_l2": f"""WITH {VECTORS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id,
         round(distance, 6) AS distance FROM near QUALIFY rank <= 10""",
+    "knn_all": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), near AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id,
+        round(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i]))), 12) AS distance FROM v q, v c)
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id, round(distance, 6) AS distance FROM near QUALIFY rank <= 3""",
+    "index_search": f"""WITH {VECTORS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id,
+        round(distance, 6) AS distance FROM near QUALIFY rank <= 10""",
     "search_plain": f"WITH {VECTORS}, {CORPUS}, {searched(5, False)} {HITS}",
     "search_rerank": f"WITH {VECTORS}, {CORPUS}, {searched(7, True)} {HITS}",
     "intra_coherence": f"WITH {VECTORS}, {COHERENCE} SELECT * FROM coherence",
@@ -291,6 +296,7 @@ ORACLE_SQL |= {
         SELECT a.chunk_id, (SELECT len(s) FROM s WHERE s.chunk_id = a.chunk_id) AS n, round(avg(list_inner_product(a.w, b.w)), 6) AS coherence
         FROM units a JOIN units b ON a.chunk_id = b.chunk_id AND a.i < b.i GROUP BY a.chunk_id""",
     "stream_clean": f"WITH cleaned AS (SELECT {clean('text')} AS text FROM documents) SELECT DISTINCT md5({fold('text')}) AS digest FROM cleaned WHERE length(text) >= 100",
+    "stream_index": f"WITH {CLEANED} SELECT doc_id AS chunk_id, list_transform({LETTERS('lower(text)')}, lambda x: x::INT) AS embedding FROM kept",
     "preconditions": """SELECT * FROM (VALUES ('documents', true), ('embeddings', true), ('benchmark', true), ('no_such_table', false)) t(input, found)""",
     "settings_from_env": """SELECT * FROM (VALUES ('top_k', '9'), ('use_section_rerank', 'True'), ('benchmark_rel_threshold', '0.5'), ('chunk_size', '1000'),
         ('min_text_chars', '100'), ('embedding_dim', '1024'), ('query_prefix', 'query: ')) t(name, value)""",

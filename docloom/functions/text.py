@@ -23,6 +23,7 @@ HEADER_LABELS = (
     "KARAR NO",
     "NUMARASI",
     "İTHAL",
+    "TAtarafLAR",
     "TARAFLAR",
     "İNCELENEN KARARIN",
     "INCELENEN KARARIN",
@@ -93,9 +94,14 @@ def fold(col: Column) -> Column:
 
 def normalize_template(col: Column) -> Column:
     """Dates, case numbers, article numbers and numbers become placeholders."""
-    text = fold(strip(col))
-    for name, pattern in PLACEHOLDERS:
-        text = F.regexp_replace(text, f"(?iU){pattern}" if name == "<MADDE>" else f"(?U){pattern}", name)
+
+    def replaced(text: Column) -> Column:
+        for name, pattern in PLACEHOLDERS:
+            text = F.regexp_replace(text, f"(?iU){pattern}" if name == "<MADDE>" else f"(?U){pattern}", name)
+        return text
+
+    # every placeholder stands for something with a digit
+    text = bind(fold(strip(col)), lambda t: F.when(F.rlike(t, F.lit(r"(?U)\d")), replaced(t)).otherwise(t))
     return F.trim(collapse(text))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,15 +23,19 @@ class InvalidChunks(ValueError):
 
 
 def build(spark: SparkSession, raw: str, out: str, embedder: Embedder, config: EngineConfig, kind: str = "parquet") -> SearchEngine:
-    """Ingest, clean, chunk, check, embed. Each stage is written below ``out`` once and read again when it exists."""
+    """Ingest, clean, chunk, check, embed. Each stage is written below ``out`` once, and again when its settings or its input change."""
     patterns = select_patterns(read_patterns(spark, f"{out}/patterns.json"), config.apply_mined_patterns)
-    decisions = materialise(spark, f"{out}/decisions", lambda: head(read_decisions(spark, raw, kind), config.sample_size))
-    clean = materialise(spark, f"{out}/clean", lambda: clean_filter_dedup(decisions, config, patterns, "doc_ord"))
-    chunks = materialise(spark, f"{out}/chunks", lambda: chunk_table(clean, config, "doc_ord"))
+    settings = asdict(config)
+
+    def stage(name: str, source: str, make: Callable[[], DataFrame], **more: object) -> DataFrame:
+        return materialise(spark, f"{out}/{name}", make, settings | more, [source])
+
+    decisions = stage("decisions", raw, lambda: head(read_decisions(spark, raw, kind), config.sample_size), kind=kind)
+    clean = stage("clean", f"{out}/decisions", lambda: clean_filter_dedup(decisions, config, patterns, "doc_ord"), patterns=patterns)
+    chunks = stage("chunks", f"{out}/clean", lambda: chunk_table(clean, config, "doc_ord"))
     check(chunks, config)
-    vectors = materialise(
-        spark, f"{out}/vectors", lambda: embedder.embed(chunks.select("chunk_id", "text")).select("chunk_id", "embedding")
-    )
+    embed = lambda: embedder.embed(chunks.select("chunk_id", "text")).select("chunk_id", "embedding")
+    vectors = stage("vectors", f"{out}/chunks", embed, embedder=type(embedder).__name__, dimension=embedder.dimension)
     return SearchEngine(join_vectors(chunks, vectors), embedder, config)
 
 

@@ -8,7 +8,7 @@ from ..operators.sections import HEADERS
 
 #: White space as the engine defines it, for an engine whose \\s is ASCII.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-LABELS = "MAHKEMESİ|MAHKEMESI|DAVA TÜRÜ|DAVA TURU|TARİHİ|TARIHI|ESAS NO|KARAR NO|NUMARASI|İTHAL|TARAFLAR|İNCELENEN KARARIN|INCELENEN KARARIN"
+LABELS = "MAHKEMESİ|MAHKEMESI|DAVA TÜRÜ|DAVA TURU|TARİHİ|TARIHI|ESAS NO|KARAR NO|NUMARASI|İTHAL|TAtarafLAR|TARAFLAR|İNCELENEN KARARIN|INCELENEN KARARIN"
 
 
 def sub(e: str, pattern: str, to: str) -> str:

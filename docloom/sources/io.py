@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable, Mapping
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,10 +115,58 @@ def write_patterns(spark: SparkSession, content: dict, path: str) -> None:
     write_json(spark.createDataFrame([row], PATTERNS), path)
 
 
-def materialise(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The table at ``path``; it is made and written only where there is none."""
-    if not exists(spark, path):
-        make().write.parquet(path)
+#: File of a stage output that says what it was made of; Spark's readers pass it over.
+MANIFEST = "_manifest.json"
+
+
+def fingerprint(spark: SparkSession, settings: Mapping, inputs: Iterable[str] = ()) -> str:
+    """Digest of settings and of the inputs' paths, sizes and times."""
+    found = []
+    for path in inputs:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        size = store.getContentSummary(hadoop)
+        found.append([path, size.getFileCount(), size.getLength(), store.getFileStatus(hadoop).getModificationTime()])
+    return sha256(json.dumps([dict(settings), found], sort_keys=True, default=str).encode()).hexdigest()
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """What a stage output was made of; empty if there is none, or it was not written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(at):
+        return {}
+    file = store.open(at)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+    except json.JSONDecodeError:
+        return {}
+    finally:
+        file.close()
+
+
+def write_manifest(spark: SparkSession, path: str, content: Mapping) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")
+    file = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        file.write(bytearray(json.dumps(dict(content), sort_keys=True).encode()))
+    finally:
+        file.close()
+
+
+def materialise(
+    spark: SparkSession, path: str, make: Callable[[], DataFrame], settings: Mapping | None = None, inputs: Iterable[str] = ()
+) -> DataFrame:
+    """The table at ``path``; it is made and written only where it is not there whole, of these settings and inputs.
+
+    The manifest is written after the table, and goes with it when the table is
+    written again. So a folder that a failed write has left, one made under other
+    settings, or one whose inputs have changed since, is made again.
+    """
+    made_of = fingerprint(spark, settings or {}, inputs)
+    if read_manifest(spark, path).get("made_of") != made_of:
+        make().write.mode("overwrite").parquet(path)
+        write_manifest(spark, path, {"made_of": made_of})
     return spark.read.parquet(path)
 
 

@@ -72,13 +72,29 @@ def strip_patterns(col: Column, patterns: Iterable[str]) -> Column:
     return reduce(lambda c, p: F.regexp_replace(c, F.lit(p), F.lit(" ")), patterns, col)
 
 
-def clean_text(col: Column, patterns: Iterable[str] = ()) -> Column:
+def strip_chosen(col: Column, patterns: Iterable[str], places: Column) -> Column:
+    """Those patterns whose places are given, in turn, replaced by a space."""
+    every = F.array(*[F.lit(p) for p in patterns])
+    return F.aggregate(places, col, lambda text, i: F.regexp_replace(text, F.get(every, i), F.lit(" ")))
+
+
+def search_fold(col: Column) -> Column:
+    """Case folded so that texts which a regex without regard to case takes for equal are equal; it maps each character by itself."""
+    # the replacement between them keeps the optimizer from taking the upper case away
+    text = F.lower(F.replace(F.upper(text_of(col)), F.lit("ẞ"), F.lit("SS")))
+    for old, new in (("ς", "σ"), ("ß", "ss"), ("\u0307", "")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def clean_text(col: Column, patterns: Iterable[str] = (), places: Column | None = None) -> Column:
     """Header lines, artefacts, learned patterns, orphan periods and surplus white space removed.
 
     Header lines go while line breaks exist; learned patterns need single spaces.
+    With ``places`` only those of the patterns are tried.
     """
-    text = strip_patterns(text_of(col), [HEADER_LINE, *ARTEFACTS])
-    text = strip_patterns(collapse(text), patterns)
+    text = collapse(strip_patterns(text_of(col), [HEADER_LINE, *ARTEFACTS]))
+    text = strip_patterns(text, patterns) if places is None else strip_chosen(text, patterns, places)
     return F.trim(collapse(F.regexp_replace(text, rf"(?U)\.(?:{WS}*\.)+", ".")))
 
 

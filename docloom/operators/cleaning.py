@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
-from ..functions.lineage import first_by
+from ..functions.lineage import first_by, unused
 from ..functions.text import clean_text, text_of
+from .patterns import matching_patterns
 
 
-def clean(docs: DataFrame, patterns: Iterable[str] = (), text_col: str = "text") -> DataFrame:
-    """The input with its text cleaned."""
-    return docs.withColumn(text_col, clean_text(F.col(f"`{text_col}`"), patterns))
+#: Patterns that are tried on every text; of more, only those that can match it are.
+MOST_CHAINED = 32
+
+
+def clean(docs: DataFrame, patterns: Iterable[str] = (), text_col: str = "text", most: int = MOST_CHAINED) -> DataFrame:
+    """The input with its text cleaned. Cleaning only takes away from a text, so what its patterns need is looked for in the raw one."""
+    text, patterns = F.col(f"`{text_col}`"), list(patterns)
+    if len(patterns) <= most:
+        return docs.withColumn(text_col, clean_text(text, patterns))
+    name = unused(docs, "places_")
+    chosen = docs.withColumn(name, matching_patterns(docs.sparkSession, text, patterns))
+    return chosen.withColumn(text_col, clean_text(text, patterns, F.col(name))).drop(name)
 
 
 def clean_filter_dedup(

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
-from ..functions.text import PLACEHOLDERS
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import PLACEHOLDERS, search_fold
 
 #: Category, regex and example of the seed patterns.
 SEEDS = (
@@ -65,6 +70,50 @@ def usable(pattern: str) -> bool:
         return False
 
 
+#: A run of characters that stand for themselves in a regex of ``template_regex``.
+LITERAL = re.compile(r"(?:[^\\.\[\]{}()*+?^$|#&~\-\0]|\\[\\.\[\]{}()*+?^$|#&~\-])+")
+
+
+def required_word(pattern: str) -> str | None:
+    """The longest piece without white space that every match of a template's regex holds; None if the regex is no template's, or has none."""
+    if not pattern.startswith(FLAGS):
+        return None
+    text = pattern.removeprefix(FLAGS)
+    for value in VALUES.values():
+        text = text.replace(value, "\0")
+    pieces = [p for part in text.split(r"\s+") for p in part.split("\0") if p]
+    if not all(LITERAL.fullmatch(p) for p in pieces):
+        return None
+    return max((re.sub(r"\\(.)", r"\1", p) for p in pieces), key=len, default=None)
+
+
+def matching_patterns(spark: SparkSession, text: Column, patterns: list[str]) -> Column:
+    """Places, in order, of the patterns that can match a text: those whose required word it holds, and those without one.
+
+    All words are looked for at once, by an automaton that each task builds; the time
+    for a text so hardly depends on the number of patterns.
+    """
+    words = [required_word(p) for p in patterns]
+    always = [i for i, w in enumerate(words) if not w]
+    named = [(i, w) for i, w in enumerate(words) if w]
+    # words are folded where texts are; a row a pattern
+    folded = spark.createDataFrame(named, "i int, w string").select("i", search_fold(F.col("w")).alias("w")).collect() if named else []
+    holders: dict[str, list[int]] = {}
+    for r in folded:
+        holders.setdefault(r.w, []).append(r.i)
+
+    @F.pandas_udf("array<int>")
+    def found(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for word, places in holders.items():
+            automaton.add_word(word, places)
+        automaton.make_automaton()
+        for part in parts:
+            yield part.map(lambda t: sorted({*always, *(i for _, places in automaton.iter(t or "") for i in places)}) if holders else always)
+
+    return found(search_fold(text))
+
+
 def select_patterns(found: Mapping, mined: bool = False) -> list[str]:
     """Regexes to apply from a pattern file's content, in order: seeds, confirmed reviews, and mined ones if asked for.
 

@@ -108,6 +108,15 @@ def pattern_apply(spark, sf_dir):
     return cleaning.clean(documents(spark, sf_dir), regexes).select("doc_id", digest().alias("digest"))
 
 
+@query
+def pattern_apply_mined(spark, sf_dir):
+    """Texts without the templates that are mined from them: hundreds of patterns, of which a text only tries those it can match."""
+    docs = documents(spark, sf_dir)
+    mined = [{"pattern": r.pattern} for r in mining.mine_patterns(docs, min_docs=3, top=500).select("pattern").collect()]  # 500 at most
+    regexes = patterns.select_patterns(patterns.pattern_file(mined, [], {}), mined=True)
+    return cleaning.clean(docs, regexes).select("doc_id", F.length("text").alias("n"), digest().alias("digest"))
+
+
 # -- profile -------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import ATOMIC, EngineConfig
 from ..functions.lineage import dense_ids, first_by
 from ..functions.text import bind, fold, sentences, strip, text_of
-from .sections import explode_sections
+from .sections import explode_sections, extract_sections
 
 
 def pack(col: Column, size: int, overlap: int) -> Column:
@@ -67,6 +67,19 @@ def chunk_decisions(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id
     return kept.select("doc", "sec_ord", "piece_ord", "section", "text", "is_atomic")
 
 
+def with_pieces(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, text, pieces: each decision with the texts of its chunks, which ``chunk_decisions`` gives as rows."""
+    found = extract_sections(docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")))
+
+    def pieces(section: Column, text: Column) -> Column:
+        atomic = section.isin(*ATOMIC) & (F.length(text) <= config.max_atomic_chars)
+        each = F.when(atomic, F.array(text)).otherwise(F.transform(pack(text, config.chunk_size, config.chunk_overlap), strip))
+        return F.filter(each, lambda p: (p != "") & (atomic | (F.length(p) >= config.min_chunk_chars)))
+
+    every = F.transform("sections", lambda s: bind(strip(s["text"]), lambda t: pieces(s["section"], t)))
+    return found.select("doc", "text", F.flatten(every).alias("pieces"))
+
+
 def chunk_table(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The chunk table: copies (case folded) reduced to their first, ids dense in order after that."""
     chunks = chunk_decisions(docs, config, id_col, text_col)

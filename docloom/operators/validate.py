@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ATOMIC, GENERAL, SECTIONS, EngineConfig
+from ..functions.lineage import cut, small
 from ..functions.text import strip, words
-from .chunking import chunk_decisions
+from .chunking import chunk_decisions, with_pieces
+
+#: Repeated ids that are sent to the tasks that read the texts; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def check_invariants(chunks: DataFrame, config: EngineConfig) -> DataFrame:
@@ -41,18 +45,27 @@ def word_coverage(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id",
 
     Of the texts of a repeated id the last by ``order_col`` counts (without one, the
     last by code point); its chunks are those of all of them. Texts without words
-    are left out. Words stay in arrays: no word is a row.
+    are left out. Words stay in arrays: no word is a row. Where an id is single, as
+    ids mostly are, its row is chunked and covered in place, and neither its text nor
+    its words are shuffled; rows of repeated ids alone meet under their id.
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), "text", (F.col(f"`{order_col}`") if order_col else F.col("text")).alias("ord"))
-    last = rows.groupBy("doc").agg(F.max_by("text", F.struct("ord", "text")).alias("text")).select("doc", words(F.col("text")).alias("w"))
-    each = chunk_decisions(rows, config, "doc").select("doc", words(F.col("text")).alias("w"))
-    own = each.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("own"))
-    met = last.join(own, "doc", "left").select(
+    repeated = cut(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("again")), "repeated")
+    met = F.col("doc").eqNullSafe(F.col("again"))
+    again = small(repeated, BROADCAST_IDS)
+    alone = with_pieces(rows.join(again, met, "left_anti"), config, "doc")
+    alone = alone.select("doc", words(F.col("text")).alias("w"), F.array_distinct(F.flatten(F.transform("pieces", words))).alias("own"))
+    shared = rows.join(again, met, "left_semi")
+    last = shared.groupBy("doc").agg(F.max_by("text", F.struct("ord", "text")).alias("text")).select("doc", words(F.col("text")).alias("w"))
+    each = chunk_decisions(shared, config, "doc").select(F.col("doc").alias("of"), words(F.col("text")).alias("w"))
+    own = each.groupBy("of").agg(F.array_distinct(F.flatten(F.collect_list("w"))).alias("own"))
+    both = alone.unionByName(last.join(own, F.col("doc").eqNullSafe(F.col("of")), "left").select("doc", "w", "own"))
+    covered = both.select(
         "doc",
         F.size("w").cast("long").alias("n_words"),
         F.coalesce(F.size(F.array_intersect("w", "own")), F.lit(0)).cast("long").alias("n_covered"),
     )
-    return met.filter("n_words > 0").withColumn("coverage", F.round(F.col("n_covered") / F.col("n_words"), 6))
+    return covered.filter("n_words > 0").withColumn("coverage", F.round(F.col("n_covered") / F.col("n_words"), 6))
 
 
 def coverage_summary(docs: DataFrame, config: EngineConfig, id_col: str = "doc_id", order_col: str | None = None) -> DataFrame:

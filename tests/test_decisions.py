@@ -105,3 +105,26 @@ def test_config():
     c = EngineConfig.from_env({"TOP_K": "9", "DEDUP_CHUNKS": "0", "ST_MODEL_NAME": "intfloat/multilingual-e5-large"})
     assert (c.top_k, c.dedup_chunks, c.embedding_dim, c.query_prefix) == (9, False, 1024, "query: ")
     assert model_width("unknown") == 384 and c.section_weight("KARAR") == 2.0 and c.section_weight("?") == 1.0
+
+
+def test_pieces_in_the_row_are_the_chunks(spark):
+    from docloom.operators.chunking import chunk_decisions, with_pieces
+
+    long = " ".join(f"Sentence {i} of a text that is long enough to be cut." for i in range(60))
+    texts = ["OYAL: " + long + " KARAR: " + long[:300] + " GEREKÇE: x.", "KARAR: " + long * 3, "", None, " . ", long, "zz " + long[:90] + " reddine karar verilmiştir."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    config = EngineConfig(chunk_size=200, chunk_overlap=20)
+    want: dict = {i: [] for i in range(len(texts))}
+    for r in chunk_decisions(docs, config).orderBy("doc", "sec_ord", "piece_ord").collect():
+        want[r.doc].append(r.text)
+    assert {r.doc: r.pieces or [] for r in with_pieces(docs, config).collect()} == want
+
+
+def test_single_ids_are_covered_without_a_shuffle_of_texts(spark, tmp_path):
+    from docloom.operators.validate import word_coverage
+
+    spark.createDataFrame([(i, f"KARAR: some words of text number {i} here.") for i in range(20)] + [(None, "no id")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    plan = word_coverage(spark.read.parquet(str(tmp_path / "d")), EngineConfig())
+    assert plan.count() == 21
+    rows = [r.asDict() for r in plan.filter("doc = 3").collect()]
+    assert rows == [{"doc": 3, "n_words": 8, "n_covered": 8, "coverage": 1.0}] or rows[0]["n_words"] >= 7

@@ -43,7 +43,8 @@ TERSE_CHARS, TERSE_TAIL = 400, 160
 
 VARIANTS = sorted(((v, s) for s, names in HEADERS.items() for v in names), key=lambda x: -len(x[0]))
 #: The variants are letters and spaces, so they stand in a pattern as they are.
-MARKER = rf"(?U)(?=\b(?:{'|'.join(v for v, _ in VARIANTS)})\s*[:\-]?\s)"
+#: Their first letters are looked for before anything else.
+MARKER = rf"(?U)(?=[{''.join(sorted({v[0] for v, _ in VARIANTS}))}])(?=\b(?:{'|'.join(v for v, _ in VARIANTS)})\s*[:\-]?\s)"
 
 
 def _section(name: Column | str, text: Column) -> Column:
@@ -90,19 +91,24 @@ def ruling_start(text: Column) -> Column:
 
     The decree is the first in the second half of the text, else the last one.
     """
-    gaps = F.transform(F.split(text, DECREE, -1), F.length)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(DECREE), F.lit(0)), F.length)
     begin = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("end"))
-    each = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    starts = F.aggregate(
-        each,
-        begin,
-        lambda acc, x: F.struct(
-            F.concat(acc["starts"], F.array(acc["end"] + x["gap"])).alias("starts"),
-            (acc["end"] + x["gap"] + x["hit"]).alias("end"),
-        ),
-        lambda acc: acc["starts"],
-    )
+
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.split(text, DECREE, -1), F.length)
+        each = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+        starts = F.aggregate(
+            each,
+            begin,
+            lambda acc, x: F.struct(
+                F.concat(acc["starts"], F.array(acc["end"] + x["gap"])).alias("starts"),
+                (acc["end"] + x["gap"] + x["hit"]).alias("end"),
+            ),
+            lambda acc: acc["starts"],
+        )
+        # a text without a decree is gone through once
+        return F.when(F.size(hits) > 0, starts).otherwise(F.array().cast("array<int>"))
+
+    starts = bind(F.transform(F.regexp_extract_all(text, F.lit(DECREE), F.lit(0)), F.length), placed)
     half = F.floor(F.length(text) / 2)
     first = lambda found: F.coalesce(F.get(F.filter(found, lambda x: x >= half), 0), F.get(found, F.size(found) - 1))
 
@@ -149,15 +155,16 @@ def extract_sections(docs: DataFrame, text_col: str = "text", out: str = "sectio
         .when(F.size(header_at) > 0, F.col(header_at))
         .otherwise(cue_sections(raw, ruling_start(raw))),
     )
-    rows = rows.withColumn(last_at, F.get(found, F.size(found) - 1)).withColumn(start_at, ruling_start(last["text"]))
+    rows = rows.withColumn(last_at, F.get(found, F.size(found) - 1))
+    closed = last.isNull() | F.exists(found, lambda s: s["section"] == RULING) | (last["section"] == LAW)
+    rows = rows.withColumn(start_at, F.when(~closed, ruling_start(last["text"])))
     whole = last["text"]
     front = F.slice(found, F.lit(1), F.size(found) - 1)
     head, ruling = strip(F.left(whole, start)), strip(F.substring(whole, start + 1, F.length(whole)))
     kept = F.when(head == "", front).otherwise(F.concat(front, F.array(_section(last["section"], head))))
     terse = (F.length(whole) < TERSE_CHARS) & F.right(whole, F.lit(TERSE_TAIL)).rlike(DECREE)
-    closed = F.exists(found, lambda s: s["section"] == RULING) | (last["section"] == LAW)
     carved = (
-        F.when(last.isNull() | closed, found)
+        F.when(closed, found)
         .when((start > 0) & (ruling != ""), F.concat(kept, F.array(_section(RULING, ruling))))
         .when(~F.coalesce(start > 0, F.lit(False)) & terse, F.concat(front, F.array(_section(RULING, whole))))
         .otherwise(found)

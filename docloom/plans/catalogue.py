@@ -476,12 +476,13 @@ def csv_decisions(spark, sf_dir):
 
 @query
 def pattern_round_trip(spark, sf_dir):
-    """A pattern file written and read again; a missing file is empty."""
+    """What is mined from the documents written to a pattern file beside the seeds, and read again; a missing file is empty."""
     path = fresh_path(spark, "patterns")
-    io.write_patterns(spark, patterns.pattern_file([{"pattern": "the <NUM>"}], [], {}), path)
+    mined = [r.asDict() for r in mining.mine_patterns(documents(spark, sf_dir), min_docs=3, top=30).collect()]  # 30 at most
+    io.write_patterns(spark, patterns.pattern_file(mined, [], {}), path)
     found, none = io.read_patterns(spark, path), io.read_patterns(spark, path + "-none")
-    row = (len(found["seed_patterns"]), found["mined_patterns"][0]["pattern"], len(none))
-    return spark.createDataFrame([row], "n_seeds int, pattern string, n_missing int")
+    rows = [(m["pattern"], m["doc_count"], len(found["seed_patterns"]), len(none)) for m in found["mined_patterns"]]
+    return spark.createDataFrame(rows, "pattern string, doc_count long, n_seeds int, n_missing int")
 
 
 @query

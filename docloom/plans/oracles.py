@@ -281,7 +281,7 @@ ORACLE_SQL |= {
         row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id::VARCHAR), vec_id) AS p FROM embeddings) WHERE p <= 6 ORDER BY o, vec_id LIMIT 60""",
     "csv_round_trip": "SELECT doc_id::VARCHAR AS id, source, md5(text) AS digest FROM documents",
     "csv_decisions": "SELECT doc_id::VARCHAR AS id, source, length(text)::INT AS n FROM documents",
-    "pattern_round_trip": f"SELECT {len(SEEDS)}::INT AS n_seeds, 'the <NUM>' AS pattern, 0::INT AS n_missing",
+    "pattern_round_trip": f"SELECT pattern, doc_count, {len(SEEDS)}::INT AS n_seeds, 0::INT AS n_missing FROM ({ORACLE_SQL['mine_boilerplate']})",
     "stage_outputs": f"WITH {VECTORS}, {CORPUS} SELECT chunk_id, section, len(e)::INT AS width, 2::INT AS times_made FROM corpus",
     "dataset_metrics": """SELECT count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes, round(sum(strlen(text)) / 1e6, 3)::DOUBLE AS megabytes FROM documents""",
     "passage_prefix": "SELECT doc_id, md5('passage: ' || text) AS digest FROM documents",

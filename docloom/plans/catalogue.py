@@ -15,7 +15,7 @@ from ..operators import chunking, cleaning, evaluate, inspection, mining, patter
 from ..operators.embedding import CharacterEmbedder, HashingEmbedder, ModelEmbedder
 from ..operators.index import VectorIndex
 from ..operators.sections import HEADERS, explode_sections
-from ..sources import io
+from ..sources import io, npy
 from ..streaming import incremental, ingest
 from .oracles import ORACLE_SQL
 
@@ -81,6 +81,15 @@ def ingest_alias_head(spark, sf_dir):
     return io.head(mapped, 100).select("doc_ord", "id", "source", "esasNo", F.length("text").alias("n"))
 
 
+@query
+def ingest_first_files(spark, sf_dir):
+    """The first 500 decisions of a table of many files in reading order: footers tell which files hold them, no other is opened."""
+    path = fresh_path(spark, "files")
+    documents(spark, sf_dir).repartitionByRange(16, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    rows = io.map_columns(io.first_rows(spark, path, 500), F.col("doc_ord"))
+    return rows.select("doc_ord", "id", "source", F.length("text").alias("n"))
+
+
 @query
 def clean_text(spark, sf_dir):
     return cleaning.clean(documents(spark, sf_dir)).select("doc_id", F.length("text").alias("n"), digest().alias("digest"))
@@ -474,6 +483,16 @@ def csv_decisions(spark, sf_dir):
     return io.read_decisions(spark, path, "csv").select("id", "source", F.length("text").alias("n"))
 
 
+@query
+def npy_round_trip(spark, sf_dir):
+    """Vectors written as parts of a NumPy matrix in the order of their ids, and read again by ranges of rows."""
+    path = fresh_path(spark, "npy")
+    vectors = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    npy.save_vectors(vectors, path, id_col="vec_id")
+    total = F.aggregate("embedding", F.lit(0).cast("long"), lambda s, x: s + F.floor(x.cast("double") * 4096))
+    return npy.load_vectors(spark, path, id_col="vec_id").select("row", "vec_id", F.size("embedding").alias("width"), total.alias("total"))
+
+
 @query
 def pattern_round_trip(spark, sf_dir):
     """What is mined from the documents written to a pattern file beside the seeds, and read again; a missing file is empty."""

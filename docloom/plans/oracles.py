@@ -168,6 +168,8 @@ PRECISION = f"""asked AS (SELECT DISTINCT query_id FROM near),
 
 ORACLE_SQL: dict[str, str] = {
     "ingest_alias_head": "SELECT doc_id AS doc_ord, doc_id::VARCHAR AS id, source, '' AS \"esasNo\", length(text)::INT AS n FROM documents ORDER BY doc_id LIMIT 100",
+    "ingest_first_files": """SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS doc_ord, doc_id::VARCHAR AS id, source, length(text)::INT AS n
+        FROM documents ORDER BY doc_id LIMIT 500""",
     "clean_text": f"SELECT doc_id, length(t)::INT AS n, md5(t) AS digest FROM (SELECT doc_id, {clean('text')} AS t FROM documents)",
     "clean_filter_dedup": f"WITH {CLEANED} SELECT doc_id, source, length(text)::INT AS n FROM kept",
     "clean_report": f"""WITH {CLEANED} SELECT mean_before, median_before, chars_before, mean_after, median_after, chars_after,
@@ -281,6 +283,8 @@ ORACLE_SQL |= {
         row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id::VARCHAR), vec_id) AS p FROM embeddings) WHERE p <= 6 ORDER BY o, vec_id LIMIT 60""",
     "csv_round_trip": "SELECT doc_id::VARCHAR AS id, source, md5(text) AS digest FROM documents",
     "csv_decisions": "SELECT doc_id::VARCHAR AS id, source, length(text)::INT AS n FROM documents",
+    "npy_round_trip": """SELECT (row_number() OVER (ORDER BY vec_id) - 1)::BIGINT AS row, vec_id, len(embedding)::INT AS width,
+        list_sum(list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT))::BIGINT AS total FROM embeddings WHERE embedding IS NOT NULL""",
     "pattern_round_trip": f"SELECT pattern, doc_count, {len(SEEDS)}::INT AS n_seeds, 0::INT AS n_missing FROM ({ORACLE_SQL['mine_boilerplate']})",
     "stage_outputs": f"WITH {VECTORS}, {CORPUS} SELECT chunk_id, section, len(e)::INT AS width, 2::INT AS times_made FROM corpus",
     "dataset_metrics": """SELECT count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes, round(sum(strlen(text)) / 1e6, 3)::DOUBLE AS megabytes FROM documents""",

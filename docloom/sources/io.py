@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import unused
 from ..functions.text import strip
 from ..schemas import ALIASES, DECISION, PATTERNS, TEST_QUERIES
 
@@ -51,6 +52,52 @@ def head(df: DataFrame, n: int, order: str = "doc_ord") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def first_files(spark: SparkSession, path: str, n: int) -> tuple[list[tuple[str, int]], int]:
+    """The Parquet files, by name, that hold the first ``n`` rows, with their row counts; and how many files were asked.
+
+    Counts come from the files' footers, of one file first and of four times as many each
+    time more are needed, as Spark's own ``take`` does with partitions. Files after those
+    are listed but not opened.
+    """
+    files = sorted(spark.read.parquet(path).inputFiles())
+    found: list[tuple[str, int]] = []
+    asked, step = 0, 1
+    while asked < len(files) and sum(c for _, c in found) < n:
+        rows = spark.read.parquet(*files[asked : asked + step]).groupBy(F.col("_metadata.file_path").alias("file")).count()
+        found += sorted((r["file"], r["count"]) for r in rows.collect())  # a row a file
+        asked, step = asked + step, step * 4
+    held, kept = 0, []
+    for file, count in found:
+        if held >= n:
+            break
+        kept.append((file, count))
+        held += count
+    return kept, min(asked, len(files))
+
+
+def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first ``n`` rows of a Parquet table in reading order (files by name, rows as they stand), and ``doc_ord`` from 0.
+
+    Only the files that hold them are read, in parallel and without a sort; the last one is cut by
+    its row numbers. A table of fewer rows is read whole, none are asked for with n <= 0.
+    """
+    kept, _ = first_files(spark, path, n)
+    schema = spark.read.parquet(path).schema
+    if not kept:
+        return spark.createDataFrame([], schema.add("doc_ord", "long"))
+    starts, before = [], 0
+    for file, count in kept:
+        starts.append((file, before))
+        before += count
+    rows = spark.read.schema(schema).parquet(*[file for file, _ in kept])
+    name, place = unused(rows, "file"), unused(rows, "place")
+    rows = rows.select("*", F.col("_metadata.file_path").alias(name), F.col("_metadata.row_index").alias(place))
+    offsets = spark.createDataFrame(starts, f"{name} string, doc_ord long")
+    ordinal = F.col("doc_ord") + F.col(place)
+    placed = rows.drop("doc_ord").join(F.broadcast(offsets), name).withColumn("doc_ord", ordinal)  # a row a file
+    return placed.filter(F.col("doc_ord") < n).drop(name, place)
+
+
 def read_decisions(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
     """Raw decisions from parquet, csv (quoted line breaks allowed) or json, under their canonical names."""
     require(spark, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -531,8 +532,14 @@ def passage_prefix(spark, sf_dir):
 
 @query
 def model_widths(spark, sf_dir):
+    """For each model the width of its vectors, and how many benchmark texts an embedder of that width gives vectors of."""
     names = ["intfloat/multilingual-e5-large", "e5-base-v2", "E5-Small", "all-mpnet-base-v2", CONFIG.st_model_name, "other"]
-    return spark.createDataFrame([(n, model_width(n)) for n in names], "model string, width int")
+    models = spark.createDataFrame([(n, model_width(n)) for n in names], "model string, width int")
+    made = [
+        HashingEmbedder(w).embed(table(spark, sf_dir, "benchmark")).filter(F.size("embedding") == w).agg(F.lit(w).alias("width"), F.count(F.lit(1)).alias("n_texts"))
+        for w in sorted({model_width(n) for n in names})
+    ]
+    return models.join(F.broadcast(reduce(DataFrame.unionByName, made)), "width").select("model", "width", "n_texts")  # a row a width
 
 
 @query
@@ -589,23 +596,32 @@ def stream_index(spark, sf_dir):
 
 @query
 def preconditions(spark, sf_dir):
-    """Which inputs a stage would find, asked of the store that Spark reads."""
-    rows = []
+    """Which inputs a stage would find, asked of the store that Spark reads, and how many rows those hold."""
+    found = []
     for name in ("documents", "embeddings", "benchmark", "no_such_table"):
         try:
             io.require(spark, f"{sf_dir}/{name}.parquet")
-            rows.append((name, True))
+            rows = table(spark, sf_dir, name)
         except io.MissingInput:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "input string, found boolean")
+            rows = None
+        n = F.count(F.lit(1)) if rows is not None else F.count(F.lit(None))
+        frame = rows if rows is not None else spark.range(0)
+        found.append(frame.agg(F.lit(name).alias("input"), F.lit(rows is not None).alias("found"), n.alias("n_rows")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
 def settings_from_env(spark, sf_dir):
-    """Settings that variables change, beside defaults."""
-    config = EngineConfig.from_env({"TOP_K": "9", "USE_SECTION_RERANK": "1", "BENCHMARK_REL_THRESHOLD": "0.5", "ST_MODEL_NAME": "e5-large"})
+    """Documents that cleaning keeps under settings from variables and under the defaults, by language; the settings beside."""
+    changed = {"MIN_TEXT_CHARS": "1200", "TOP_K": "9", "USE_SECTION_RERANK": "1", "BENCHMARK_REL_THRESHOLD": "0.5", "ST_MODEL_NAME": "e5-large"}
     names = ("top_k", "use_section_rerank", "benchmark_rel_threshold", "chunk_size", "min_text_chars", "embedding_dim", "query_prefix")
-    return spark.createDataFrame([(n, str(getattr(config, n))) for n in names], "name string, value string")
+
+    def kept(env: dict[str, str]) -> DataFrame:
+        config = EngineConfig.from_env(env)
+        rows = cleaning.clean_filter_dedup(documents(spark, sf_dir), config).groupBy("lang").agg(F.count(F.lit(1)).alias("n_kept"))
+        return rows.select("lang", "n_kept", *[F.lit(str(getattr(config, n))).alias(n) for n in names])
+
+    return kept(changed).unionByName(kept({}))
 
 
 @query

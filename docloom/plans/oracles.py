@@ -289,8 +289,9 @@ ORACLE_SQL |= {
     "stage_outputs": f"WITH {VECTORS}, {CORPUS} SELECT chunk_id, section, len(e)::INT AS width, 2::INT AS times_made FROM corpus",
     "dataset_metrics": """SELECT count(*) AS n_rows, sum(strlen(text))::BIGINT AS n_bytes, round(sum(strlen(text)) / 1e6, 3)::DOUBLE AS megabytes FROM documents""",
     "passage_prefix": "SELECT doc_id, md5('passage: ' || text) AS digest FROM documents",
-    "model_widths": """SELECT * FROM (VALUES ('intfloat/multilingual-e5-large', 1024::INT), ('e5-base-v2', 768::INT), ('E5-Small', 384::INT),
-        ('all-mpnet-base-v2', 768::INT), ('sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2', 384::INT), ('other', 384::INT)) t(model, width)""",
+    "model_widths": """SELECT model, width, (SELECT count(*) FROM benchmark WHERE text IS NOT NULL) AS n_texts FROM (VALUES ('intfloat/multilingual-e5-large', 1024::INT),
+        ('e5-base-v2', 768::INT), ('E5-Small', 384::INT), ('all-mpnet-base-v2', 768::INT), ('sentence-transformers/paraphrase-multilingual-MiniLM-L12-v2', 384::INT),
+        ('other', 384::INT)) t(model, width)""",
     "query_vectors": f"""WITH q AS (SELECT item_id AS query_id, {LETTERS("lower('query: ' || text)")} AS e FROM benchmark), d AS (SELECT doc_id AS chunk_id, {LETTERS("lower(text)")} AS e FROM documents)
         SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id))::INT AS rank, chunk_id, distance FROM (SELECT query_id, chunk_id,
             list_sum(list_transform(range(1, 9), lambda i: (q.e[i] - d.e[i]) * (q.e[i] - d.e[i]))) AS distance FROM q, d) QUALIFY rank <= 3""",
@@ -301,9 +302,13 @@ ORACLE_SQL |= {
         FROM units a JOIN units b ON a.chunk_id = b.chunk_id AND a.i < b.i GROUP BY a.chunk_id""",
     "stream_clean": f"WITH cleaned AS (SELECT {clean('text')} AS text FROM documents) SELECT DISTINCT md5({fold('text')}) AS digest FROM cleaned WHERE length(text) >= 100",
     "stream_index": f"WITH {CLEANED} SELECT doc_id AS chunk_id, list_transform({LETTERS('lower(text)')}, lambda x: x::INT) AS embedding FROM kept",
-    "preconditions": """SELECT * FROM (VALUES ('documents', true), ('embeddings', true), ('benchmark', true), ('no_such_table', false)) t(input, found)""",
-    "settings_from_env": """SELECT * FROM (VALUES ('top_k', '9'), ('use_section_rerank', 'True'), ('benchmark_rel_threshold', '0.5'), ('chunk_size', '1000'),
-        ('min_text_chars', '100'), ('embedding_dim', '1024'), ('query_prefix', 'query: ')) t(name, value)""",
+    "preconditions": """SELECT 'documents' AS input, true AS found, count(*) AS n_rows FROM documents UNION ALL SELECT 'embeddings', true, count(*) FROM embeddings
+        UNION ALL SELECT 'benchmark', true, count(*) FROM benchmark UNION ALL SELECT 'no_such_table', false, 0""",
+    "settings_from_env": f"""WITH cleaned AS (SELECT doc_id, lang, {clean("text")} AS text FROM documents), once AS (SELECT * FROM cleaned
+        QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1), settings AS (SELECT * FROM (VALUES ('9', 'True', '0.5', '1000', '1200', '1024', 'query: '),
+        ('5', 'False', '0.35', '1000', '100', '384', '')) t(top_k, use_section_rerank, benchmark_rel_threshold, chunk_size, min_text_chars, embedding_dim, query_prefix))
+        SELECT lang, count(*) AS n_kept, top_k, use_section_rerank, benchmark_rel_threshold, chunk_size, min_text_chars, embedding_dim, query_prefix
+        FROM once, settings WHERE length(text) >= min_text_chars::INT GROUP BY ALL""",
     "service_answers": """SELECT * FROM (VALUES (0::INT, 'GET', '/health', 200::INT, 200::INT, 0::INT), (1, 'GET', '/stats', 200, 503, 0), (2, 'POST', '/search', 200, 503, 3),
         (3, 'POST', '/search', 400, 503, 0), (4, 'POST', '/search', 400, 503, 0), (5, 'POST', '/search', 400, 503, 0), (6, 'GET', '/search', 404, 404, 0),
         (7, 'POST', '/other', 404, 404, 0)) t(n, method, path, status, status_without, n_results)""",

@@ -16,11 +16,14 @@ judged, and only where the frame itself is of high importance: on a host of near
 copies everything repeats, and nothing can be told from that.
 
 Marks are a prior beside the tree. Where a page marks an article, nothing outside
-it is main text. Elements that are asides by their kind, and those a class, id or
+it is main text; an article that is a reader's comment, by its own name or one
+around it, is none. Elements that are asides by their kind, and those a class, id or
 role names as one, go whatever their contents; inside an article such a name
-counts only if nothing else is part of it (``share-price`` is no share button). Where marks
-would leave nothing of a marked article, or of a page, those on the wrappers
-around it are void.
+counts if its last word tells (``user-comment``) or only words of boxes are beside it
+(``ad-slot``), so ``share-price`` is no share button. Headings in an article's own
+header stay. Where every article of a page stands within a named wrapper, they
+are main text if they hold as many characters as the unmarked blocks, else those
+blocks are. Where marks would leave nothing of a page, names are void.
 
 The first pass sends hashes only; repeats within a page are merged before the
 shuffle and the counts are partial sums, so a host with a third of all pages is
@@ -30,13 +33,16 @@ broadcast while it is small and joined by shuffle beyond ``BROADCAST_ROWS``.
 
 Defined results: null and empty html give an empty text; a null url counts as
 one host; broken markup is closed as browsers do it, an unfinished tag or
-comment ends the page; repeated page ids give a row each.
+comment ends the page; repeated page ids give a row each. The tree knows
+``MOST_DEPTH`` levels: what lies deeper is judged with its ancestor there, and its
+text is kept or goes with it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -56,6 +62,8 @@ LEAST_FRAME = 0.5
 #: A node is judged on so many different pages at least.
 LEAST_PAGES = 3
 BROADCAST_ROWS = 1_000_000
+#: Levels of a style tree; a path has no more nodes.
+MOST_DEPTH = 128
 #: Key of the node above all elements, the frame of pages without a marked article.
 WHOLE_PAGE = 0
 
@@ -88,7 +96,17 @@ ASIDE_WORDS = frozenset(
     "newsletter subscribe subscription signup login search share sharing social related recommended comment comments reply "
     "replies disqus widget toolbar copyright disclaimer pagination pager skip".split()
 )
+#: Of these, an article of that name is a reader's.
+READER_WORDS = frozenset("comment comments reply replies disqus".split())
+#: Inside an article these tell nothing as the last word of a name: an article has a header and a menu of dishes of its own.
+LOOSE_WORDS = frozenset("header masthead menu search toolbar banner alert overlay copyright disclaimer skip".split())
+#: Words of boxes, which leave a name what it is.
+BOX_WORDS = frozenset(
+    "area bar block body bottom box button buttons container content feed form icons inner item left link links list panel right "
+    "section slot thread top unit widget wrap wrapper".split()
+)
 ARTICLE_TAGS = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Their names never mark an aside, nor do names that start so on any element.
 WHOLE_TAGS = ARTICLE_TAGS | {"html", "body"}
 MODIFIERS = frozenset("has no with without".split())
@@ -99,7 +117,7 @@ TOKEN = re.compile(
 #: A tag with an unpaired quote ends at the next ``>``.
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-NAME_WORD = re.compile(r"[A-Za-z]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 
 
@@ -107,16 +125,20 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def aside_name(names: str, inside: bool) -> bool:
+def aside_name(names: str, inside: bool, telling: frozenset[str] = ASIDE_WORDS) -> bool:
     """Whether a class, id or role names an aside; ``has-sidebar`` and the like only tell of one elsewhere.
 
-    Inside an article all words of the token have to be of that kind, elsewhere its first or last word.
+    Inside an article the last word of the token has to be of that kind, or all but words of boxes; elsewhere the first or last.
     """
-    for name in names.lower().split():
-        words = NAME_WORD.findall(name)
-        if words and words[0] not in MODIFIERS and (
-            ASIDE_WORDS.issuperset(words) if inside else words[0] in ASIDE_WORDS or words[-1] in ASIDE_WORDS
-        ):
+    for name in names.split():
+        words = [w.lower() for w in NAME_WORD.findall(name)]
+        if not words or words[0] in MODIFIERS:
+            continue
+        if inside:
+            found = words[-1] in telling - LOOSE_WORDS or not telling.isdisjoint(words) and (telling | BOX_WORDS).issuperset(words)
+        else:
+            found = words[0] in telling or words[-1] in telling
+        if found:
             return True
     return False
 
@@ -147,6 +169,9 @@ class Node:
     article: bool = False
     frame: int = 1
     path: tuple[int, ...] = field(default=())
+    #: Within an article's own header; within something that readers wrote.
+    title: bool = False
+    reader: bool = False
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -154,6 +179,8 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     root = Node("", WHOLE_PAGE, path=(WHOLE_PAGE,))
     stack, found = [root], []
+    # elements on the stack by tag: what is not open is not looked for
+    opened: Counter[str] = Counter()
     text: list[str] = []
     style: list[str] = []
 
@@ -166,11 +193,17 @@ def blocks_of(page: str | None) -> list[Block]:
             text.clear()
         style.clear()
 
+    def cut_at(i: int) -> None:
+        opened.subtract(node.tag for node in stack[i:])
+        del stack[i:]
+
     def close(names: tuple[str, ...], scope: tuple[str, ...]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
                 flush()
-                del stack[i:]
+                cut_at(i)
                 return
             if stack[i].tag in scope:
                 return
@@ -190,11 +223,7 @@ def blocks_of(page: str | None) -> list[Block]:
             break
         if m[1]:
             if tag in BLOCK or tag in ASIDE_TAGS:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        flush()
-                        del stack[i:]
-                        break
+                close((tag,), ())
             continue
         if tag == "br":
             text.append(" ")
@@ -223,16 +252,22 @@ def blocks_of(page: str | None) -> list[Block]:
         parent = stack[-1]
         if tag == "body":
             parent = root
-            del stack[1:]
-        marks = tag not in WHOLE_TAGS and aside_name(names, parent.article)
-        node = Node(tag, digest(f"{parent.key}/{tag}.{names.lower()}"), parent.kind or tag in ASIDE_TAGS)
-        opens = tag in ARTICLE_TAGS and not parent.article
-        node.article = parent.article or opens
+            cut_at(1)
+        inside = parent.article
+        reader = parent.reader or tag not in ("html", "body", "main") and aside_name(names, True, READER_WORDS)
+        marks = reader or tag not in WHOLE_TAGS and aside_name(names, inside)
+        title = inside and (parent.title or tag == "header" and not parent.kind)
+        # a heading of an article's header is main text, whatever else stands in the header
+        kind = not (tag in HEADINGS and parent.title) and (parent.kind or tag in ASIDE_TAGS)
+        node = Node(tag, digest(f"{parent.key}/{tag}.{names.lower()}"), kind, title=title and (tag == "header" or tag not in ASIDE_TAGS), reader=reader)
+        opens = tag in ARTICLE_TAGS and not inside and not reader
+        node.article = inside or opens
         # names met so far lie around an article that opens here
         node.around = parent.around or opens and parent.named
         node.named = not opens and (parent.named or marks)
-        node.path = (*parent.path, node.key)
+        node.path = (*parent.path, node.key) if len(parent.path) < MOST_DEPTH else parent.path
         node.frame = len(node.path) if opens else parent.frame
+        opened[tag] += 1
         stack.append(node)
     flush()
     return found
@@ -244,11 +279,17 @@ def host_of(url: Column) -> Column:
 
 def framed(found: list[Block]) -> list[Block]:
     """The blocks that marks leave: those of the article, or of the page if it marks none."""
-    for article, tests in ((True, ("kind", "around", "named")), (True, ("kind", "named")), (False, ("kind", "named")), (False, ("kind",))):
-        left = [b for b in found if b.article >= article and not any(getattr(b, t) for t in tests)]
-        if left:
-            return left
-    return []
+    clear = [b for b in found if not (b.kind or b.named)]
+    within = [b for b in clear if b.article]
+    free = [b for b in within if not b.around]
+    if free:
+        return free
+    # an article within a named wrapper is the story or a teaser: their lengths tell
+    outside = [b for b in clear if not b.article]
+    mass = lambda blocks: sum(len(b.text) for b in blocks)
+    if within or outside:
+        return within if mass(within) >= mass(outside) else outside
+    return [b for b in found if not b.kind]
 
 
 def main_blocks(found: list[Block], low: frozenset[int]) -> list[str]:

@@ -26,6 +26,24 @@ def plain(page):
         ("<article><p>body</p><div id='comments'><p>first!</p></div><div class='cookie-notice'>ok</div></article><p>out</p>", "body"),
         ("<p>cut off</p><p class='x", "cut off"),
         ("<main><table><tr><td>1<td>2<tr><td>3</table></main>", "1\n2\n3"),
+        (
+            '<div><h1>Story</h1><p>Main story text</p></div><ol class="comment-list"><li><article><p>reader comment</p></article></li></ol>',
+            "Story\nMain story text",
+        ),
+        ("<article><p>one</p></article><div><article class='comment'><p>mine</p></article></div>", "one"),
+        ("<article class='post has-comments'><p>one</p><section id=userComments><article><p>mine</p></article></section></article>", "one"),
+        ("<article><header><h1>Title</h1><p>by x</p><nav><h2>m</h2></nav></header><p>one</p></article>", "Title\none"),
+        ("<main><div class='sidebar-left'><p>s</p></div><p>one</p></main>", "one"),
+        ("<div class='sidebar-wrap'><article><p>long main story</p></article></div><p>x</p>", "long main story"),
+        ("<div class='related'><article><p>teaser</p></article></div><div><p>the long main story</p></div>", "the long main story"),
+        *[
+            (f"<article><p>one</p><div class='{name}'><p>two</p></div></article>", "one" if gone else "one\ntwo")
+            for gone, names in (
+                (True, "post-comments user-comment ad-slot google-ad cookie-bar newsletter-box adSlot related-links share"),
+                (False, "share-price entry-header no-comments dinner-menu adventure section-body commentary"),
+            )
+            for name in names.split()
+        ],
         ("<P CLASS=Lead>Upper</P><!DOCTYPE x>tail", "Upper\ntail"),
     ],
 )
@@ -181,3 +199,19 @@ def test_whole_query_equals_brute_force_and_the_tree_decides(spark):
     assert any("Tell your friends" in without_tree[i] and "Tell your friends" not in got[i] for i in changed)
     # hosts of near copies lose nothing of the articles
     assert all(got[i] == without_tree[i] for i in got if host[i] == "h5.example")
+
+
+def test_deep_pages_take_linear_time():
+    """Depth, stray end tags and open elements far up cost no scan of the stack each."""
+    import time
+
+    n = 100_000
+    deep = "<article>" + "".join(f"<div class=a{i % 7}>" for i in range(n)) + "<p>inside</p>" + "</div>" * n + "<p>after</p></article>"
+    stray = "<div>" * n + "</section></p></li>" * n + "<p>end"
+    started = time.process_time()
+    assert plain(deep) == "inside\nafter"
+    assert plain(stray) == "end"
+    assert time.process_time() - started < 12
+    texts = "".join(f"<div>{i} " for i in range(20_000))
+    found = blocks_of(texts)
+    assert len(found) == 20_000 and max(len(b.path) for b in found) <= 128

@@ -311,7 +311,8 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 sign = digest("\n".join(b.text for b in framed(found)))
                 seen = set()
                 for b in found:
-                    for kind, feature in ((0, digest(b.text)), (1, digest(b.style))):
+                    # a page is a third feature of the nodes it shows, so that one count gives all
+                    for kind, feature in ((0, digest(b.text)), (1, digest(b.style)), (2, sign)):
                         if (b.path, kind, feature) not in seen:
                             seen.add((b.path, kind, feature))
                             row = (host, list(b.path), b.path[b.frame - 1], kind, feature, len(b.text), sign)
@@ -326,15 +327,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     node = ["host", "path", "frame"]
     once = seen.groupBy(*node, "kind", "feature", "page").agg(F.max("chars").alias("chars"))
     features = once.groupBy(*node, "kind", "feature").agg(F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
-    shown = once.groupBy(*node, "page").agg(F.count(F.lit(1)).alias("n")).groupBy(*node).agg(F.count(F.lit(1)).alias("pages"))
-    n, log_n, content = F.col("n"), F.log(F.col("n").cast("double")), F.col("kind") == 0
-    sums = features.groupBy(*node).agg(
+    n, log_n, content, look = F.col("n"), F.log(F.col("n").cast("double")), F.col("kind") == 0, F.col("kind") == 1
+    leaf = features.groupBy(*node).agg(
         F.sum(F.when(content, n * F.col("chars"))).alias("chars"),
         F.sum(F.when(content, n * F.col("chars") * log_n)).alias("content_logs"),
-        F.sum(F.when(~content, n)).alias("styles"),
-        F.sum(F.when(~content, n * log_n)).alias("style_logs"),
+        F.sum(F.when(look, n)).alias("styles"),
+        F.sum(F.when(look, n * log_n)).alias("style_logs"),
+        F.count(F.when(F.col("kind") == 2, n)).alias("pages"),
     )
-    leaf = sums.join(shown, node).withColumn("whole", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
+    leaf = leaf.withColumn("whole", F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double")))
     # mean entropy of the contents, each shown by n pages alike: log n / log m; entropy of the presentations over m pages
     novel = 1.0 - F.col("content_logs") / F.col("chars") / F.col("whole")
     looks = (F.log(F.col("styles").cast("double")) - F.col("style_logs") / F.col("styles")) / F.col("whole")

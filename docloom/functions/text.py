@@ -104,8 +104,9 @@ def sentences(col: Column) -> Column:
 
 
 def fold(col: Column) -> Column:
-    """Lower case for comparison; sharp and final s as in full case folding."""
-    return F.replace(F.replace(F.lower(col), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Lower case for comparison; sharp and final s as in full case folding, the dotted capital I as a plain i."""
+    lower = F.lower(F.replace(col, F.lit("İ"), F.lit("i")))
+    return F.replace(F.replace(lower, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def normalize_template(col: Column) -> Column:

@@ -56,7 +56,7 @@ def template_regex(template: str) -> str | None:
 
 def normalize(sentence: str) -> str:
     """Driver-side twin of ``functions.text.normalize_template`` for single sentences."""
-    text = sentence.strip().casefold()
+    text = sentence.strip().replace("İ", "i").casefold()
     for name, pattern in PLACEHOLDERS:
         text = re.sub(pattern, name, text)
     return " ".join(text.split())

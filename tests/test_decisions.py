@@ -83,6 +83,12 @@ def test_policy(docs):
     assert row.n_pairs == len(of(6)) - 1 == row.n_overlap
 
 
+def test_chunk_copies_differ_by_the_dot_of_a_capital_i(spark):
+    rows = [(1, "MADDİ OLAY: taraflar arasında alacak vardır."), (2, "MADDI OLAY: taraflar arasında alacak vardır.")]
+    (row,) = chunk_table(spark.createDataFrame(rows, "doc_id long, text string"), EngineConfig()).collect()
+    assert (row.chunk_id, row.original_doc_id) == (0, "1")
+
+
 def test_chunk_table_and_checks(spark, docs):
     config = EngineConfig()
     twice = docs.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), F.translate("text", "metin", "METiN").alias("text")))

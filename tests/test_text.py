@@ -39,6 +39,12 @@ def test_templates(spark):
     assert [pt.normalize(c) for c in cases] == list(cases.values())
 
 
+def test_fold_takes_dotted_capital_i_for_i(spark):
+    cases = {"MADDİ OLAY": "maddi olay", "MADDI OLAY": "maddi olay", "İIıi": "iiıi", "ẞ Σας": "ss σασ"}
+    assert values(spark, cases, tx.fold) == list(cases.values())
+    assert values(spark, ["BİR İKİ"], tx.normalize_template) == [pt.normalize("BİR İKİ")] == ["bir iki"]
+
+
 def test_template_regex_round_trip(spark):
     sentence = "Dosya 12/03/2019 günü (2018/1234) m.141 gereği 5 gün sonra..."
     regex = pt.template_regex(pt.normalize(sentence))

@@ -1,6 +1,6 @@
 import pytest
 from docloom.config import EngineConfig, model_width
-from docloom.operators.chunking import chunk_decisions, chunk_table, pack
+from docloom.operators.chunking import chunk_decisions, chunk_stats, chunk_table, pack
 from docloom.operators.sections import extract_sections
 from docloom.operators.validate import check_invariants, chunk_overlap, general_rate, word_coverage
 from docloom.plans.batch import InvalidChunks, check
@@ -89,6 +89,13 @@ def test_chunk_copies_differ_by_the_dot_of_a_capital_i(spark):
     assert (row.chunk_id, row.original_doc_id) == (0, "1")
 
 
+def test_chunk_stats_count_such_copies_once(spark):
+    rows = [(i, f"MADD{c} OLAY: taraflar arasında alacak vardır.") for i, c in enumerate("İIİ")]
+    table = chunk_table(spark.createDataFrame(rows, "doc_id long, text string"), EngineConfig())
+    (row,) = chunk_stats(table, 3).collect()
+    assert (row.n_chunks, row.n_split, row.per_doc) == (1, 1, 0.333333)
+
+
 def test_chunk_table_and_checks(spark, docs):
     config = EngineConfig()
     twice = docs.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), F.translate("text", "metin", "METiN").alias("text")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ATOMIC, EngineConfig
-from ..functions.lineage import dense_ids, first_by
+from ..functions.lineage import cut, dense_ids, first_by
 from ..functions.text import bind, fold, sentences, strip, text_of
 from .sections import explode_sections, extract_sections
 
@@ -114,5 +114,7 @@ def chunk_stats(chunks: DataFrame, n_docs: int | Column) -> DataFrame:
 def share_of(df: DataFrame, col: str) -> DataFrame:
     """value, n, pct: frequency of each value, null as ``<null>``."""
     counts = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("<null>")).alias(col)).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("n")).first().n
+    # written once: a row a value, so that the rows themselves are made once
+    counts = cut(counts, "counts")
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
     return counts.withColumn("pct", F.round(100.0 * F.col("n") / F.lit(max(total, 1)), 6))

@@ -1,6 +1,6 @@
 import pytest
 from docloom.config import EngineConfig, model_width
-from docloom.operators.chunking import chunk_decisions, chunk_stats, chunk_table, pack
+from docloom.operators.chunking import chunk_decisions, chunk_stats, chunk_table, pack, share_of
 from docloom.operators.sections import extract_sections
 from docloom.operators.validate import check_invariants, chunk_overlap, general_rate, word_coverage
 from docloom.plans.batch import InvalidChunks, check
@@ -96,6 +96,19 @@ def test_chunk_stats_count_such_copies_once(spark):
     assert (row.n_chunks, row.n_split, row.per_doc) == (1, 1, 0.333333)
 
 
+def test_shares_make_their_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def value(i):
+        made.add(1)
+        return "ab"[i % 2]
+
+    rows = spark.range(10, numPartitions=1).select(value("id").alias("v"))
+    assert sorted(share_of(rows, "v").collect()) == [("a", 5, 50.0), ("b", 5, 50.0)] and made.value == 10
+    assert share_of(rows.limit(0), "v").collect() == []
+
+
 def test_chunk_table_and_checks(spark, docs):
     config = EngineConfig()
     twice = docs.unionByName(docs.select((F.col("doc_id") + 100).alias("doc_id"), F.translate("text", "metin", "METiN").alias("text")))

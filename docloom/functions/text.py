@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode and the four separator controls define it.
-WS = r"[\s\x1c-\x1f]"
+#: White space as Unicode and the four separator controls define it, by its characters: a class of these is tested faster than ``\\s``.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+WS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 #: A line that begins with one of these labels is a header line.
 HEADER_LABELS = (
@@ -63,8 +64,8 @@ def collapse(col: Column) -> Column:
 
 
 def strip(col: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(col, rf"(?U)^{WS}+|{WS}+$", "")
+    """Without white space at both ends, which alone are looked at."""
+    return F.btrim(col, F.lit(SPACES))
 
 
 def strip_patterns(col: Column, patterns: Iterable[str]) -> Column:

@@ -34,8 +34,9 @@ HEADERS = {
 TRANSITION = (
     r"(?iU)gere[ğg]i\s+(?:g[öo]r[üu][şs][üu]l[üu]p\s+)?(?:d[üu][şs][üu]n[üu]ld[üu]|g[öo]r[üu][şs][üu]ld[üu])"
 )
+#: A match's first letter in every case is looked for before anything else.
 DECREE = (
-    r"(?iU)(onanmasına|bozulmasına|bozularak|kabul[üu]ne|reddine|tesciline|tahliyesine|iptaline|oybirli[ğg]iyle"
+    r"(?=[obkrtiehOBKRTIEH\u0130\u0131\u212a])(?iU)(onanmasına|bozulmasına|bozularak|kabul[üu]ne|reddine|tesciline|tahliyesine|iptaline|oybirli[ğg]iyle"
     r"|oy\s*ço[ğg]unlu[ğg]uyla|esastan\s+red|hükm[üu]n\s+(?:onan|bozul))"
 )
 HEAD_CHARS = 48

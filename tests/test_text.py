@@ -1,3 +1,5 @@
+import time
+
 from docloom.functions import text as tx
 from docloom.operators import patterns as pt
 from pyspark.sql import functions as F
@@ -39,6 +41,14 @@ def test_templates(spark):
     assert [pt.normalize(c) for c in cases] == list(cases.values())
 
 
+def test_strip_takes_all_white_space_and_looks_at_the_ends_only(spark):
+    assert values(spark, [f"{tx.SPACES}a b{tx.SPACES}", tx.SPACES, "", None], tx.strip) == ["a b", "", "", None]
+    long = "a" + " " * 300_000 + "b"  # as a pattern of a run before the end this took time with the square of the run
+    began = time.monotonic()
+    assert values(spark, [long], lambda c: F.length(tx.strip(c))) == [len(long)]
+    assert time.monotonic() - began < 20
+
+
 def test_fold_takes_dotted_capital_i_for_i(spark):
     cases = {"MADDİ OLAY": "maddi olay", "MADDI OLAY": "maddi olay", "İIıi": "iiıi", "ẞ Σας": "ss σασ"}
     assert values(spark, cases, tx.fold) == list(cases.values())

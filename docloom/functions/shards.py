@@ -7,6 +7,7 @@ there are, and a lost task is run again from its two shuffles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,6 +30,23 @@ def shard_count(rows: DataFrame, least: int | None = None, each: int = SHARD_ROW
     return max(least, -(-rows.count() // each))
 
 
+def grid(rows: int, tasks: int, each: int = SHARD_ROWS) -> tuple[int, int]:
+    """Shards of the rows and blocks of the queries that together give ``tasks`` tasks or a few more.
+
+    A row goes to each block and a query to each shard, so about the root of the tasks
+    is sent of either; there are more shards only where the rows would not fit.
+    """
+    shards = max(1, math.isqrt(max(0, tasks - 1)) + 1, -(-rows // each))
+    return shards, max(1, -(-tasks // shards))
+
+
+def in_grid(pool: DataFrame, asked: DataFrame, block: Column, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the shard's number made that of a shard and a block: the rows in every block, a query in its own."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = pool.withColumn("block_", every).withColumn("shard", F.col("shard") * blocks + F.col("block_")).drop("block_")
+    return rows, asked.withColumn("shard", F.col("shard") * blocks + F.pmod(F.xxhash64(block, F.lit(13)), F.lit(blocks)).cast("int"))
+
+
 def shard_of(key: Column, shards: int) -> Column:
     """A shard by a hash of the key, which copies of one row do not share if their keys differ."""
     return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(shards)).cast("int")
@@ -79,12 +97,12 @@ def meet(
 
 
 def by_width(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each width of a list column the places of its rows, and these rows as a matrix; null lists are left out."""
+    """For each width of a list column the places of its rows, and these rows as a matrix of doubles; null lists are left out."""
     sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     for width in np.unique(sizes[sizes >= 0]):
         at = np.flatnonzero(sizes == width)
         flat = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
-        yield at, flat.reshape(len(at), int(width))
+        yield at, flat.astype(np.float64, copy=False).reshape(len(at), int(width))
 
 
 class Nearest:
@@ -119,9 +137,10 @@ class Nearest:
             for start in range(0, len(of), self.PAIRS):
                 q, p = of[start : start + self.PAIRS], place[start : start + self.PAIRS]
                 exact = np.round(((block[p] - self.queries[q]) ** 2).sum(axis=1), 12)
-                self._keep(q, ids[at + p], exact)
+                self.keep(q, ids[at + p], exact)
 
-    def _keep(self, of: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
+    def keep(self, of: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
+        """Take what was found for the queries ``of``, and leave only the k best of each."""
         wanted = near <= self.reach[of]
         of, ids, near = (np.concatenate(x) for x in ((self.of, of[wanted]), (self.ids, ids[wanted]), (self.near, near[wanted])))
         order = np.lexsort((ids, near, of))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.lineage import cut, small
-from ..functions.shards import QUERY_ROWS, Nearest, by_width, every_shard, meet, shard_count, shard_of
+from ..functions.shards import QUERY_ROWS, Nearest, by_width, every_shard, grid, in_grid, meet, shard_of
 from ..functions.text import first_tokens, jaccard
 from ..functions.vectors import cosine_of_l2, final_score, section_weight
 from .embedding import Embedder
@@ -52,6 +52,8 @@ def knn(
     it is shuffled. More are a table like the corpus: the corpus is dealt into
     shards once, every query is sent to each shard, and a shard answers with its k
     best of each query, so the corpus is read once however many queries there are.
+    There are as many shards as the corpus takes, or as the root of the tasks; more
+    tasks share a shard's queries, so neither table is sent to every task.
     Vectors with a null, or of another width than the query, take no part.
     ``corpus`` should be a table, as its rows are counted for the shards.
     """
@@ -73,8 +75,13 @@ def knn(
 
         hits = rows.mapInArrow(run, HITS)
     else:
-        n = shards or shard_count(rows)
-        hits = meet(rows.withColumn("shard", shard_of(F.col("id"), n)), every_shard(asked, n), n, held_points, answer_nearest(k), HITS)
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        n, blocks = (shards, 1) if shards else grid(rows.count(), tasks)
+        # floats travel as floats; a task takes all components as doubles
+        floats = all(dict(df.dtypes)[vector] == "array<float>" for df in (queries, corpus))
+        sent, points = (df.withColumn("v", F.col("v").cast("array<float>" if floats else "array<double>")) for df in (asked, rows))
+        dealt = in_grid(points.withColumn("shard", shard_of(F.col("id"), n)), every_shard(sent, n), F.col("id"), blocks)
+        hits = meet(*dealt, n * blocks, held_points, answer_nearest(k), HITS)
     best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 

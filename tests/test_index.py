@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 from docloom.functions.lineage import fresh_path
+from docloom.functions.shards import SHARD_ROWS, grid, meet
+from docloom.operators import index as index_module
 from docloom.operators import search
 from docloom.operators.index import UnevenVectors, VectorIndex
 from docloom.operators.semantic import redundancy
@@ -43,6 +45,40 @@ def test_queries_as_a_table_equal_brute_force(spark):
     assert "BroadcastNestedLoopJoin" not in plan._jdf.queryExecution().toString()
 
 
+def test_queries_and_rows_go_to_the_root_of_the_tasks_each():
+    for n, tasks in ((10, 1), (1000, 4), (1000, 200), (615_000, 600), (10_000_000, 600)):
+        shards, blocks = grid(n, tasks)
+        assert shards * blocks >= tasks and n <= shards * SHARD_ROWS
+        assert shards + blocks <= max(2 * tasks**0.5 + 2, -(-n // SHARD_ROWS) + blocks) and blocks <= tasks**0.5 + 1
+
+
+def test_knn_sends_each_query_to_few_tasks(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(search, "meet", lambda pool, asked, *a: dealt.append((pool.count(), asked.count())) or meet(pool, asked, *a))
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4)) for i in range(700)]
+    asked = frame(spark, rows).withColumnRenamed("chunk_id", "query_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "25")
+    try:
+        assert found(search.knn(asked, frame(spark, rows), 3, most=0)) == brute(rows, rows, 3)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert dealt == [(5 * 700, 5 * 700)]  # 25 tasks: every query went to each of them before
+
+
+def test_search_sends_a_query_to_a_shard_once(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(index_module, "meet", lambda pool, asked, *a: dealt.append(asked.count()) or meet(pool, asked, *a))
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=12)) for i in range(600)]  # no clusters: nearly all of the 25 cells are within reach
+    path = fresh_path(spark, "index")
+    VectorIndex.build(frame(spark, rows), path, cells=25)
+    asked = frame(spark, rows).withColumnRenamed("chunk_id", "query_id")
+    assert found(VectorIndex(spark, path).search(asked, 2, others=True)) == brute(rows, rows, 2, others=True)
+    assert dealt[0] <= 2 * 600 and dealt[1] <= 4 * 600  # four tasks: two or three shards
+
+
 def test_index_is_reopened_pruned_and_exact(spark):
     rows = clustered(1, 1200) + [(9000 + i, np.full(6, 3.0)) for i in range(200)] + [(9999, None)]
     path = fresh_path(spark, "index")

@@ -12,9 +12,11 @@ A batch is a folder, so one that is written again replaces itself.
 A search is exact. Each query first meets the nearest cells that hold k vectors
 together; the k-th distance found there is its reach. Then it goes to those other
 cells only whose ball lies within that reach: by the triangle inequality no vector
-of the rest can be nearer. Cells that no query reaches are never read. A cell of
-many vectors, as of a vector that a third of all rows share, is dealt into several
-shards, so no task holds more than a shard and a block of queries.
+of the rest can be nearer. Cells that no query reaches are never read. Cells are
+held together in shards, about as many as the root of the tasks, and a query is sent
+to a shard once, with the cells it wants there. A cell of many vectors, as of a vector
+that a third of all rows share, is dealt into several shards, so no task holds more
+than a shard and a block of queries.
 
 Only the cells (at most ``MOST_CELLS`` centroids) and the sample they are fitted on
 pass through the driver. Vectors that are null or hold a null take no part; vectors
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, small
-from ..functions.shards import QUERY_ROWS, SHARD_ROWS, Nearest, by_width, meet, shard_of
+from ..functions.shards import QUERY_ROWS, Nearest, by_width, grid, in_grid, meet, shard_of
 from ..sources.io import exists
 from .search import HITS, held_points, hits_of, vectors_of
 
@@ -170,7 +172,7 @@ class VectorIndex:
                     far = _distances(part, centroids)
                     order = np.argsort(far, axis=1, kind="stable")
                     before = np.cumsum(counts[order], axis=1) - counts[order]
-                    yield _sent(part, *_places(order, (before < least) & (counts[order] > 0)))
+                    yield _sent(part, groups, *_places(order, (before < least) & (counts[order] > 0)))
 
         def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -182,44 +184,82 @@ class VectorIndex:
                     hit = (border**2 <= (reach + 1e-9 * (1.0 + reach))[:, None] + 1e-9 * far**2) & (counts > 0)[None, :]
                     for row, seen in enumerate(part.column("seen").to_pylist()):
                         hit[row, seen or []] = False
-                    yield _sent(part, *np.nonzero(hit))
+                    yield _sent(part, groups, *np.nonzero(hit))
 
-        schema = "cell int, row long, id long, v array<double>, reach double"
+        groups, tasks = self._groups(counts)
+        schema = "shard int, row long, id long, v array<double>, reach double, cells array<int>"
         first = cut(asked.withColumn("reach", F.lit(None).cast("double")).mapInArrow(homes, schema), "homes")
-        near = cut(self._met(first, k, counts, others), "near")
+        near = cut(self._met(first, k, groups, tasks, others), "near")
         reach = near.groupBy("row").agg(F.slice(F.array_sort(F.collect_list("distance")), k, 1).alias("kth")).select("row", F.get("kth", 0).alias("reach"))
-        seen = first.groupBy("row").agg(F.collect_list("cell").alias("seen"))
+        seen = first.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("cells"))).alias("seen"))
         known = asked.join(seen, "row").join(reach, "row", "left")
         second = cut(known.mapInArrow(reached, schema), "reached")
-        hits = near.unionByName(self._met(second, k, counts, others))
-        self.cells_read = sorted({r.cell for r in first.select("cell").union(second.select("cell")).distinct().collect()})
+        hits = near.unionByName(self._met(second, k, groups, tasks, others))
+        self.cells_read = sorted({*_cells_of(first), *_cells_of(second)})
         best = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
         return hits.drop("row").distinct().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
-    def _met(self, sent: DataFrame, k: int, counts: np.ndarray, others: bool) -> DataFrame:
+    def _groups(self, counts: np.ndarray) -> tuple[list[list[int]], int]:
+        """For each cell the shards that hold its vectors, and how many tasks there should be.
+
+        A shard is several cells, or a part of a large one: a query is sent to it once,
+        with the cells that it wants there, however many these are.
+        """
+        total, tasks = int(counts.sum()), int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        each = max(1, -(-total // grid(total, tasks)[0]))
+        places, held, shard = [], 0, 0
+        for n in counts.tolist():
+            parts = max(1, -(-n // each))
+            share, own = -(-n // parts), []
+            for _ in range(parts):
+                if held and held + share > each:
+                    held, shard = 0, shard + 1
+                held += share
+                own.append(shard)
+            places.append(own)
+        return places, tasks
+
+    def _met(self, sent: DataFrame, k: int, groups: list[list[int]], tasks: int, others: bool) -> DataFrame:
         """row and ``HITS``: the k best of each query in each shard of the cells it is sent to."""
-        cells = [r.cell for r in sent.select("cell").distinct().collect()]  # MOST_CELLS at most
-        parts = np.maximum(1, -(-counts // SHARD_ROWS))
-        starts = (np.cumsum(parts) - parts).tolist()
-        start = F.get(F.array(*[F.lit(s) for s in starts]), F.col("cell")) if starts else F.lit(0)
-        split = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell")) if starts else F.lit(1)
-        pool = self.vectors(cells=cells).select((start + F.pmod(shard_of(F.col("chunk_id"), 1 << 30), split)).alias("shard"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"))
-        asked = sent.withColumn("shard", F.explode(F.sequence(start, start + split - 1))).drop("cell")
-        total = int(counts[cells].sum()) if cells else 0
-        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_ROWS))
-
-        def answer(held: dict[int, tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cells = _cells_of(sent)
+        shards = 1 + max((g for own in groups for g in own), default=0)
+        blocks = max(1, -(-tasks // shards))
+        place = F.get(F.array(*[F.array(*map(F.lit, own)) for own in groups]), F.col("cell")) if groups else F.array(F.lit(0))
+        part = F.pmod(shard_of(F.col("chunk_id"), 1 << 30), F.size("place"))
+        pool = self.vectors(cells=cells).withColumn("place", place).select(F.get("place", part).alias("shard"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"), "cell")
+
+        def answer(held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             reach = batch.column("reach").fill_null(np.inf).to_numpy(zero_copy_only=False)
-            for at, matrix in by_width(batch.column("v")):
-                found = Nearest(matrix, k, reach[at], ids[at] if others else None)
-                names, points = held[matrix.shape[1]]
-                found.add(points, names)
-                hits = hits_of(found, ids[at])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[at][found.of]), *hits.columns], names=["row", *hits.schema.names])
+            wanted = batch.column("cells")
+            at = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            want = wanted.flatten().to_numpy(zero_copy_only=False)
+            matrix = next(m for _, m in by_width(batch.column("v")))  # all queries have the index's width
+            found = Nearest(matrix, k, reach)
+            for cell in np.unique(want).tolist():
+                if cell in held:
+                    of, (names, points) = at[want == cell], held[cell]
+                    near = Nearest(matrix[of], k, found.reach[of], ids[of] if others else None)
+                    near.add(points, names)
+                    found.keep(of[near.of], near.ids, near.near)
+            hits = hits_of(found, ids)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[found.of]), *hits.columns], names=["row", *hits.schema.names])
+
+        return meet(*in_grid(pool, sent, F.col("row"), blocks), shards * blocks, _held_cells, answer, f"row long, {HITS}")
+
+
+def _cells_of(sent: DataFrame) -> list[int]:
+    return sorted(r.cell for r in sent.select(F.explode("cells").alias("cell")).distinct().collect())  # MOST_CELLS at most
+
 
-        return meet(pool, asked, tasks, held_points, answer, f"row long, {HITS}")
+def _held_cells(parts: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A shard's ids and vectors, by cell; all have the index's width."""
+    cells = np.concatenate([b.column("cell").to_numpy(zero_copy_only=False) for b in parts])
+    ((ids, points),) = held_points(parts).values()
+    order = np.argsort(cells, kind="stable")
+    edges = np.flatnonzero(np.diff(cells[order])) + 1
+    return {int(cells[at[0]]): (ids[at], points[at]) for at in np.split(order, edges)}
 
 
 def _distances(part: pa.RecordBatch, centroids: np.ndarray) -> np.ndarray:
@@ -233,6 +273,17 @@ def _places(order: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of, order[of, place]
 
 
-def _sent(part: pa.RecordBatch, of: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
-    rows = part.select(["row", "id", "v", "reach"]).take(pa.array(of))
-    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *rows.columns], names=["cell", "row", "id", "v", "reach"])
+def _sent(part: pa.RecordBatch, groups: list[list[int]], of: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """Each query once for each shard that holds cells it is sent to, with these cells."""
+    many = np.array([len(g) for g in groups], np.int64)
+    flat = np.array([g for own in groups for g in own], np.int64)
+    starts = np.cumsum(many) - many
+    pairs = np.repeat(np.arange(len(of)), many[cell])
+    step = np.arange(len(pairs)) - np.repeat(np.cumsum(many[cell]) - many[cell], many[cell])
+    row, shard, wanted = of[pairs], flat[starts[cell[pairs]] + step], cell[pairs]
+    order = np.lexsort((wanted, shard, row))
+    row, shard, wanted = row[order], shard[order], wanted[order]
+    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(shard) != 0)][: len(row)])
+    lists = pa.ListArray.from_arrays(pa.array([*first.tolist(), len(row)], pa.int32()), pa.array(wanted.astype(np.int32)))
+    rows = part.select(["row", "id", "v", "reach"]).take(pa.array(row[first]))
+    return pa.RecordBatch.from_arrays([pa.array(shard[first].astype(np.int32)), *rows.columns, lists], names=["shard", "row", "id", "v", "reach", "cells"])

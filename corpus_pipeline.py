@@ -27,8 +27,8 @@ from docloom.llm.toxicity import reject_toxic
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Keys of rejected rows that are broadcast at once (some 50 MB).
-BROADCAST_IDS = 2_000_000
+#: Keys of rejected rows that are broadcast at once (some 10 MB).
+BROADCAST_IDS = 400_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

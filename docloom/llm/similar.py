@@ -42,7 +42,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_rows, cut, discard, pick, release, small
@@ -54,8 +54,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = (4, 5)
 #: One row in so many tells which shingles are frequent, and the least count of those among them.
 SAMPLE, LEAST_COUNT, LEAST_SHARE = 16, 4, 4000
-#: Tables of keys and nodes are broadcast up to this many rows; beyond it they are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Tables of keys and nodes are broadcast up to this many rows, some 10 MB in the driver; beyond it they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: Times that only the likeliest pair of each node is verified, before all that are left.
 BEST_ROUNDS = 1
 
@@ -273,12 +273,12 @@ def similar_groups(docs: DataFrame, row_col: str, text_col: str = "text") -> Dat
     spark, rows = docs.sparkSession, pick(docs, row=row_col, text=text_col)
     sets = cut(prefix_sets(rows, frequent_shingles(rows)), "sets")
     heads = cut(sets.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("fp").alias("fp")), "heads")
+    # one shuffle by key tells which keys several nodes hold; nothing of it passes through the driver, whatever its size
     entries = sets.select(F.posexplode("prefix").alias("pos", "h"), "node", "n")
-    keys = entries.groupBy("h").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    keys = cut(keys.filter(F.col("first") != F.col("last")).select("h"), "keys")
-    shared = entries.join(small(keys, BROADCAST_ROWS), "h").groupBy("h", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
+    same = Window.partitionBy("h")
+    entries = entries.withColumn("first", F.min("node").over(same)).withColumn("last", F.max("node").over(same))
+    shared = entries.filter(F.col("first") != F.col("last")).groupBy("h", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))
     shared = cut(shared, "shared")
-    discard(keys)
     release(spark)
     nodes = cut(sets.select("row", "node"), "nodes")
     discard(sets)

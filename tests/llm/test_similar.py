@@ -81,3 +81,14 @@ def test_null_and_repeated_ids_are_judged_by_text(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == sorted((str(i), t) for i, t in [(1, a), *texts[3:]])
     kept = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, a), (7, b), (9, "kept")]
+
+
+def test_shared_keys_are_found_without_a_broadcast(spark, monkeypatch):
+    from docloom.llm import similar
+
+    asked = []
+    monkeypatch.setattr(similar, "small", lambda df, most: asked.append(df.columns) or df)
+    rows = [(i, f"one two three four five six seven eight nine ten eleven w{i}") for i in range(3)]
+    groups = similar.similar_groups(spark.createDataFrame(rows, "row long, text string"), "row").collect()
+    assert len(groups) == 3
+    assert len(asked) == 1  # the open keys at the end; the keys of all prefixes went the same way before

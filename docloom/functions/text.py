@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: White space as Unicode and the four separator controls define it, by its characters: a class of these is tested faster than ``\\s``.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: White space that is not one plain space; what is surely none is told by one range.
+UNEVEN = rf"(?![!-~])(?:{WS.replace('x20', 'x1f')}{WS}*| {WS}+)"
 
 #: A line that begins with one of these labels is a header line.
 HEADER_LABELS = (
@@ -32,6 +34,8 @@ HEADER_LABELS = (
 HEADER_LINE = rf"(?imdU)^{WS}*(?:{'|'.join(HEADER_LABELS)})\b.*$"
 #: Markup and source labels that are stripped everywhere.
 ARTEFACTS = (r"\*+", rf'(?iU)"?{WS}*İçtihat{WS}+Metni{WS}*"?')
+#: Letters without which no text holds the last of these: it is tried where they stand.
+ARTEFACT_LETTERS = "[çÇ][tT]"
 SENTENCE_BREAK = rf"(?U)(?<=[.!?…]){WS}+"
 
 #: What a template's placeholders stand for, in order of replacement.
@@ -59,8 +63,8 @@ def text_of(col: Column) -> Column:
 
 
 def collapse(col: Column) -> Column:
-    """Runs of white space become one space."""
-    return F.regexp_replace(col, rf"(?U){WS}+", " ")
+    """Runs of white space become one space; those that are one already are passed over."""
+    return F.regexp_replace(col, UNEVEN, " ")
 
 
 def strip(col: Column) -> Column:
@@ -94,9 +98,14 @@ def clean_text(col: Column, patterns: Iterable[str] = (), places: Column | None
     Header lines go while line breaks exist; learned patterns need single spaces.
     With ``places`` only those of the patterns are tried.
     """
-    text = collapse(strip_patterns(text_of(col), [HEADER_LINE, *ARTEFACTS]))
+    patterns, text = list(patterns), strip_patterns(text_of(col), [HEADER_LINE, *ARTEFACTS[:-1]])
+    # what is taken away before leaves a space, so letters that stand together do so in the raw text
+    labelled = F.rlike(col, F.lit(ARTEFACT_LETTERS))
+    text = collapse(F.when(labelled, strip_patterns(text, ARTEFACTS[-1:])).otherwise(text))
     text = strip_patterns(text, patterns) if places is None else strip_chosen(text, patterns, places)
-    return F.trim(collapse(F.regexp_replace(text, rf"(?U)\.(?:{WS}*\.)+", ".")))
+    text = F.regexp_replace(text, rf"(?U)\.(?:{WS}*\.)+", ".")
+    # only patterns leave new runs of spaces
+    return F.trim(collapse(text) if patterns else text)
 
 
 def sentences(col: Column) -> Column:

@@ -27,6 +27,16 @@ def clean(docs: DataFrame, patterns: Iterable[str] = (), text_col: str = "text",
     return chosen.withColumn(text_col, clean_text(text, patterns, F.col(name))).drop(name)
 
 
+def long_enough(cleaned: DataFrame, config: EngineConfig, text_col: str = "text") -> DataFrame:
+    """The rows whose text has ``min_text_chars`` or more.
+
+    A plain filter would be moved below the cleaning and repeat all of it there; the
+    outer form of a list of one or none stays above, so texts are cleaned once.
+    """
+    kept = F.filter(F.array(F.col(f"`{text_col}`")), lambda t: F.length(t) >= config.min_text_chars)
+    return cleaned.withColumn(text_col, F.explode_outer(kept)).filter(F.col(f"`{text_col}`").isNotNull())
+
+
 def clean_filter_dedup(
     docs: DataFrame, config: EngineConfig, patterns: Iterable[str] = (), order_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -36,7 +46,7 @@ def clean_filter_dedup(
     before they are cleaned.
     """
     long = docs.filter(F.length(text_col) >= config.min_text_chars)
-    cleaned = clean(long, patterns, text_col).filter(F.length(text_col) >= config.min_text_chars)
+    cleaned = long_enough(clean(long, patterns, text_col), config, text_col)
     return first_by(cleaned, F.sha2(F.col(f"`{text_col}`").cast("binary"), 256), [order_col])
 
 

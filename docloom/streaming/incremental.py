@@ -11,6 +11,7 @@ from ..config import EngineConfig
 from ..functions.lineage import unused
 from ..functions.text import clean_text, fold
 from ..operators.chunking import chunk_decisions
+from ..operators.cleaning import long_enough
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
@@ -23,7 +24,7 @@ def clean_stream(docs: DataFrame, config: EngineConfig, watermark: tuple[str, st
 
     Without a watermark (time column, delay) the keys of all texts are kept as state.
     """
-    cleaned = docs.withColumn("text", clean_text(F.col("text"))).filter(F.length("text") >= config.min_text_chars)
+    cleaned = long_enough(docs.withColumn("text", clean_text(F.col("text"))), config)
     name = unused(docs, "fold_")
     keyed = cleaned.withColumn(name, F.sha2(fold(F.col("text")).cast("binary"), 256))
     if watermark:

@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..config import EngineConfig
 from ..functions.text import clean_text
+from ..operators.cleaning import long_enough
 from ..operators.embedding import Embedder
 from ..operators.index import VectorIndex
 
@@ -41,16 +42,12 @@ class FirstByOrder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "doc_ord long", self.time_out_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        least: tuple[int, str] | None = None
-        for part in rows:
-            at = part["doc_ord"].idxmin()
-            if least is None or part.loc[at, "doc_ord"] < least[0]:
-                least = (int(part.loc[at, "doc_ord"]), part.loc[at, "text"])
-        known = self.first.get()[0] if self.first.exists() else None
-        if least is not None and (known is None or least[0] < known):
-            self.first.update((least[0],))
-            yield pd.DataFrame({"digest": [key[0]], "doc_ord": [least[0]], "text": [least[1]], "replaced": pd.array([known], "Int64")})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        least = min(rows, key=lambda r: r.doc_ord)
+        known = self.first.get()
+        if known is None or least.doc_ord < known[0]:
+            self.first.update((least.doc_ord,))
+            yield Row(digest=least.digest, doc_ord=least.doc_ord, text=least.text, replaced=known and known[0])
 
     def close(self) -> None:
         pass
@@ -72,12 +69,14 @@ def first_texts(docs: DataFrame, config: EngineConfig, order_col: str = "doc_ord
     one. Rows without an order or a text, or shorter than ``min_text_chars``, are left
     out. ``time_out`` is an interval such as ``7 days``, counted from a digest's last change.
     """
-    rows = docs.select(F.col(f"`{order_col}`").cast("long").alias("doc_ord"), clean_text(F.col(f"`{text_col}`")).alias("text"))
+    rows = docs.select(F.col(f"`{order_col}`").cast("long").alias("doc_ord"), F.col(f"`{text_col}`").alias("text"))
+    # no replacement lengthens a text
     rows = rows.filter(F.col("doc_ord").isNotNull() & (F.length("text") >= config.min_text_chars))
+    rows = long_enough(rows.withColumn("text", clean_text(F.col("text"))), config)
     keyed = rows.select(F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "doc_ord", "text")
     reduced = keyed.mapInArrow(_first_of_each_batch, "digest string, doc_ord long, text string")
     wait = None if time_out is None else int(pd.Timedelta(time_out).total_seconds() * 1000)
-    return reduced.groupBy("digest").transformWithStateInPandas(
+    return reduced.groupBy("digest").transformWithState(
         FirstByOrder(wait), FIRSTS, "update", "none" if wait is None else "processingTime"
     )
 
@@ -95,18 +94,18 @@ def index_batches(
 ) -> StreamingQuery:
     """Embed the first texts of every micro-batch and append them to the index; a batch that is repeated replaces itself.
 
-    A vector's ``chunk_id`` is its decision's order. The texts of a batch are written
-    below the index first, so that the state is asked once for each batch.
+    A vector's ``chunk_id`` is its decision's order. The vectors of a batch are written
+    below the index first, so that the state is asked and a text is embedded once.
     """
-    spark, texts = docs.sparkSession, f"{index.path}/texts"
+    spark, firsts = docs.sparkSession, f"{index.path}/firsts"
 
     def write(batch: DataFrame, number: int) -> None:
-        at = f"{texts}/batch={number + 1}"
-        batch.write.mode("overwrite").parquet(at)
-        rows = batch.sparkSession.read.schema(FIRSTS).parquet(at)
-        vectors = embedder.embed(rows.select("digest", F.col("doc_ord").alias("chunk_id"), "text"))
+        at = f"{firsts}/batch={number + 1}"
+        made = embedder.embed(batch.select("digest", F.col("doc_ord").alias("chunk_id"), "replaced", "text")).drop("text")
+        made.write.mode("overwrite").parquet(at)
+        rows = batch.sparkSession.read.schema(made.schema).parquet(at)
         gone = rows.filter("replaced IS NOT NULL").select(F.col("replaced").alias("chunk_id"))
-        index.append(vectors, number + 1, keep=("digest",), gone=gone)
+        index.append(rows, number + 1, keep=("digest",), gone=gone)
 
     # with a time-out Spark would plan batches without data for ever, and a run that should end would not
     settings = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(not once).lower()}

@@ -6,7 +6,8 @@ from docloom.functions.lineage import fresh_path
 from docloom.operators.cleaning import clean_filter_dedup
 from docloom.operators.embedding import CharacterEmbedder
 from docloom.operators.index import VectorIndex
-from docloom.streaming import ingest
+from docloom.streaming import incremental, ingest
+from pyspark.sql import functions as F
 
 CONFIG = EngineConfig(min_text_chars=10)
 LETTERS = CharacterEmbedder("abc")
@@ -64,3 +65,28 @@ def test_a_time_out_forgets(spark):
     arrive(spark, path, [(6, "aaa bbb ccc long")])
     run(spark, path, index, state, time_out="1 second")
     assert [c for c, _ in live(index)] == [5, 6]
+
+
+def test_texts_are_cleaned_once(spark):
+    docs = spark.createDataFrame(BATCHES[0], SCHEMA)
+    for rows in (ingest.first_texts(docs, CONFIG), incremental.clean_stream(docs, CONFIG), clean_filter_dedup(docs, CONFIG, order_col="doc_ord")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"(?U)\.(?:") == 1  # the orphan periods, which a second cleaning in a filter would name again
+
+
+def test_texts_are_embedded_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    class Counting(CharacterEmbedder):
+        def embed(self, df, text_col="text", out="embedding"):
+            @F.udf("array<double>")
+            def vector(text):
+                made.add(1)
+                return [float(text.count(c)) for c in "abc"]
+
+            return df.withColumn(out, vector(text_col))
+
+    path, index, state = fresh_path(spark, "arrived"), new_index(spark), fresh_path(spark, "state")
+    arrive(spark, path, [(3, "abc abc abc"), (4, "abc abc  abc"), (5, "ccccccccccc"), (6, "short")])
+    query = ingest.index_batches(ingest.read_arrivals(spark, path, SCHEMA), CONFIG, Counting("abc"), index, state)
+    assert query.awaitTermination(240) and live(index) == [(3, [3.0, 3.0, 3.0]), (5, [0.0, 0.0, 11.0])] and made.value == 2

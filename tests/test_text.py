@@ -75,3 +75,8 @@ def test_pattern_selection():
     assert len(plain) == len(pt.SEEDS) + 2 and len(mined) == len(plain) + 1
     assert len(found["reviewed"]) == 3  # earlier reviews are kept
     assert pt.select_patterns({}) == []
+
+
+def test_cleaning_takes_the_artefact_in_any_case_and_every_run_of_spaces(spark):
+    texts = ["a \t b\u00a0c  d", 'x "İçtihat  Metni" y', "x ıÇTİHAT\tmetnı y", "çtihat metni", "a . .\n. b", "ç t", None]
+    assert values(spark, texts, tx.clean_text) == ["a b c d", "x y", "x y", "çtihat metni", "a . b", "ç t", ""]
